@@ -7,6 +7,7 @@ import html
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from adledger import fixed
 
@@ -38,7 +39,7 @@ def url_key(c: Column) -> Column:
     return F.substring(F.sha1(strip(c)), 1, 16)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _decode_entities(s: pd.Series) -> pd.Series:
     return s.map(html.unescape, na_action="ignore")
 

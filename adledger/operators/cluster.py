@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from adledger.functions import extract
 from adledger.functions.blanks import blank_number, blank_text, some_number, some_text
 from adledger.operators import rules
+from adledger.session import ensure_checkpoints
 
 BLOCK = ["price_pcm", "bedrooms", "bathrooms", "addr_key"]
 FACTS = ["outcode", "incode", "floor", "size", "plan"]
@@ -101,6 +102,7 @@ def assign_in_rounds(sigs: DataFrame) -> DataFrame:
     and only the best rank per key is needed. Rounds repeat until all are
     settled; each round is written to the checkpoint folder.
     """
+    ensure_checkpoints(sigs.sparkSession)
     masks = F.sequence(F.lit(0), F.lit(2 ** len(FACTS) - 1))
     state = sigs.withColumn("mask", _mask()).withColumn("rep_rank", F.lit(None).cast(
         sigs.schema["rank"].dataType)).checkpoint()
@@ -163,7 +165,7 @@ def cluster_ads(rows: DataFrame, order: Sequence[Column] | None = None,
 def summarise(clustered: DataFrame) -> DataFrame:
     """One row per cluster: its best ad's facts, sizes and in-unit hits.
 
-    Counts are combined before the shuffle; links are kept by ``cluster_facts``.
+    Counts are combined before the shuffle; links are ``cluster_links``.
     """
     hit = rules.in_unit(F.col("aircon"), F.col("aircon_scope"))
     best = F.struct("ad_rank", "priority", "price_pcm", "platform", "url")
@@ -184,23 +186,27 @@ def tier_sections(summary: DataFrame) -> DataFrame:
         F.count("*").alias("clusters"), F.sum("n_ads").alias("ads"))
 
 
-def cluster_facts(clustered: DataFrame) -> DataFrame:
-    """Per cluster: links in rank order and the distinct furnishing labels.
+def cluster_links(clustered: DataFrame) -> DataFrame:
+    """One row per link; ``ad_rank`` gives the order inside a cluster.
 
-    Links are the cell itself, so they are as long as the cluster is large.
+    Links stay rows, so a cluster of any size is never gathered into one value.
     """
-    label = extract.furnishing_label(F.col("furnished"))
     link = F.concat(F.lit("["), F.coalesce(some_text(F.col("platform")), F.lit("link")),
                     F.lit("]("), F.col("url"), F.lit(")"))
-    first_label = (clustered.withColumn("label", label).where("label IS NOT NULL")
-                   .groupBy("cluster_id", "label").agg(F.min("ad_rank").alias("at"))
-                   .groupBy("cluster_id").agg(F.array_sort(F.collect_list(
-                       F.struct("at", "label"))).alias("labels")))
-    links = clustered.groupBy("cluster_id").agg(
-        F.array_sort(F.collect_list(F.struct("ad_rank", link.alias("link")))).alias("links"))
-    cell = F.array_join(F.transform("labels", lambda x: x["label"]), " / ")
-    return links.join(first_label, "cluster_id", "left").select(
-        "cluster_id", F.array_join(F.transform("links", lambda x: x["link"]), ", ").alias("links"),
+    return clustered.select("cluster_id", "ad_rank", link.alias("link"))
+
+
+def cluster_facts(clustered: DataFrame) -> DataFrame:
+    """Per cluster: size, best link and the distinct furnishing labels, first seen first."""
+    labelled = clustered.withColumn("label", extract.furnishing_label(F.col("furnished")))
+    per_label = labelled.groupBy("cluster_id", "label").agg(
+        F.min("ad_rank").alias("at"), F.count("*").alias("n"))
+    # at most five rows per cluster: four labels and none
+    entry = F.when(F.col("label").isNotNull(), F.struct("at", "label"))
+    cell = F.array_join(F.transform(
+        F.array_sort(F.collect_list(entry)), lambda x: x["label"]), " / ")
+    return per_label.groupBy("cluster_id").agg(
+        F.sum("n").alias("n_ads"),
         F.coalesce(F.nullif(cell, F.lit("")), F.lit("?")).alias("furnishing"))
 
 

@@ -168,17 +168,19 @@ def display_cells(df: DataFrame, areas: Mapping[str, str] = fixed.AREAS) -> Data
 
 def listing_table(clustered: DataFrame, buildings: DataFrame,
                   areas: Mapping[str, str] = fixed.AREAS) -> DataFrame:
-    """One display row per cluster: its best ad's cells, all links, what shares its block."""
+    """One display row per cluster: its best ad's cells and what shares its block.
+
+    The links of a cluster are the rows of ``cluster.cluster_links``.
+    """
     c = F.col
     best = clustered.where("url = cluster_id")
     cells = display_cells(best, areas)
-    counts = clustered.groupBy("cluster_id").agg(F.count("*").alias("n_ads"))
     facts = cluster.cluster_facts(clustered)
     units = cluster.units_in_building(
         best.select("url", "addr_key", "outcode", "priority", "ad_rank"), buildings
     ).select("url", "priority", "ad_rank", "units")
     rows = (cells.join(units, "url").withColumnRenamed("url", "cluster_id")
-            .join(counts, "cluster_id").join(facts, "cluster_id"))
+            .join(facts, "cluster_id"))
     extra = F.array_join(F.array_compact(F.array(
         F.when(c("n_ads") > 1, F.concat(c("n_ads").cast("string"), F.lit(" near-identical ads"))),
         F.when(c("units") > c("n_ads"), F.concat(
@@ -186,7 +188,7 @@ def listing_table(clustered: DataFrame, buildings: DataFrame,
     notable = (F.when(extra == "", c("flags")).when(c("flags") == DASH, extra)
                .otherwise(F.concat_ws(" · ", c("flags"), extra)))
     return rows.select("cluster_id", "priority", "ad_rank", "price", "area", "sqft", "floor",
-                       "beds_bath", "furnishing", notable.alias("notable"), "links")
+                       "beds_bath", "furnishing", notable.alias("notable"), "n_ads")
 
 
 # --- the daily delta ----------------------------------------------------------
