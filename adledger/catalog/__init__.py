@@ -3,6 +3,6 @@
 
 def load():
     """All registered queries and the SQL they are checked against."""
-    from adledger.catalog import ads_queries  # noqa: F401
+    from adledger.catalog import ads_queries, state_queries  # noqa: F401
     from adledger.catalog.registry import ORACLES, QUERIES
     return QUERIES, ORACLES

@@ -25,17 +25,23 @@ def scan_pages(spark: SparkSession, path: str) -> DataFrame:
     return read_table(spark, path, PAGE).where("url IS NOT NULL AND url <> ''")
 
 
-def scan_batch(spark: SparkSession, path: str) -> DataFrame:
-    """Search batches, ``{run_date, listings: [...]}`` or a bare array of ads."""
-    item = StructType([*AD.fields])
-    wrapper = StructType([StructField("run_date", PAGE["fetched_at"].dataType),
-                          StructField("listings", ArrayType(item)), *item.fields])
-    raw = spark.read.schema(wrapper).option("multiLine", True).json(path)
+def batch_schema() -> StructType:
+    return StructType([StructField("run_date", PAGE["fetched_at"].dataType),
+                       StructField("listings", ArrayType(AD)), *AD.fields])
+
+
+def batch_rows(raw: DataFrame) -> DataFrame:
+    """One row per ad of batches read with ``batch_schema``, wrapped or bare."""
     nested = raw.where("listings IS NOT NULL").select("run_date", F.inline("listings"))
     bare = raw.where("listings IS NULL AND url IS NOT NULL").select("run_date", *AD.names)
     return nested.unionByName(bare)
 
 
+def scan_batch(spark: SparkSession, path: str) -> DataFrame:
+    """Search batches, ``{run_date, listings: [...]}`` or a bare array of ads."""
+    return batch_rows(spark.read.schema(batch_schema()).option("multiLine", True).json(path))
+
+
 def as_ads(df: DataFrame) -> DataFrame:
     """The full ad shape: missing columns are null, titles are cut, types are fixed."""
     have = set(df.columns)
