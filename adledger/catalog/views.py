@@ -135,7 +135,7 @@ SELECT doc_id, url,
  CASE doc_id % 5 WHEN 0 THEN 'yes' WHEN 1 THEN 'Likely' WHEN 2 THEN 'no' WHEN 3 THEN 'maybe' ELSE 'unstated' END AS verdict,
  CASE doc_id % 3 WHEN 0 THEN 'in_unit' WHEN 1 THEN 'Communal_only' ELSE 'lobby' END AS scope,
  CASE WHEN doc_id % 7 = 0 THEN '' WHEN doc_id % 7 = 1 THEN 'not a sentence of this page'
-      ELSE upper(substr(text, 20, 40)) END AS evidence
+      ELSE replace(substr(text, 20, 40), ' ', '  ') END AS evidence
 FROM {doc_pages} WHERE doc_id % 10 <> 9
 UNION ALL
 SELECT doc_id, concat(url, '/missing') AS url, 'yes' AS verdict, 'in_unit' AS scope, 'anything' AS evidence

@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from adledger import fixed
-from adledger.functions.text import squash, strip, unescape_items
+from adledger.functions.text import let, mentions, squash, strip, unescape_items
 
 
 def found(c: Column, pattern: str, group: int = 1) -> Column:
@@ -31,18 +31,22 @@ def weekly_to_monthly(c: Column) -> Column:
 
 def monthly_price(c: Column) -> Column:
     """A monthly figure, else a weekly one converted, else any amount beside a monthly word."""
-    weekly = F.replace(found(c, fixed.WEEKLY), F.lit(","), F.lit("")).try_cast("double")
-    return F.coalesce(
-        to_int(found(c, fixed.MONTHLY)),
+    def first(pattern: str) -> Column:
+        return let(F.regexp_extract(c, pattern, 1), lambda x: F.nullif(x, F.lit("")))
+
+    weekly = F.replace(first(fixed.WEEKLY), F.lit(","), F.lit("")).try_cast("double")
+    return F.when(mentions(c, "£"), F.coalesce(
+        to_int(first(fixed.MONTHLY)),
         weekly_to_monthly(weekly),
-        F.when(c.rlike(fixed.MONTH_WORD), to_int(found(c, fixed.BARE_AMOUNT))))
+        F.when(c.rlike(fixed.MONTH_WORD), to_int(first(fixed.BARE_AMOUNT)))))
 
 
 def area_sqft(c: Column) -> Column:
     """Largest plausible "N sq ft"."""
     low, high = fixed.SQFT_RANGE
     sizes = F.transform(F.regexp_extract_all(c, F.lit(fixed.SQFT), F.lit(1)), to_int)
-    return F.array_max(F.filter(sizes, lambda v: v.between(low, high)))
+    return F.when(mentions(F.lower(c), "sq"),
+                  F.array_max(F.filter(sizes, lambda v: v.between(low, high))))
 
 
 def size_from_payload(c: Column, *patterns: str) -> Column:
@@ -62,7 +66,7 @@ def fact_labels(c: Column, block: str, item: str) -> Column:
     raw = F.regexp_extract_all(F.regexp_extract(c, block, 1), F.lit(item), F.lit(1))
     plain = F.transform(raw, lambda x: F.replace(
         F.replace(x, F.lit('\\"'), F.lit('"')), F.lit("\\\\"), F.lit("\\")))
-    return F.filter(F.transform(unescape_items(plain), strip), lambda x: x != "")
+    return F.filter(F.transform(unescape_items(plain), lambda x: strip(x)), lambda x: x != "")
 
 
 # --- furnishing --------------------------------------------------------------
@@ -76,9 +80,13 @@ def furnishing_from_labels(labels: Column) -> Column:
 
 
 def furnishing_in_text(c: Column) -> Column:
-    word = found(c, fixed.FURNISHING_WORD)
-    return F.when(c.rlike(fixed.FLEXIBLE_PHRASE), F.lit(fixed.FLEXIBLE)).otherwise(
-        F.concat(F.upper(F.substring(word, 1, 1)), F.lower(word.substr(F.lit(2), F.length(word)))))
+    def word(found_word: Column) -> Column:
+        return F.concat(F.upper(F.substring(found_word, 1, 1)),
+                        F.lower(found_word.substr(F.lit(2), F.length(found_word))))
+
+    return F.when(mentions(F.lower(c), "furnished"), F.when(
+        c.rlike(fixed.FLEXIBLE_PHRASE), F.lit(fixed.FLEXIBLE)
+    ).otherwise(let(found(c, fixed.FURNISHING_WORD), word)))
 
 
 def is_flexible(furnished: Column) -> Column:
@@ -141,31 +149,38 @@ def parse_date(c: Column) -> Column:
 
 def one_date(value: Column, as_of: Column) -> Column:
     """The date inside one label value, read against ``as_of``."""
-    v = strip(strip(strip(value), "-"))
-    inside = F.regexp_extract(v, fixed.DATE_IN_VALUE, 1)
-    inside = squash(F.replace(
-        F.regexp_replace(inside, fixed.ORDINAL, "$1"), F.lit(","), F.lit(" ")))
-    month_year = r"^([A-Za-z]+) (20\d\d)$"
-    m1 = _month_number(found(inside, month_year, 1))
-    day_month = r"^(\d{1,2}) ([A-Za-z]+)$"
-    m2 = _month_number(found(inside, day_month, 2))
-
-    def yearless(offset: int) -> Column:
+    month_year, day_month = r"^([A-Za-z]+) (20\d\d)$", r"^(\d{1,2}) ([A-Za-z]+)$"
+
+    def yearless(inside: Column, month: Column, offset: int) -> Column:
         year = (F.year(as_of) + offset).cast("string")
-        d = F.when(m2.isNotNull(), _ymd(year, m2, found(inside, day_month, 1)))
-        return F.when(F.datediff(as_of, d) <= fixed.YEARLESS_PAST_DAYS, d)
+        return let(_ymd(year, month, found(inside, day_month, 1)), lambda d: F.when(
+            F.datediff(as_of, d) <= fixed.YEARLESS_PAST_DAYS, d))
+
+    def dated(inside: Column) -> Column:
+        m1 = _month_number(found(inside, month_year, 1))
+        m2 = _month_number(found(inside, day_month, 2))
+        return F.coalesce(
+            *_written(inside, r"20\d\d"),
+            let(m1, lambda m: F.when(m.isNotNull(), _ymd(
+                found(inside, month_year, 2), m, F.lit("1")))),
+            let(m2, lambda m: F.when(m.isNotNull(), F.coalesce(
+                yearless(inside, m, 0), yearless(inside, m, 1)))))
+
+    def read(v: Column) -> Column:
+        plain = F.regexp_replace(
+            F.regexp_extract(v, fixed.DATE_IN_VALUE, 1), fixed.ORDINAL, "$1")
+        return F.when(v.rlike(fixed.IMMEDIATE), as_of).otherwise(
+            let(squash(F.replace(plain, F.lit(","), F.lit(" "))), dated))
 
-    return F.when(v.rlike(fixed.IMMEDIATE), as_of).otherwise(F.coalesce(
-        *_written(inside, r"20\d\d"),
-        F.when(m1.isNotNull(), _ymd(found(inside, month_year, 2), m1, F.lit("1"))),
-        yearless(0), yearless(1)))
+    return let(strip(strip(strip(value), "-")), read)
 
 
 def availability(c: Column, as_of: Column) -> Column:
     """First availability phrase whose value is a date."""
     values = F.regexp_extract_all(c, F.lit(fixed.AVAILABLE_PHRASE), F.lit(1))
     dates = F.transform(values, lambda v: one_date(v, as_of))
-    return F.get(F.filter(dates, lambda d: d.isNotNull()), F.lit(0))
+    return F.when(mentions(F.lower(c), "availab"),
+                  F.get(F.filter(dates, lambda d: d.isNotNull()), F.lit(0)))
 
 
 # --- addresses ---------------------------------------------------------------
@@ -210,33 +225,47 @@ def host(url: Column) -> Column:
 
 # --- amenities in prose ------------------------------------------------------
 
-def prose_floor_number(c: Column) -> Column:
+def prose_floor_number(low: Column) -> Column:
     """First floor phrase that resolves to a number; 0 is the ground floor."""
-    low = F.lower(c)
     floors = F.create_map(*[F.lit(x) for kv in fixed.WORD_FLOOR.items() for x in kv])
     phrases = F.regexp_extract_all(low, F.lit(fixed.FLOOR_PHRASE), F.lit(0))
 
     def resolve(phrase: Column) -> Column:
-        word = F.coalesce(*[found(phrase, fixed.FLOOR_PHRASE, i) for i in (1, 2, 3)])
-        return F.coalesce(word.try_cast("int"), F.element_at(floors, word))
+        words = F.coalesce(*[found(phrase, fixed.FLOOR_PHRASE, i) for i in (1, 2, 3)])
+        return let(words, lambda w: F.coalesce(w.try_cast("int"), F.element_at(floors, w)))
 
     return F.get(F.filter(F.transform(phrases, resolve), lambda n: n.isNotNull()), F.lit(0))
 
 
 def amenities(c: Column) -> Column:
-    """Floor, lift, concierge, condition and stated size, as one struct."""
-    below, top = c.rlike(fixed.LOWER_GROUND), c.rlike(fixed.TOP_FLOOR)
-    number = F.when(~below & ~top, prose_floor_number(c))
-    level = F.when(below, "lower_ground").when(top, "top").when(number == 0, "ground")
-    lift = F.when(c.rlike(fixed.LIFT_NO), "no").when(c.rlike(fixed.LIFT_YES), "yes")
-    condition = (F.when(c.rlike(fixed.NEEDS_WORK), "needs_work")
-                 .when(c.rlike(fixed.NEW_BUILD), "new_build")
-                 .when(c.rlike(fixed.REFURBISHED), "refurbished"))
-    return F.struct(
-        level.alias("floor_level"), F.when(number != 0, number).alias("floor_number"),
-        lift.alias("lift"), F.when(c.rlike(fixed.CONCIERGE), "yes").alias("concierge"),
-        condition.alias("condition"),
-        area_sqft(F.regexp_replace(c, fixed.PLAN_LINE, "")).alias("size_sqft"))
+    """Floor, lift, concierge, condition and stated size, as one struct.
+
+    Each pattern only runs on texts that hold one of the words it needs.
+    """
+    def read(low: Column) -> Column:
+        def has(pattern: str, *words: str) -> Column:
+            return mentions(low, *words) & low.rlike(pattern)
+
+        work = ("refurbish", "renovat", "modernis")
+        below = has(fixed.LOWER_GROUND, "lower", "basement", "garden")
+        top = has(fixed.TOP_FLOOR, "floor", "penthouse")
+        lift = (F.when(has(fixed.LIFT_NO, "lift", "walk", "elevator"), "no")
+                .when(has(fixed.LIFT_YES, "lift", "elevator"), "yes"))
+        condition = (
+            F.when(has(fixed.NEEDS_WORK, *work, "updating", "work", "tlc"), "needs_work")
+            .when(has(fixed.NEW_BUILD, "build"), "new_build")
+            .when(has(fixed.REFURBISHED, *work, "redecorat", "brand"), "refurbished"))
+        level = F.when(below, "lower_ground").when(top, "top")
+        number = F.when(level.isNull() & mentions(low, "floor"), prose_floor_number(low))
+        stated = F.when(mentions(low, "floorplan "),
+                        F.regexp_replace(low, fixed.PLAN_LINE, "")).otherwise(low)
+        return let(number, lambda n: F.struct(
+            F.coalesce(level, F.when(n == 0, "ground")).alias("floor_level"),
+            F.when(n != 0, n).alias("floor_number"), lift.alias("lift"),
+            F.when(has(fixed.CONCIERGE, "concierge", "porter", "door"), "yes").alias("concierge"),
+            condition.alias("condition"), area_sqft(stated).alias("size_sqft")))
+
+    return let(F.lower(F.coalesce(c, F.lit(""))), read)
 
 
 def any_amenity(a: Column) -> Column:
@@ -247,18 +276,25 @@ def any_amenity(a: Column) -> Column:
 # --- plan text ---------------------------------------------------------------
 
 def _readings(flat: Column, unit: str, low: int, high: int) -> Column:
-    """Plausible areas in one unit, each with the text just before it."""
+    """Plausible areas in one unit, each with the text just before it.
+
+    Spark has no "all match positions", so a look-behind captures the label
+    text; it only runs where the number and unit already match.
+    """
     chars = fixed.PLAN_LABEL_CHARS
-    behind = rf"(?=\d)(?<=(^.{{0,{chars - 1}}}|.{{{chars}}}))"
-    pattern = "(?isU)" + behind + "(" + fixed.PLAN_NUMBER + r"\s*" + unit + ")"
+    area = fixed.PLAN_NUMBER + r"\s*" + unit
+    behind = rf"(?<=(^.{{0,{chars - 1}}}|.{{{chars}}}))"
+    pattern = rf"(?isU)(?=\d)(?={area}){behind}({area})"
 
     def every(group: int) -> Column:
         return F.regexp_extract_all(flat, F.lit(pattern), F.lit(group))
 
+    number = "^" + fixed.PLAN_NUMBER
     rows = F.transform(
-        F.arrays_zip(every(1).alias("before"), every(2).alias("match"), every(3).alias("n")),
+        F.arrays_zip(every(2).alias("before"), every(3).alias("match")),
         lambda r: F.struct(
-            F.replace(r["n"], F.lit(","), F.lit("")).try_cast("double").alias("value"),
+            F.replace(F.regexp_extract(r["match"], number, 1), F.lit(","), F.lit(""))
+            .try_cast("double").alias("value"),
             r["before"].rlike(fixed.PLAN_TOTAL).alias("total"),
             r["before"].rlike(fixed.PLAN_GROSS).alias("gross"),
             F.right(F.trim(F.concat(r["before"], r["match"])), F.lit(chars)).alias("evidence")))
@@ -267,22 +303,20 @@ def _readings(flat: Column, unit: str, low: int, high: int) -> Column:
 
 def _best(rows: Column) -> Column:
     """The first row with the largest value."""
-    top = F.array_max(F.transform(rows, lambda r: r["value"]))
-    return F.get(F.filter(rows, lambda r: r["value"] == top), F.lit(0))
+    return let(F.array_max(F.transform(rows, lambda r: r["value"])), lambda top: F.get(
+        F.filter(rows, lambda r: r["value"] == top), F.lit(0)))
 
 
 def _pick(rows: Column, scale: float, suffix: str, plain: str) -> Column:
     def result(best: Column, basis: str, confident: Column) -> Column:
-        return F.when(best.isNotNull(), F.struct(
-            F.rint(best["value"] * scale).cast("int").alias("sqft"),
-            F.lit(basis).alias("basis"), best["evidence"].alias("evidence"),
-            confident.alias("confident")))
+        return let(best, lambda b: F.when(b.isNotNull(), F.struct(
+            F.rint(b["value"] * scale).cast("int").alias("sqft"),
+            F.lit(basis).alias("basis"), b["evidence"].alias("evidence"),
+            confident.alias("confident"))))
 
-    total = _best(F.filter(rows, lambda r: r["total"]))
-    gross = _best(F.filter(rows, lambda r: r["gross"]))
     return F.coalesce(
-        result(total, "total" + suffix, F.lit(True)),
-        result(gross, "gross" + suffix, F.lit(True)),
+        result(_best(F.filter(rows, lambda r: r["total"])), "total" + suffix, F.lit(True)),
+        result(_best(F.filter(rows, lambda r: r["gross"])), "gross" + suffix, F.lit(True)),
         result(_best(rows), plain, F.size(rows) == 1))
 
 
@@ -292,13 +326,16 @@ def parse_area(c: Column) -> Column:
     Feet beat metres; a total beats a gross internal area, which beats an
     unlabelled number. Several unlabelled numbers are not trusted.
     """
-    flat = squash(F.coalesce(c, F.lit("")))
-    feet = _readings(flat, fixed.PLAN_FEET, *fixed.PLAN_FEET_RANGE)
-    metres = _readings(flat, fixed.PLAN_METRES, *fixed.PLAN_METRES_RANGE)
+    def feet_then_metres(flat: Column) -> Column:
+        feet = _readings(flat, fixed.PLAN_FEET, *fixed.PLAN_FEET_RANGE)
+        metres = _readings(flat, fixed.PLAN_METRES, *fixed.PLAN_METRES_RANGE)
+        return F.when(mentions(F.lower(flat), "sq"), F.coalesce(
+            let(feet, lambda r: _pick(r, 1.0, "", "stated")),
+            let(metres, lambda r: _pick(r, fixed.SQM_TO_SQFT, "/converted", "converted"))))
+
     nothing = F.struct(F.lit(None).cast("int").alias("sqft"), F.lit("").alias("basis"),
                        F.lit("").alias("evidence"), F.lit(False).alias("confident"))
-    return F.coalesce(_pick(feet, 1.0, "", "stated"),
-                      _pick(metres, fixed.SQM_TO_SQFT, "/converted", "converted"), nothing)
+    return F.coalesce(let(squash(F.coalesce(c, F.lit(""))), feet_then_metres), nothing)
 
 
 def plan_floors(c: Column) -> Column:
@@ -310,8 +347,8 @@ def plan_floors(c: Column) -> Column:
 
 def is_plan_text(c: Column) -> Column:
     text = F.coalesce(c, F.lit(""))
-    dims = F.regexp_count(text, F.lit(fixed.PLAN_DIMENSION))
-    return (dims >= 2) | ((dims >= 1) & text.rlike(fixed.PLAN_FLOOR_LABEL))
+    return let(F.regexp_count(text, F.lit(fixed.PLAN_DIMENSION)), lambda dims: (dims >= 2) | (
+        (dims >= 1) & text.rlike(fixed.PLAN_FLOOR_LABEL)))
 
 
 def floor_from_plan(floors: Column) -> Column:

@@ -14,6 +14,19 @@ from adledger import fixed
 _MARK = "\u0001"
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once, however often it is used."""
+    return F.get(F.transform(F.array(value), lambda v: body(v)), F.lit(0))
+
+
+def mentions(low: Column, *words: str) -> Column:
+    """Any of some plain words occurs: a byte search that spares a regex."""
+    hit = F.contains(low, F.lit(words[0]))
+    for w in words[1:]:
+        hit = hit | F.contains(low, F.lit(w))
+    return hit
+
+
 def strip(c: Column, chars: str = fixed.WHITESPACE) -> Column:
     return F.trim(c, F.lit(chars))
 
@@ -76,8 +89,8 @@ def heading_pos(low: Column, anchor: str, start: Column | int = 1) -> Column:
     """1-based position, at or after ``start``, of an anchor that begins a line; else 0."""
     a = anchor.lower()
     start = start if isinstance(start, Column) else F.lit(start)
-    newline = F.position(F.lit("\n" + a), low, F.greatest(start - 1, F.lit(1)))
-    later = F.when(newline > 0, newline + 1).otherwise(0)
+    later = let(F.position(F.lit("\n" + a), low, F.greatest(start - 1, F.lit(1))),
+                lambda newline: F.when(newline > 0, newline + 1).otherwise(0))
     return F.when((start == 1) & F.startswith(low, F.lit(a)), 1).otherwise(later)
 
 
@@ -87,19 +100,19 @@ def slice_between(c: Column, starts, ends, minlen: int = 80) -> Column:
     A start whose slice is shorter than ``minlen`` gives way to the next one;
     no start at all gives an empty text.
     """
-    low = F.lower(c)
-
-    def from_start(anchor: str) -> Column:
-        at = F.position(F.lit(anchor.lower()), low)
-        begin = at + len(anchor)
-        stops = [F.nullif(heading_pos(low, e, begin), F.lit(0)) for e in ends]
-        stop = F.least(F.length(c) + 1, *stops)
-        piece = c.substr(begin, stop - begin)
-        piece = strip(F.regexp_replace(piece, r"[ \t]*\n[ \t]*", " "), " |\n\t:")
-        piece = F.regexp_replace(piece, r"(?U)\s{2,}", " ")
-        return F.when((at > 0) & (F.length(piece) >= minlen), piece)
-
-    return F.coalesce(*[from_start(s) for s in starts], F.lit(""))
+    def from_start(low: Column, anchor: str) -> Column:
+        def cut(at: Column) -> Column:
+            begin = at + len(anchor)
+            stops = [F.nullif(heading_pos(low, e, begin), F.lit(0)) for e in ends]
+            piece = c.substr(begin, F.least(F.length(c) + 1, *stops) - begin)
+            piece = strip(F.regexp_replace(piece, r"[ \t]*\n[ \t]*", " "), " |\n\t:")
+            return let(F.when(at > 0, F.regexp_replace(piece, r"(?U)\s{2,}", " ")),
+                       lambda p: F.when(F.length(p) >= minlen, p))
+
+        return let(F.position(F.lit(anchor.lower()), low), cut)
+
+    return F.coalesce(let(F.lower(c), lambda low: F.coalesce(
+        *[from_start(low, s) for s in starts])), F.lit(""))
 
 
 def labelled_value(c: Column, label: str) -> Column:

@@ -48,23 +48,23 @@ def payload_search_nested(pages: DataFrame, page: str = "html", base: str = "",
     count = F.replace(c("_r.resultCount"), F.lit(","), F.lit(""))
     rows = res.select(
         *keep, F.when(readable & count.rlike(r"^\d+$"), count.try_cast("int")).alias("total"),
-        F.explode_outer("_r.properties").alias("p"))
-    address = strip(F.replace(F.coalesce(c("p.displayAddress"), F.lit("")),
+        F.explode_outer("_r.properties").alias("_ad"))
+    address = strip(F.replace(F.coalesce(c("_ad.displayAddress"), F.lit("")),
                               F.lit("\n"), F.lit(" ")))
-    url = F.substring_index(F.coalesce(c("p.propertyUrl"), F.lit("")), "#", 1)
-    amount = F.nullif(c("p.price.amount"), F.lit(0.0))
-    price = F.when(c("p.price.frequency") == "weekly", extract.weekly_to_monthly(amount)
+    url = F.substring_index(F.coalesce(c("_ad.propertyUrl"), F.lit("")), "#", 1)
+    amount = F.nullif(c("_ad.price.amount"), F.lit(0.0))
+    price = F.when(c("_ad.price.frequency") == "weekly", extract.weekly_to_monthly(amount)
                    ).otherwise(amount.cast("int"))
-    here = c("p").isNotNull()
+    here = c("_ad").isNotNull()
     return rows.select(
         *keep, "total", F.when(here, _absolute(url, base)).alias("url"),
-        F.when(here, _title(c("p.propertyTypeFullDescription"), address)).alias("title"),
+        F.when(here, _title(c("_ad.propertyTypeFullDescription"), address)).alias("title"),
         F.when(here, platform).alias("platform"), F.when(here, address).alias("area"),
         F.when(here, address).alias("postcode"), price.alias("price_pcm"),
-        F.substring(c("p.letAvailableDate"), 1, 10).try_cast("date").alias("available_from"),
-        c("p.bedrooms").alias("bed_count"), c("p.bathrooms").alias("bathrooms"),
-        extract.area_sqft(c("p.displaySize")).alias("size_sqft"),
-        c("p.customer.branchDisplayName").alias("contact"))
+        F.substring(c("_ad.letAvailableDate"), 1, 10).try_cast("date").alias("available_from"),
+        c("_ad.bedrooms").alias("bed_count"), c("_ad.bathrooms").alias("bathrooms"),
+        extract.area_sqft(c("_ad.displaySize")).alias("size_sqft"),
+        c("_ad.customer.branchDisplayName").alias("contact"))
 
 
 def payload_search_alt_path(pages: DataFrame, page: str = "html", base: str = "",
@@ -83,17 +83,17 @@ def payload_search_alt_path(pages: DataFrame, page: str = "html", base: str = ""
     rows = res.select(
         *keep, F.coalesce(F.nullif(F.when(c("_r.list").isNotNull(), stated), F.lit(0)),
                           on_page).alias("total"),
-        F.explode_outer("_r.list").alias("p"))
-    features = F.substring(F.array_join(c("p.features"), " / "), 1, fixed.FEATURE_CHARS)
-    here = c("p").isNotNull()
+        F.explode_outer("_r.list").alias("_ad"))
+    features = F.substring(F.array_join(c("_ad.features"), " / "), 1, fixed.FEATURE_CHARS)
+    here = c("_ad").isNotNull()
     return rows.select(
         *keep, "total",
-        F.when(here, _absolute(F.coalesce(c("p.details-url"), F.lit("")), base)).alias("url"),
-        F.when(here, _title(c("p.property-title"), c("p.address"))).alias("title"),
-        F.when(here, platform).alias("platform"), c("p.address").alias("area"),
-        c("p.address").alias("postcode"), extract.monthly_price(c("p.price")).alias("price_pcm"),
-        c("p.bedrooms").alias("bed_count"), c("p.bathrooms").alias("bathrooms"),
-        F.get_json_object("p.agent", "$.name").alias("contact"),
+        F.when(here, _absolute(F.coalesce(c("_ad.details-url"), F.lit("")), base)).alias("url"),
+        F.when(here, _title(c("_ad.property-title"), c("_ad.address"))).alias("title"),
+        F.when(here, platform).alias("platform"), c("_ad.address").alias("area"),
+        c("_ad.address").alias("postcode"), extract.monthly_price(c("_ad.price")).alias("price_pcm"),
+        c("_ad.bedrooms").alias("bed_count"), c("_ad.bathrooms").alias("bathrooms"),
+        F.get_json_object("_ad.agent", "$.name").alias("contact"),
         F.nullif(features, F.lit("")).alias("notes"))
 
 
