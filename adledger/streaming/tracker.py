@@ -44,7 +44,7 @@ def stream_upsert(ads: DataFrame, state: State, crit: Criteria, order: list[Colu
     run_available(ads, lambda w: w.foreachBatch(merge).option("checkpointLocation", checkpoint))
 
 
-HELD_OUT = "url STRING, arrived TIMESTAMP, released TIMESTAMP, how STRING"
+HELD_OUT = "url STRING, arrived_ms BIGINT, released_ms BIGINT, how STRING"
 HELD_STATE = "arrived_ms BIGINT, read_ms BIGINT, done BOOLEAN"
 
 
@@ -72,8 +72,7 @@ def _hold(key: tuple, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iter
             state.setTimeoutTimestamp(max(due, state.getCurrentWatermarkMs() + 1))
         return
     at = read if how == "read" else due
-    yield pd.DataFrame({"url": [key[0]], "arrived": [pd.Timestamp(arrived, unit="ms")],
-                        "released": [pd.Timestamp(at, unit="ms")], "how": [how]})
+    yield pd.DataFrame({"url": [key[0]], "arrived_ms": [arrived], "released_ms": [at], "how": [how]})
 
 
 def hold_release(sightings: DataFrame) -> DataFrame:
@@ -83,8 +82,10 @@ def hold_release(sightings: DataFrame) -> DataFrame:
     """
     rows = sightings.withWatermark("ts", MARGIN).select(
         "url", "ts", F.unix_millis("ts").alias("ts_ms"), "is_read")
-    return rows.groupBy("url").applyInPandasWithState(
+    held = rows.groupBy("url").applyInPandasWithState(
         _hold, HELD_OUT, HELD_STATE, "append", GroupStateTimeout.EventTimeTimeout)
+    return held.select("url", F.timestamp_millis("arrived_ms").alias("arrived"),
+                       F.timestamp_millis("released_ms").alias("released"), "how")
 
 
 def report_once(sightings: DataFrame) -> DataFrame:
