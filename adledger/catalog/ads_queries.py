@@ -62,7 +62,7 @@ def _tier_query(name: str, column: str, crit, rule, notes: str):
             if step is rule:
                 break
         name = "_notes_" + rule.__name__.split("_")[0]
-        return df.select("url", "tier", F.array_join(name, "; ").alias("notes"))
+        return df.select("url", "tier", F.col(name).alias("notes"))
     return run
 
 
@@ -77,7 +77,7 @@ _tier_query("ceiling_tier", "tier", STRICT, rules.ceiling_tier, "n3")
 def rank_ads(t: Tables):
     kept = rules.hard_filter(t.ads, CRIT.columns()).where("reason IS NULL")
     return rules.rank_ads(kept, CRIT.columns()).select(
-        "url", "price_pcm", "tier", "priority", F.array_join("rank_notes", "; ").alias("rank_notes"))
+        "url", "price_pcm", "tier", "priority", "rank_notes")
 
 
 def shortlist_of(ads, n: int = 50):
@@ -86,7 +86,7 @@ def shortlist_of(ads, n: int = 50):
     ranked = rules.rank_ads(kept, CRIT.columns())
     return ranked.orderBy(*rules.rank_order()).limit(n).select(
         "url", "title", "platform", "price_pcm", "tier", "priority",
-        F.array_join("rank_notes", "; ").alias("rank_notes"))
+        "rank_notes")
 
 
 @query("rank_order", f"""WITH kept AS (SELECT * FROM {{ads}} WHERE ({q.rule_code(CRIT)}) IS NULL),

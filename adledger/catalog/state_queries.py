@@ -27,6 +27,7 @@ def day():
 # --- upsert -----------------------------------------------------------------------
 
 def run_upsert(t: Tables, refresh: bool = False) -> upsert.Upsert:
+    t.stage("ads")
     batch = daily.with_retries(t.batch, pending_table(t), t.tracker)
     checked = verdicts.validate_verdicts(t.ad_verdicts, t.ad_pages)
     return upsert.upsert(batch, t.tracker.select(*RECORD.names), pending_table(t), checked,
@@ -159,6 +160,7 @@ def carry_stored(t: Tables):
 @query("write_state", tracker_sql(False))
 def write_state(t: Tables):
     """Two snapshots: the tracker as it stands, then this run's merge; reads the newest."""
+    t.stage("ads")
     state = tables.State(t.spark, work_dir(t.spark, "state"))
     state.write(t.tracker.select(*RECORD.names), pending_table(t), "before", dt.datetime(1998, 6, 4))
     batch = daily.with_retries(t.batch, state.pending(), state.tracker())

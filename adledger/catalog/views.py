@@ -13,6 +13,8 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 
 from adledger.criteria import Criteria
+from adledger.session import spread, work_dir
+from adledger.sources.tables import write_stage
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
           "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
@@ -208,15 +210,23 @@ class Tables:
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.dir = spark, sf_dir
         self._cache: dict[str, DataFrame] = {}
+        self._staged: set[str] = set()
 
     def __getattr__(self, name: str) -> DataFrame:
         if name.startswith("_") or (name not in TABLES and name not in VIEWS):
             raise AttributeError(name)
         if name not in self._cache:
-            self._cache[name] = (self.spark.read.parquet(f"{self.dir}/{name}.parquet")
+            self._cache[name] = (spread(self.spark.read.parquet(f"{self.dir}/{name}.parquet"))
                                  if name in TABLES else self.sql(VIEWS[name]))
         return self._cache[name]
 
+    def stage(self, name: str) -> "Tables":
+        """Writes a view once, for a query that reads it several times."""
+        if name not in self._staged:
+            self._staged.add(name)
+            self._cache[name] = write_stage(getattr(self, name), work_dir(self.spark, name))
+        return self
+
     def sql(self, text: str) -> DataFrame:
         deps = set(re.findall(r"\{(\w+)\}", text))
         spark_text = text.replace("VARCHAR(10)", "STRING")

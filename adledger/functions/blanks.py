@@ -36,5 +36,14 @@ def uninformative(c: Column) -> Column:
 
 
 def notes_of(*entries: Column) -> Column:
-    """An array of the notes that apply, in order."""
+    """The notes that apply, in order, joined; empty when there is none."""
+    return F.concat_ws("; ", *entries)
+
+
+def join_notes(*parts: Column) -> Column:
+    return F.concat_ws("; ", *[F.nullif(p, F.lit("")) for p in parts])
+
+
+def flags_of(*entries: Column) -> Column:
+    """The flags that apply, in order, as an array."""
     return F.array_compact(F.array(*entries))

@@ -188,12 +188,12 @@ def availability(c: Column, as_of: Column) -> Column:
 def district(postcode: Column, area: Column | None = None) -> Column:
     """Outward code in the postcode, else in the address."""
     fields = [postcode] if area is None else [postcode, area]
-    return F.coalesce(*[found(F.upper(f), fixed.DISTRICT) for f in fields])
+    return F.upper(F.coalesce(*[found(f, fixed.DISTRICT) for f in fields]))
 
 
 def district_stem(d: Column) -> Column:
     """SW1X -> SW1; null when there is no trailing letter."""
-    return found(F.upper(d), r"^([A-Z]{1,2}\d{1,2})[A-Z]$")
+    return F.upper(found(d, r"^([A-Za-z]{1,2}\d{1,2})[A-Za-z]$"))
 
 
 def _address(postcode: Column, area: Column) -> Column:
@@ -211,11 +211,11 @@ def addr_key(postcode: Column, area: Column) -> Column:
 
 
 def outcode(postcode: Column, area: Column) -> Column:
-    return found(F.upper(_address(postcode, area)), fixed.POSTCODE, 1)
+    return F.upper(found(_address(postcode, area), fixed.POSTCODE, 1))
 
 
 def incode(postcode: Column, area: Column) -> Column:
-    return found(F.upper(_address(postcode, area)), fixed.POSTCODE, 2)
+    return F.upper(found(_address(postcode, area), fixed.POSTCODE, 2))
 
 
 def host(url: Column) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from adledger import fixed
-from adledger.functions.blanks import blank_text, is_true, notes_of
+from adledger.functions.blanks import blank_text, flags_of, is_true
 from adledger.functions.terms import context_windows, term_scan
 from adledger.functions.text import fingerprint, norm_text, strip
 from adledger.operators.keyed import last_per_key
@@ -61,7 +61,7 @@ def validate_verdicts(verdicts: DataFrame, pages: DataFrame) -> DataFrame:
     scoped = kept & c("_v").isin("yes", "likely")
     a, b = fixed.FLAG["unknown"]
     s, z = fixed.FLAG["scope"]
-    flags = notes_of(
+    flags = flags_of(
         F.when(no_page, fixed.FLAG["no_page"]),
         F.when(unreadable, fixed.FLAG["unreadable"]),
         F.when(readable & ~known, F.concat(F.lit(a), c("_v"), F.lit(b))),

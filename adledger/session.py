@@ -11,6 +11,8 @@ SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
+    # call-site capture makes building a wide plan several times slower
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 
@@ -36,3 +38,12 @@ def work_dir(spark: SparkSession, name: str) -> str:
     """A fresh folder for one run's files under the shared folder."""
     import uuid
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def spread(df):
+    """Input of fewer partitions than there are cores is dealt out over the cores.
+
+    A large input has more partitions than that and is left as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
