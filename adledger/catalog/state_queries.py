@@ -237,6 +237,7 @@ summary AS (SELECT m.cluster_id, b.priority, b.price_pcm, count(*) AS n_ads, cou
 
 
 def clustered(t: Tables):
+    t.stage("ads")
     return cluster.cluster_ads(t.records.where(rules.is_live(F.col("status"))))
 
 
@@ -248,6 +249,7 @@ def cluster_ads(t: Tables):
 @query("cluster_ads_in_rounds", CLUSTERS + "SELECT url, cluster_id FROM members")
 def cluster_ads_in_rounds(t: Tables):
     """The path for blocks too large for one task, here taken by every shared block."""
+    t.stage("ads")
     live = t.records.where(rules.is_live(F.col("status")))
     return cluster.cluster_ads(live, fold_limit=1).select("url", "cluster_id")
 
@@ -426,12 +428,14 @@ SELECT (SELECT count(*) FROM {{tracker}} WHERE {TODAYS} AND {q.LIVE}) AS n_new,
  (SELECT CAST(sum(n_hits) AS BIGINT) FROM summary) AS ads_in_unit,
  (SELECT count(*) FROM {{tracker}} WHERE {HELD}) + (SELECT count(*) FROM {{pending_flat}}) AS waiting""")
 def daily_delta(t: Tables):
+    t.stage("ads")
     none = t.tracker.where("false").select("url", "status", F.col("notes").alias("note"))
     return daily.daily_report(t.tracker, t.pending_flat, none, RUN_DATE).counts
 
 
 @query("daily_tiers", DAILY_CLUSTERS + "SELECT cluster_id, priority, n_ads FROM summary")
 def daily_tiers(t: Tables):
+    t.stage("ads")
     none = t.tracker.where("false").select("url", "status", F.col("notes").alias("note"))
     return daily.daily_report(t.tracker, t.pending_flat, none, RUN_DATE).table.select(
         "cluster_id", "priority", "n_ads")

@@ -13,7 +13,7 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 
 from adledger.criteria import Criteria
-from adledger.session import spread, work_dir
+from adledger.session import spread, tune, work_dir
 from adledger.sources.tables import write_stage
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
@@ -208,6 +208,7 @@ class Tables:
     """The given tables of one folder and the views over them."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
+        tune(spark)
         self.spark, self.dir = spark, sf_dir
         self._cache: dict[str, DataFrame] = {}
         self._staged: set[str] = set()

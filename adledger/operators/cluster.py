@@ -18,7 +18,8 @@ from pyspark.sql import functions as F
 from adledger.functions import extract
 from adledger.functions.blanks import blank_number, blank_text, some_number, some_text
 from adledger.operators import rules
-from adledger.session import ensure_checkpoints
+from adledger.session import ensure_checkpoints, work_dir
+from adledger.sources.tables import write_stage
 
 BLOCK = ["price_pcm", "bedrooms", "bathrooms", "addr_key"]
 FACTS = ["outcode", "incode", "floor", "size", "plan"]
@@ -131,7 +132,11 @@ def assign_in_rounds(sigs: DataFrame) -> DataFrame:
 
 
 def assign_signatures(sigs: DataFrame, fold_limit: int = FOLD_LIMIT) -> DataFrame:
-    """Cluster of every signature. Only blocks over the limit go through rounds."""
+    """Cluster of every signature. Only blocks over the limit go through rounds.
+
+    The signatures are written once: they are counted per block, then folded.
+    """
+    sigs = write_stage(sigs, work_dir(sigs.sparkSession, "signatures"))
     sizes = sigs.groupBy(*BLOCK).agg(F.count("*").alias("n_sigs"))
     large = sizes.where(F.col("n_sigs") > fold_limit).select(*BLOCK)
     if large.isEmpty():

@@ -11,11 +11,20 @@ SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
+    # a generated method over 8000 bytes is never compiled by the JVM's JIT; such a
+    # stage runs faster as separate operators, whose code is split into small methods
+    "spark.sql.codegen.hugeMethodLimit": "8000",
     # call-site capture makes building a wide plan several times slower
     "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 
+def tune(spark: SparkSession) -> None:
+    """The settings a running session can still take."""
+    for name in ("spark.sql.codegen.hugeMethodLimit",):
+        spark.conf.set(name, SETTINGS[name])
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder the cluster names for checkpoints.
 
