@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 
 from adledger.llm.common import BITMAP_BITS, Sieve, without
 
+SALTS = 32
+
 
 def normalised(text: Column) -> Column:
     return F.translate(F.coalesce(text, F.lit("")), string.ascii_uppercase, string.ascii_lowercase)
@@ -52,9 +54,12 @@ def copy_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """One row per document: id, keep_id, group_size, kept, text_sha256."""
     groups = copy_groups(df, id_col, text_col, **options)
-    docs = df.select(F.col(id_col), full_hash(F.col(text_col)).alias("text_sha256"))
+    # the rows of a large group meet its one row in SALTS tasks
+    groups = groups.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    docs = df.select(F.col(id_col), full_hash(F.col(text_col)).alias("text_sha256"),
+                     F.pmod(F.hash(id_col), F.lit(SALTS)).alias("salt"))
     keep = F.when(F.col("group_size").isNull(), F.col(id_col)).otherwise(F.col("keep_id"))
-    return (docs.join(groups, "text_sha256", "left")
+    return (docs.join(groups, ["text_sha256", "salt"], "left")
             .select(id_col, keep.alias("keep_id"), F.coalesce("group_size", F.lit(1)).alias("group_size"),
                     F.col(id_col).eqNullSafe(keep).alias("kept"), "text_sha256"))
 
