@@ -9,9 +9,10 @@ time; points later than the last register's time are never made. Registers of tw
 documents agree with probability equal to their weighted Jaccard similarity.
 
 Signatures are banded. Documents of equal words are one node. In every bucket each node is
-compared with the bucket's smallest and largest node; then nodes that the bucket still has
-in different components are compared with each other, so no link between components is
-left out while a large group of near copies costs as many comparisons as it has members.
+compared with the bucket's smallest and largest node; then, in rounds, nodes outside of the
+bucket's main component with a few of that component, chosen by hash; at last nodes that the
+bucket still has in different components with each other. So no link between components is
+left out, while a large group of near copies costs a few comparisons for each member.
 Every comparison that counts is the exact weighted Jaccard similarity.
 
 Texts without a word (null, empty, blank) are copies of each other and near nothing else.
@@ -34,6 +35,7 @@ WORDS = 5
 BANDS, ROWS = 25, 5
 BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 U = np.uint64
+MASK = (1 << 64) - 1
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -91,7 +93,7 @@ def signatures(doc: np.ndarray, element: np.ndarray, weight: np.ndarray, docs: i
         low = 1 << (j - 1)
         in_it = weight > low
         who.append(doc[in_it])
-        seed.append(mix(element[in_it] + U(j) * BASE))
+        seed.append(mix(element[in_it] + U(j * int(BASE) & MASK)))
         length.append(np.full(in_it.sum(), float(low)))
         cover.append(np.minimum(weight[in_it] - low, low).astype(float))
     who, seed, length, cover = map(np.concatenate, (who, seed, length, cover))
@@ -100,7 +102,7 @@ def signatures(doc: np.ndarray, element: np.ndarray, weight: np.ndarray, docs: i
     time, k = np.zeros(len(who)), 0
     while len(who):
         k += 1
-        r = mix(seed + U(k) * BASE)
+        r = mix(seed + U(k * int(BASE) & MASK))
         time = time - np.log(((r >> U(11)).astype(float) + 0.5) / (1 << 53)) / (m * length)
         r = mix(r)
         alive = time < latest[who]
@@ -201,8 +203,18 @@ def _alike(pairs: DataFrame, sigs: DataFrame, least: float) -> DataFrame:
     return arrow_map(both, run, f"a {kind}, b {kind}")
 
 
+def _apart(members: DataFrame, comp: DataFrame) -> DataFrame:
+    """band, rep, n, comp of the members of buckets, and the bucket's most frequent component as main."""
+    placed = (members.select("band", "rep", "n").join(comp.withColumnRenamed("id", "rep"), "rep", "left")
+              .withColumn("comp", F.coalesce("comp", "rep")))
+    main = (placed.groupBy("band", "comp").agg(F.count("*").alias("c"))
+            .groupBy("band").agg(F.max_by("comp", F.struct("c", "comp")).alias("main"), F.count("*").alias("k"))
+            .where("k > 1").select("band", "main"))
+    return placed.join(main, "band")
+
+
 def near_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8,
-                 bands: int = BANDS, rows: int = ROWS, words: int = WORDS) -> DataFrame:
+                 bands: int = BANDS, rows: int = ROWS, words: int = WORDS, rounds: int = 2, delegates: int = 4) -> DataFrame:
     """One row per row of df: id, class_id (the smallest id of its class), rep (the smallest id of equal words), links.
 
     links counts the verified partners of the row's words that were compared.
@@ -228,14 +240,21 @@ def near_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     links = staged(_verified(pairs, bag, threshold), "verified")
     comp = components(links)
 
-    # nodes that share a bucket and are still apart
-    placed = (members.join(comp.withColumnRenamed("id", "rep"), "rep", "left")
-              .withColumn("comp", F.coalesce("comp", "rep")))
-    main = (members.groupBy("band").agg(F.min("low").alias("rep"))
-            .join(comp.withColumnRenamed("id", "rep"), "rep", "left")
-            .select("band", F.coalesce("comp", "rep").alias("main")))
-    apart = staged(placed.join(main, "band"), "apart")
-    minor = apart.where("comp <> main")
+    # nodes that share a bucket and are still apart: first with a few of the bucket's main component, then with all
+    compared = pairs
+    for r in range(rounds + 1):
+        apart = staged(_apart(members, comp), "apart")
+        minor = apart.where("comp <> main")
+        if r == rounds or minor.isEmpty():
+            break
+        few = [F.min_by("rep", F.xxhash64("rep", F.lit(r * delegates + j))) for j in range(delegates)]
+        chosen = apart.where("comp = main").groupBy("band").agg(F.array_distinct(F.array(*few)).alias("few"))
+        fresh = staged(minor.join(chosen, "band").select(F.col("rep").alias("x"), F.explode("few").alias("y"))
+                       .select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+                       .join(compared, ["a", "b"], "left_anti"), "pairs")
+        compared = compared.union(fresh)
+        links = links.union(staged(_verified(fresh, bag, threshold), "verified"))
+        comp = components(links)
     open_bands = minor.select("band").distinct()
     x = minor.select("band", F.col("rep").alias("x"), F.col("n").alias("nx"), F.col("comp").alias("cx"))
     y = (apart.join(open_bands, "band", "left_semi")
@@ -243,7 +262,7 @@ def near_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     fits = (F.least("nx", "ny") >= threshold * F.greatest("nx", "ny")) & (F.col("cx") != F.col("cy"))
     across = (x.join(y, "band").where(fits)
               .select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-              .join(pairs, ["a", "b"], "left_anti"))
+              .join(compared, ["a", "b"], "left_anti"))
     sigs = reps.where("rep IS NOT NULL").select("rep", "sig")
     likely = staged(_alike(across, sigs, threshold - 0.2), "likely")
     more = staged(_verified(likely, bag, threshold), "verified")
