@@ -24,6 +24,7 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -188,19 +189,51 @@ def _verified(pairs: DataFrame, bag: DataFrame, threshold: float) -> DataFrame:
     return arrow_map(both, run, f"a {kind}, b {kind}, similarity double").where(F.col("similarity") >= threshold)
 
 
-def _alike(pairs: DataFrame, sigs: DataFrame, least: float) -> DataFrame:
-    """pairs whose signatures agree in at least that share of the registers."""
-    both = (pairs.join(sigs.withColumnsRenamed({"rep": "a", "sig": "sig_a"}), "a")
-            .join(sigs.withColumnsRenamed({"rep": "b", "sig": "sig_b"}), "b").select("a", "b", "sig_a", "sig_b"))
+def _across(apart: DataFrame, nodes: DataFrame, bag: DataFrame, threshold: float, block: int = 256) -> DataFrame:
+    """Links (a, b, similarity) between nodes of a bucket that are in different components.
 
-    def run(batches):
-        for part in batches:
-            x, y = (np.frombuffer(b"".join(part.column(i).to_pylist()), np.uint16).reshape(part.num_rows, -1) for i in (2, 3))
-            keep = pa.array((x == y).mean(axis=1) >= least)
-            yield pa.RecordBatch.from_arrays([c.filter(keep) for c in part.columns[:2]], ["a", "b"])
-
-    kind = pairs.schema["a"].dataType.simpleString()
-    return arrow_map(both, run, f"a {kind}, b {kind}")
+    A bucket is cut into blocks of about `block` nodes by hash, and each pair of blocks is one
+    group of bounded size; its nodes are compared there and only links leave it. Two nodes meet
+    in the first bucket they share. A comparison is left out if the two components are already
+    known to be linked, or if the signatures agree in fewer registers than any pair of the
+    threshold's similarity would, but for one in ten million.
+    """
+    sized = apart.groupBy("band").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
+    dealt = (apart.join(sized, "band").withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+             .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+             .select("band", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "rep", "n", "comp"))
+    full = dealt.join(nodes, "rep").join(bag, "rep")
+    kind = apart.schema["rep"].dataType.simpleString()
+    least = threshold - 0.2
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        band, i, j = group["band"].iloc[0], group["i"].iloc[0], group["j"].iloc[0]
+        group = group.sort_values("rep", ignore_index=True)
+        rep, comp, bag_of = group["rep"].tolist(), pd.factorize(group["comp"])[0], group["bag"].tolist()
+        n, own = group["n"].to_numpy(), group["own"].to_numpy()
+        bands, sig = np.stack(group["bands"].to_numpy()), np.stack([np.frombuffer(x, np.uint16) for x in group["sig"]])
+        at = np.flatnonzero(bands[0] == band)[0]
+        top = list(range(int(comp.max()) + 1))
+
+        def root(c):
+            while top[c] != c:
+                top[c] = c = top[top[c]]
+            return c
+
+        out = []
+        for x in range(len(rep) - 1):
+            y = np.arange(x + 1, len(rep))
+            y = y[(comp[y] != comp[x]) & (own[y] != own[x] if i != j else True)
+                  & (np.minimum(n[y], n[x]) >= threshold * np.maximum(n[y], n[x]))]
+            y = y[~(bands[y, :at] == bands[x, :at]).any(axis=1)]
+            y = y[(sig[y] == sig[x]).mean(axis=1) >= least]
+            for k in y.tolist():
+                if (p := root(comp[x])) != (q := root(comp[k])) and (s := bag_similarity(bag_of[x], bag_of[k])) >= threshold:
+                    top[p] = q
+                    out.append((rep[x], rep[k], s))
+        return pd.DataFrame(out, columns=["a", "b", "similarity"])
+
+    return full.groupBy("band", "i", "j").applyInPandas(run, f"a {kind}, b {kind}, similarity double")
 
 
 def _apart(members: DataFrame, comp: DataFrame) -> DataFrame:
@@ -218,9 +251,7 @@ def near_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """One row per row of df: id, class_id (the smallest id of its class), rep (the smallest id of equal words), links.
 
     links counts the verified partners of the row's words that were compared.
-    With 25 bands of 5 a pair of similarity 0.8 is found with probability 0.99995. The pairs
-    of the second step are first held against their signatures: one of true similarity 0.8
-    agrees in under 0.6 of 125 registers once in ten million times.
+    With 25 bands of 5 a pair of similarity 0.8 is found with probability 0.99995.
     """
     docs = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("t"))
     signed = staged(_signed(docs, bands, rows, words), "signatures")
@@ -255,17 +286,7 @@ def near_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         compared = compared.union(fresh)
         links = links.union(staged(_verified(fresh, bag, threshold), "verified"))
         comp = components(links)
-    open_bands = minor.select("band").distinct()
-    x = minor.select("band", F.col("rep").alias("x"), F.col("n").alias("nx"), F.col("comp").alias("cx"))
-    y = (apart.join(open_bands, "band", "left_semi")
-         .select("band", F.col("rep").alias("y"), F.col("n").alias("ny"), F.col("comp").alias("cy")))
-    fits = (F.least("nx", "ny") >= threshold * F.greatest("nx", "ny")) & (F.col("cx") != F.col("cy"))
-    across = (x.join(y, "band").where(fits)
-              .select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-              .join(compared, ["a", "b"], "left_anti"))
-    sigs = reps.where("rep IS NOT NULL").select("rep", "sig")
-    likely = staged(_alike(across, sigs, threshold - 0.2), "likely")
-    more = staged(_verified(likely, bag, threshold), "verified")
+    more = staged(_across(apart, reps.where("rep IS NOT NULL").select("rep", "bands", "sig"), bag, threshold), "verified")
     if not more.isEmpty():
         links = links.union(more)
         comp = components(links)

@@ -216,7 +216,7 @@ class Labeller:
             grads |= {"x" + d: gx, "h" + d: gh, "b" + d: gb}
         return grads
 
-    def fit(self, pages: list[np.ndarray], labels: list[np.ndarray], epochs: int = 12, batch: int = 48,
+    def fit(self, pages: list[np.ndarray], labels: list[np.ndarray], epochs: int = 10, batch: int = 48,
             rate: float = 0.01, seed: int = 5) -> "Labeller":
         """Adam over batches of pages of like length."""
         r = np.random.default_rng(seed)
@@ -350,7 +350,7 @@ def layout(r: np.random.Generator, prose: list[str], short: list[str]):
 
 
 
-def train(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", sample: int = 300, drawn: int = 1500,
+def train(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", sample: int = 200, drawn: int = 800,
           most_blocks: int = 60, seed: int = 11) -> Labeller:
     """A labeller from `sample` pages at most and `drawn` layouts of their blocks.
 
