@@ -80,20 +80,25 @@ def rank_ads(t: Tables):
         "url", "price_pcm", "tier", "priority", "rank_notes")
 
 
-def shortlist_of(ads, n: int = 50):
-    """Flagship: filter, rank and order a batch; the first rows in rank order."""
+def ordered_ads(ads):
+    """Filter, rank and order a batch: all its rows in rank order."""
     kept = rules.hard_filter(ads, CRIT.columns()).where("reason IS NULL")
     ranked = rules.rank_ads(kept, CRIT.columns())
-    return ranked.orderBy(*rules.rank_order()).limit(n).select(
+    return ranked.orderBy(*rules.rank_order()).select(
         "url", "title", "platform", "price_pcm", "tier", "priority",
         "rank_notes")
 
 
+def shortlist_of(ads, n: int = 50):
+    """Flagship: the first rows of a batch in rank order."""
+    return ordered_ads(ads).limit(n)
+
+
 @query("rank_order", f"""WITH kept AS (SELECT * FROM {{ads}} WHERE ({q.rule_code(CRIT)}) IS NULL),
 {q.ranked('kept', CRIT)} SELECT url, title, platform, price_pcm, tier, priority, rank_notes FROM ranked
-ORDER BY {q.RANK_ORDER} LIMIT 50""")
+ORDER BY {q.RANK_ORDER}""")
 def rank_order(t: Tables):
-    return shortlist_of(t.ads)
+    return ordered_ads(t.ads)
 
 
 @query("district", f"""SELECT url, {q.district()} AS district FROM {{ads_raw}}""")
@@ -192,9 +197,9 @@ def retry_rows(t: Tables):
         "url", "title", "price_pcm", "retry")
 
 
-@query("pending_order", "SELECT url, CAST(first_seen AS VARCHAR) AS first_seen, attempts FROM {pending_flat} ORDER BY url LIMIT 100")
+@query("pending_order", "SELECT url, CAST(first_seen AS VARCHAR) AS first_seen, attempts FROM {pending_flat} ORDER BY url")
 def pending_order(t: Tables):
-    return pending_table(t).orderBy("url").limit(100).select(
+    return pending_table(t).orderBy("url").select(
         "url", F.col("first_seen").cast("string").alias("first_seen"), "attempts")
 
 
@@ -263,10 +268,10 @@ def write_queue(t: Tables):
 
 
 @query("queue_order", PLAN + """SELECT url, already_cached, t0 AS tier FROM plan WHERE disposition IN ('cached', 'fetch')
-ORDER BY already_cached, t0, url LIMIT 200""")
+ORDER BY already_cached, t0, url""")
 def queue_order(t: Tables):
     queued = plan(t).where("disposition IN ('cached', 'fetch')")
-    return queued.orderBy(*daily.queue_order(F.col("url"))).limit(200).select(
+    return queued.orderBy(*daily.queue_order(F.col("url"))).select(
         "url", "already_cached", "tier")
 
 
@@ -353,7 +358,7 @@ def why_ruled_out(t: Tables):
 
 
 @query("ruled_out_order", """
-SELECT url, notes FROM {tracker} WHERE NOT (""" + q.LIVE + """) ORDER BY coalesce(notes, ''), url LIMIT 200""")
+SELECT url, notes FROM {tracker} WHERE NOT (""" + q.LIVE + """) ORDER BY coalesce(notes, ''), url""")
 def ruled_out_order(t: Tables):
     dead = t.tracker.where(~rules.is_live(F.col("status")))
-    return dead.orderBy(F.coalesce("notes", F.lit("")), "url").limit(200).select("url", "notes")
+    return dead.orderBy(F.coalesce("notes", F.lit("")), "url").select("url", "notes")

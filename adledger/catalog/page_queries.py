@@ -253,7 +253,7 @@ def amenity_hits(t: Tables):
 
 @query("furnishing_from_labels", """SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'Furnished or unfurnished' WHEN 1 THEN 'Part furnished' WHEN 2 THEN 'Unfurnished' END AS furnished FROM {documents}""")
 def furnishing_from_labels(t: Tables):
-    labels = F.array(F.substring("text", 1, 30), F.expr(
+    labels = F.array(F.col("text"), F.expr(
         "CASE doc_id % 4 WHEN 0 THEN 'Available as furnished / Unfurnished' WHEN 1 THEN ' PARTLY furnished ' "
         "WHEN 2 THEN 'unfurnished' ELSE 'offered furnished' END"), F.lit("balcony"))
     return t.documents.select("doc_id", extract.furnishing_from_labels(labels).alias("furnished"))
@@ -703,8 +703,8 @@ def payload_search_nested(t: Tables):
           "l_partkey % 4, ',\"displaySize\":\"', 400 + l_partkey % 900, ' sq. ft.\",\"letAvailableDate\":\"', date_format(l_shipdate, 'yyyy-MM-dd'), 'T00:00:00Z\",\"price\":{\"amount\":', "
           "CAST(floor(l_extendedprice / 100) AS BIGINT), ',\"frequency\":\"', CASE WHEN l_partkey % 2 = 0 THEN 'weekly' ELSE 'monthly' END, '\"},\"customer\":{\"branchDisplayName\":\"Agent\"}}')")
     body = F.expr(f"""CASE WHEN l_partkey % 10 = 9 THEN '<script id="__NEXT_DATA__">not json</script>' ELSE concat('<script id="__NEXT_DATA__" type="application/json">',
- '{{"props":{{"pageProps":{{"searchResults":{{"resultCount":"1,', lpad(CAST(l_suppkey AS STRING), 3, '0'), '","properties":[', CASE WHEN l_partkey % 10 < 8 THEN {ad} ELSE '' END, ']}}}}}}}}</script>') END""")
-    pages = t.lineitem.where("l_suppkey < 1000").select(
+ '{{"props":{{"pageProps":{{"searchResults":{{"resultCount":"', format_number(1000 + l_suppkey, 0), '","properties":[', CASE WHEN l_partkey % 10 < 8 THEN {ad} ELSE '' END, ']}}}}}}}}</script>') END""")
+    pages = t.lineitem.select(
         F.col("l_orderkey").cast("string").alias("search_url"), F.col("l_linenumber").alias("page_no"),
         F.col("l_partkey").alias("p"), body.alias("html"))
     return payload.payload_search_nested(pages, base="https://base.example", keep=("search_url", "page_no", "p")).select(
@@ -778,12 +778,12 @@ def fact_labels(t: Tables):
 
 
 SOURCE_NAME = "CASE doc_id % 4 WHEN 0 THEN 'Rightmove' WHEN 1 THEN 'Zoopla' WHEN 2 THEN 'OnTheMarket' ELSE 'OpenRent' END"
-ONE_LINE = "regexp_replace(substr(text, 1, 3000), '[^a-zA-Z0-9 .]+', ' ', 'g')"
+ONE_LINE = "regexp_replace(text, '[^a-zA-Z0-9 .]+', ' ', 'g')"
 
 
 def detail_pages(t: Tables):
     """Detail pages of four layouts round each document's own text."""
-    prose = F.regexp_replace(F.substring("text", 1, 3000), "[^a-zA-Z0-9 .]+", " ")
+    prose = F.regexp_replace("text", "[^a-zA-Z0-9 .]+", " ")
     rows = t.documents.select("doc_id", prose.alias("b"), F.expr(SOURCE_NAME).alias("source_name"))
     html = F.expr(r"""CASE doc_id % 4 WHEN 0 THEN concat('<title>2 bedroom flat for rent in Mill Lane &amp; Co, London, SW', 1 + doc_id % 9, '</title><ul data-testid="keyFeatures"><li>Lift</li><li><b>Roof</b> &amp; terrace</li></ul><h2 class="x">Description</h2><p>', b, '</p></section> Furnish type: Unfurnished Council Tax: D Let available date: 26/09/2024 Deposit: 900')
  WHEN 1 THEN concat('{"tagsV2":[{"label":"Available from 8 November 2024"},{"label":"Unfurnished"}],"sizeSqFeet":"', 600 + doc_id % 500, '"}')

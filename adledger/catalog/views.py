@@ -13,7 +13,7 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 
 from adledger.criteria import Criteria
-from adledger.session import spread, tune, work_dir
+from adledger.session import tune, work_dir
 from adledger.sources.tables import write_stage
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
@@ -217,7 +217,7 @@ class Tables:
         if name.startswith("_") or (name not in TABLES and name not in VIEWS):
             raise AttributeError(name)
         if name not in self._cache:
-            self._cache[name] = (spread(self.spark.read.parquet(f"{self.dir}/{name}.parquet"))
+            self._cache[name] = (self.spark.read.parquet(f"{self.dir}/{name}.parquet")
                                  if name in TABLES else self.sql(VIEWS[name]))
         return self._cache[name]
 

@@ -17,9 +17,14 @@ def _one_per_key(df: DataFrame, key: str, order: Sequence[Column]) -> DataFrame:
     return df.withColumn("_rn", rank).where("_rn = 1").drop("_rn")
 
 
+def trimmed(df: DataFrame, key: str = "url") -> DataFrame:
+    """Rows with their key trimmed; a blank key drops the row."""
+    return df.withColumn(key, strip(F.col(key))).where(F.col(key) != "")
+
+
 def first_per_key(df: DataFrame, order: Sequence[Column], key: str = "url") -> DataFrame:
-    """First row per key under a total order; rows with a blank key are dropped."""
-    return _one_per_key(df.where(strip(F.col(key)) != ""), key, order)
+    """First row per trimmed key under a total order; rows with a blank key are dropped."""
+    return _one_per_key(trimmed(df, key), key, order)
 
 
 def last_per_key(parts: Sequence[DataFrame], order: Sequence[Column] = (),
@@ -30,7 +35,7 @@ def last_per_key(parts: Sequence[DataFrame], order: Sequence[Column] = (),
     for part in ranked[1:]:
         rows = rows.unionByName(part, allowMissingColumns=True)
     newest_first = [F.col("_part").desc(), *[c.desc() for c in order]]
-    return _one_per_key(rows.where(strip(F.col(key)) != ""), key, newest_first).drop("_part")
+    return _one_per_key(trimmed(rows, key), key, newest_first).drop("_part")
 
 
 def union_sources(parts: Sequence[DataFrame], order: Sequence[Column]) -> DataFrame:
@@ -48,6 +53,7 @@ def known_url_set(tracker: DataFrame) -> DataFrame:
 
 def new_only(batch: DataFrame, known: DataFrame, refresh: bool = False) -> DataFrame:
     """Batch rows whose URL is not tracked. With ``refresh`` all rows stay, flagged."""
+    batch, known = trimmed(batch), trimmed(known)
     if not refresh:
         return batch.join(known.select("url"), "url", "left_anti").withColumn(
             "tracked", F.lit(False))

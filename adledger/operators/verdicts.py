@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,8 +18,13 @@ class UnjudgedError(RuntimeError):
     """Rows flagged for review still have no verdict."""
 
 
-def flatten_verdicts(raw: DataFrame) -> DataFrame:
-    """Nested or flat verdict rows as (url, verdict, scope, evidence, text_sha)."""
+def flatten_verdicts(raw: DataFrame, order: Sequence[Column] = ()) -> DataFrame:
+    """Nested or flat verdict rows as (url, verdict, scope, evidence, text_sha).
+
+    With ``order``, columns of raw that say which came later, the last one of each URL wins.
+    """
+    if order:
+        raw = last_per_key([raw], order)
     names = ("verdict", "scope", "evidence")
     picked = []
     for n in names:
@@ -128,10 +135,15 @@ def stamp_verdicts(fresh: DataFrame, pages: DataFrame) -> DataFrame:
             .withColumn("text_sha", F.coalesce("_sha", "text_sha")).drop("_sha"))
 
 
-def merge_verdicts(base: DataFrame, fresh: DataFrame, pages: DataFrame) -> DataFrame:
-    """Base and stamped fresh verdicts, the fresh one winning per URL."""
+def merge_verdicts(base: DataFrame, fresh: DataFrame, pages: DataFrame,
+                   order: Sequence[Column] = ()) -> DataFrame:
+    """Base and stamped fresh verdicts, the fresh one winning per URL.
+
+    ``order`` says which of several verdicts in one part came later, and the last one
+    wins; without it a repeated URL is settled by the verdict's own columns.
+    """
     return last_per_key([base, stamp_verdicts(fresh, pages)],
-                        [F.col("verdict"), F.col("scope"), F.col("evidence")])
+                        [*order, F.col("verdict"), F.col("scope"), F.col("evidence")])
 
 
 def unjudged(review: DataFrame, verdicts: DataFrame) -> DataFrame:

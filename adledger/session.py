@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -28,13 +29,18 @@ def tune(spark: SparkSession) -> None:
 def shared_dir(spark: SparkSession) -> str:
     """The folder the cluster names for checkpoints.
 
-    Only a local session without the setting falls back to a temporary folder.
+    Only a local session without the setting uses a temporary folder, one per session.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
+    return _local_dir(spark.sparkContext.applicationId)
+
+
+@functools.cache
+def _local_dir(application: str) -> str:
     return tempfile.mkdtemp(prefix="spark-")
 
 
@@ -48,11 +54,3 @@ def work_dir(spark: SparkSession, name: str) -> str:
     import uuid
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
-
-def spread(df):
-    """Input of fewer partitions than there are cores is dealt out over the cores.
-
-    A large input has more partitions than that and is left as it is.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
