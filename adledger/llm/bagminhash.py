@@ -34,6 +34,7 @@ from adledger.llm.components import components
 
 WORDS = 5
 BANDS, ROWS = 25, 5
+SLICE = 1 << 20  # bytes of text hashed at once; arrays take some 100 times that
 BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 U = np.uint64
 MASK = (1 << 64) - 1
@@ -130,7 +131,7 @@ def _signed(df: DataFrame, bands: int, rows: int, words: int) -> DataFrame:
     m = bands * rows
 
     def run(batches):
-        for part in slices(batches, 1, 4 << 20):
+        for part in slices(batches, 1, SLICE):
             texts = part.column(1).to_pylist()
             doc, element, weight, clean = bags(texts, words)
             docs = len(texts)
@@ -150,7 +151,7 @@ def _signed(df: DataFrame, bands: int, rows: int, words: int) -> DataFrame:
 def _bag_rows(df: DataFrame, words: int) -> DataFrame:
     """rep, bag: the sorted 32-bit shingle hashes of a document, each as often as it occurs."""
     def run(batches):
-        for part in slices(batches, 1, 4 << 20):
+        for part in slices(batches, 1, SLICE):
             doc, element, weight, _ = bags(part.column(1).to_pylist(), words)
             cuts = np.searchsorted(doc, np.arange(part.num_rows + 1))
             out = [np.repeat((element[a:b] >> U(16)).astype(np.uint32), weight[a:b]).tobytes() for a, b in zip(cuts, cuts[1:])]
