@@ -44,26 +44,37 @@ def quoted(text: Column, evidence: Column) -> Column:
     return F.contains(norm_text(text), norm_text(evidence))
 
 
+def _quotes_found(asked: DataFrame, pages: DataFrame) -> DataFrame:
+    """(url, evidence) of asked, once each, with ``_quoted``: the quote is on the page.
+
+    Only here a page's text meets another table, and only the result leaves it.
+    """
+    asked = asked.select("url", "evidence").distinct()
+    return (pages.select("url", "text").join(asked, "url")
+            .select("url", "evidence", quoted(F.coalesce("text", F.lit("")), F.col("evidence")).alias("_quoted")))
+
+
 def validate_verdicts(verdicts: DataFrame, pages: DataFrame) -> DataFrame:
     """Keeps a claim only if its quote occurs on its page.
 
-    One row per verdict: (url, verdict, scope, evidence, checked, flags). The
-    page text is only normalised for rows that have a claim to check.
+    One row per verdict: (url, verdict, scope, evidence, checked, flags). Texts are
+    looked up for known claims with a quote alone.
     """
     c = F.col
-    page = pages.select("url", c("text").alias("_text"),
+    page = pages.select("url", c("text").isNull().alias("_unread"),
                         F.to_date("fetched_at").alias("_day"), F.lit(True).alias("_page"))
     word, scope = F.lower(strip(c("verdict"))), F.lower(strip(c("scope")))
-    df = verdicts.join(page, "url", "left").select(
+    said = verdicts.select(
         "url", F.coalesce(word, F.lit("")).alias("_v"), F.coalesce(scope, F.lit("")).alias("_s"),
-        F.coalesce(strip(c("evidence")), F.lit("")).alias("_e"), "_text", "_day", "_page")
+        F.coalesce(strip(c("evidence")), F.lit("")).alias("evidence"))
+    claims = said.where(c("_v").isin(*fixed.VERDICTS) & (c("_v") != "unstated") & (c("evidence") != ""))
+    df = (said.join(page, "url", "left").join(_quotes_found(claims, pages), ["url", "evidence"], "left")
+          .withColumnRenamed("evidence", "_e"))
     no_page = c("_page").isNull()
-    unreadable = ~no_page & c("_text").isNull()
+    unreadable = ~no_page & c("_unread")
     readable = ~no_page & ~unreadable
     known = c("_v").isin(*fixed.VERDICTS)
     claim = readable & known & (c("_v") != "unstated")
-    df = df.withColumn("_quoted", F.when(
-        claim & (c("_e") != ""), quoted(c("_text"), c("_e"))))
     kept = claim & is_true(c("_quoted"))
     scoped = kept & c("_v").isin("yes", "likely")
     a, b = fixed.FLAG["unknown"]
@@ -73,7 +84,7 @@ def validate_verdicts(verdicts: DataFrame, pages: DataFrame) -> DataFrame:
         F.when(unreadable, fixed.FLAG["unreadable"]),
         F.when(readable & ~known, F.concat(F.lit(a), c("_v"), F.lit(b))),
         F.when(claim & (c("_e") == ""), F.concat(c("_v"), F.lit(fixed.FLAG["no_quote"]))),
-        F.when(claim & ~c("_quoted"), F.concat(c("_v"), F.lit(fixed.FLAG["not_found"]))),
+        F.when(claim & (c("_e") != "") & ~is_true(c("_quoted")), F.concat(c("_v"), F.lit(fixed.FLAG["not_found"]))),
         F.when(scoped & ~c("_s").isin(*fixed.SCOPES),
                F.concat(F.lit(s), c("_s"), F.lit(z))))
     return df.select(
@@ -89,34 +100,40 @@ def carry_verdicts(store: DataFrame, pages: DataFrame) -> DataFrame:
     """Stored verdicts whose page is still there, with ``fresh``.
 
     Fresh: the stored fingerprint is the page's; without a fingerprint, the
-    quote is still on the page or there was none.
+    quote is still on the page or there was none. Pages are joined by their
+    fingerprints; texts are looked up only for quotes without one.
     """
-    page = pages.select("url", F.coalesce("text", F.lit("")).alias("_text"))
-    fresh = F.when(blank_text(F.col("text_sha")), blank_text(F.col("evidence"))
-                   | quoted(F.col("_text"), F.col("evidence"))
-                   ).otherwise(F.col("text_sha") == fingerprint(F.col("_text")))
-    return (store.join(page, "url").withColumn("fresh", is_true(fresh)).drop("_text"))
+    c = F.col
+    page = pages.select("url", fingerprint(F.coalesce("text", F.lit(""))).alias("_sha"))
+    unsigned = store.where(blank_text(c("text_sha")) & ~blank_text(c("evidence")))
+    fresh = F.when(blank_text(c("text_sha")), blank_text(c("evidence")) | c("_quoted")
+                   ).otherwise(c("text_sha") == c("_sha"))
+    names = store.columns
+    return (store.join(page, "url").join(_quotes_found(unsigned, pages), ["url", "evidence"], "left")
+            .select(*names, is_true(fresh).alias("fresh")))
 
 
 def rejudge_partition(pages: DataFrame, store: DataFrame, terms=fixed.TERMS,
                       decoys=fixed.DECOYS) -> DataFrame:
     """Every page as ``silent``, ``carried`` or ``review``, with ``rejudge``.
 
-    Only pages that mention a term are looked up in the store.
+    Only pages that mention a term are looked up in the store; the others are never shuffled.
     """
     scanned = term_scan(pages, "text", terms, decoys)
     carried = carry_verdicts(store, pages).select(
         "url", "verdict", "scope", "evidence", "fresh")
     c = F.col
-    return (scanned.join(carried, "url", "left")
-            .withColumn("class", F.when(F.size("terms") == 0, "silent")
-                        .when(is_true(c("fresh")), "carried").otherwise("review"))
-            .withColumn("rejudge", (c("class") == "review") & is_true(~c("fresh")))
-            .withColumn("verdict", F.when(c("class") == "silent", "unstated")
-                        .when(c("class") == "carried", c("verdict")))
-            .withColumn("scope", F.when(c("class") == "carried", c("scope")))
-            .withColumn("evidence", F.when(c("class") == "carried", c("evidence")))
-            .drop("fresh"))
+    silent = F.size("terms") == 0
+    looked_up = (scanned.where(~silent).join(carried, "url", "left")
+                 .withColumn("class", F.when(is_true(c("fresh")), "carried").otherwise("review"))
+                 .withColumn("rejudge", (c("class") == "review") & is_true(~c("fresh")))
+                 .withColumns({n: F.when(c("class") == "carried", c(n))
+                               for n in ("verdict", "scope", "evidence")}).drop("fresh"))
+    nothing = F.lit(None).cast("string")
+    quiet = scanned.where(silent).withColumns({
+        "class": F.lit("silent"), "rejudge": F.lit(False), "verdict": F.lit("unstated"),
+        "scope": nothing, "evidence": nothing})
+    return looked_up.unionByName(quiet)
 
 
 def review_items(partitioned: DataFrame, terms=fixed.TERMS) -> DataFrame:

@@ -3,49 +3,49 @@
 from pyspark.sql.types import (BooleanType, DateType, IntegerType, LongType, MapType, StringType,
                                StructField, StructType)
 
-_TYPES = {"str": StringType(), "int": IntegerType(), "date": DateType(), "bool": BooleanType(),
-          "long": LongType()}
+_TYPES = {"STRING": StringType(), "INT": IntegerType(), "BIGINT": LongType(), "DATE": DateType(),
+          "BOOLEAN": BooleanType()}
 
 
-def _struct(**groups: str) -> StructType:
-    """``kind="names"`` per column group, in order; a trailing ``_`` splits a repeated kind."""
-    return StructType([StructField(name, _TYPES[kind.rstrip("_0123456789")])
-                       for kind, names in groups.items() for name in names.split()])
+def _ddl(columns: str) -> StructType:
+    """Flat DDL; Spark's own parser needs a session, and these are read without one."""
+    return StructType([StructField(name, _TYPES[kind]) for name, kind in map(str.split, columns.split(","))])
 
 
-AD = _struct(
-    str="url title platform type area postcode", int="price_pcm", str_2="bills_included",
-    date="available_from", str_3="furnished",
-    int_2="bed_count bathrooms size_sqft flatmates", str_4="contact notes",
-    bool="bathrooms_verified_by_search area_trusted", str_5="region_district region_name",
-    bool_2="retry", str_6="floor_level", int_3="floor_number",
-    str_7="lift concierge condition", int_4="size_sqft_plan", str_8="size_plan_basis",
-    bool_3="size_plan_confident")
+# fixed values: the columns that inputs and results must have
+AD = _ddl("""
+ url STRING, title STRING, platform STRING, type STRING, area STRING, postcode STRING,
+ price_pcm INT, bills_included STRING, available_from DATE, furnished STRING, bed_count INT,
+ bathrooms INT, size_sqft INT, flatmates INT, contact STRING, notes STRING,
+ bathrooms_verified_by_search BOOLEAN, area_trusted BOOLEAN, region_district STRING,
+ region_name STRING, retry BOOLEAN, floor_level STRING, floor_number INT, lift STRING,
+ concierge STRING, condition STRING, size_sqft_plan INT, size_plan_basis STRING,
+ size_plan_confident BOOLEAN""")
 
-PAGE = _struct(str="url", date="fetched_at", str_2="source text")
+PAGE = _ddl("url STRING, fetched_at DATE, source STRING, text STRING")
 
-RECORD = _struct(
-    str="url title platform area postcode", int="price_pcm", str_2="bills_included",
-    date="available_from", str_3="furnished",
-    int_2="bedrooms bathrooms size_sqft size_sqft_plan", str_4="floor_level",
-    int_3="floor_number", str_5="lift concierge condition contact aircon aircon_scope "
-    "aircon_evidence", date_2="aircon_checked", str_6="notes priority status decision_note",
-    date_3="found_on last_seen reported_on")
+RECORD = _ddl("""
+ url STRING, title STRING, platform STRING, area STRING, postcode STRING, price_pcm INT,
+ bills_included STRING, available_from DATE, furnished STRING, bedrooms INT, bathrooms INT,
+ size_sqft INT, size_sqft_plan INT, floor_level STRING, floor_number INT, lift STRING,
+ concierge STRING, condition STRING, contact STRING, aircon STRING, aircon_scope STRING,
+ aircon_evidence STRING, aircon_checked DATE, notes STRING, priority STRING, status STRING,
+ decision_note STRING, found_on DATE, last_seen DATE, reported_on DATE""")
 
 PENDING = StructType([
-    *_struct(str="url", date="first_seen", int="attempts", date_2="last_tried last_seen").fields,
+    *_ddl("url STRING, first_seen DATE, attempts INT, last_tried DATE, last_seen DATE").fields,
     StructField("row", AD)])
 
-FLAT_VERDICT = _struct(str="url verdict scope evidence text_sha")
+FLAT_VERDICT = _ddl("url STRING, verdict STRING, scope STRING, evidence STRING, text_sha STRING")
 
 VERDICT = StructType([
     StructField("url", StringType()),
-    StructField("aircon", _struct(str="verdict scope evidence")),
+    StructField("aircon", _ddl("verdict STRING, scope STRING, evidence STRING")),
     *FLAT_VERDICT.fields[1:]])
 
-DECISION = _struct(str="url status note")
+DECISION = _ddl("url STRING, status STRING, note STRING")
 
 BASELINE = StructType([
-    *_struct(date="taken_on", long="tracked live ruled_out").fields,
+    *_ddl("taken_on DATE, tracked BIGINT, live BIGINT, ruled_out BIGINT").fields,
     StructField("aircon_live", MapType(StringType(), LongType())),
-    *_struct(long="aircon_in_unit unreported").fields])
+    *_ddl("aircon_in_unit BIGINT, unreported BIGINT").fields])
