@@ -193,15 +193,23 @@ def _verified(pairs: DataFrame, bag: DataFrame, threshold: float) -> DataFrame:
 def _across(apart: DataFrame, nodes: DataFrame, bag: DataFrame, threshold: float, block: int = 256) -> DataFrame:
     """Links (a, b, similarity) between nodes of a bucket that are in different components.
 
-    A bucket is cut into blocks of about `block` nodes by hash, and each pair of blocks is one
-    group of bounded size; its nodes are compared there and only links leave it. Two nodes meet
+    A bucket is cut by hash into blocks of about `block` nodes, those of its main component
+    apart from the others, and each pair of blocks is one group of bounded size; its nodes are
+    compared there and only links leave it. Two blocks of the main component never meet, so few
+    stragglers cost a large bucket little. Two nodes meet
     in the first bucket they share. A comparison is left out if the two components are already
     known to be linked, or if the signatures agree in fewer registers than any pair of the
     threshold's similarity would, but for one in ten million.
     """
-    sized = apart.groupBy("band").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
-    dealt = (apart.join(sized, "band").withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-             .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    main = F.col("comp") == F.col("main")
+    blocks = lambda of: F.ceil(F.count_if(of) / block).cast("int")
+    sized = (apart.groupBy("band").agg(blocks(~main).alias("minors"), F.when(F.count("*") > block, blocks(main))
+                                       .otherwise(0).alias("mains")).where("minors > 0"))
+    slot, aside = F.xxhash64("rep"), main & (F.col("mains") > 0)  # a small bucket is one block
+    dealt = (apart.join(sized, "band")
+             .withColumn("own", F.when(aside, F.col("minors") + F.pmod(slot, "mains")).otherwise(F.pmod(slot, "minors")).cast("int"))
+             .withColumn("other", F.explode(F.sequence(F.lit(0), F.when(aside, F.col("minors")).otherwise(
+                 F.col("minors") + F.col("mains")) - 1)))
              .select("band", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "rep", "n", "comp"))
     full = dealt.join(nodes, "rep").join(bag, "rep")
     kind = apart.schema["rep"].dataType.simpleString()
