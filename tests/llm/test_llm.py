@@ -229,6 +229,17 @@ def test_widely_copied_values_are_no_live_secrets(spark):
     assert got == {**{i: 0 for i in range(6)}, 9: 2}
 
 
+def test_no_gate_loses_a_loose_token():
+    r = random.Random(5)
+    letters = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    for n in [*range(24, 44), 90, 200]:  # digits in the middle only; the long ones have no digit among the first 40
+        side = (n - 3) // 2
+        value = "".join(r.choices(letters, k=side)) + "407" + "".join(r.choices(letters, k=n - 3 - side))
+        for text in (value, f"say {value} z", f"say {value} z 0123456789abcdefABCDEFG"):
+            at = text.index(value)
+            assert (4, at, at + n, value) in secret_scan.all_spans(text), value
+
+
 def test_context_mixing(docs, empty):
     got = {r.doc_id: r for r in context_mixing.score(docs).collect()}
     rows = pairs(docs)
