@@ -4,10 +4,10 @@ A text becomes the model's normal form: a leading mark, each space as the mark U
 piece of the vocabulary holds a mark after another character, so the units (marks, then
 other characters) are merged apart from each other. Within a unit candidate merges wait in
 an agenda ordered by score, then position. When one is taken, a keyed hash of (seed,
-variant, unit, span) decides whether it is skipped for good; so the same key gives the same
-segmentation anywhere. The variant of each occurrence of a unit comes from a keyed hash of
-(seed, document, occurrence), in 0..variants-1: one unit is cut differently within a text,
-while each (unit, variant) is merged once as long as it stays in a bounded cache.
+document, occurrence, span) decides whether it is skipped for good; so every occurrence is
+cut for itself, and the same key gives the same segmentation anywhere. What a unit becomes
+without a skip stays in a bounded cache with the merges that lead there: an occurrence whose
+hashes skip none of them ends there too, and only the others are merged on their own.
 
 Characters without a piece become byte pieces. A mark that stands in the text itself also
 becomes byte pieces, which the library would not do, so that decoding is lossless: decode()
@@ -18,8 +18,8 @@ from __future__ import annotations
 
 import hashlib
 import re
-import zlib
 from heapq import heapify, heappop, heappush
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -38,7 +38,7 @@ UNITS = re.compile(" *[^ ]+| +")
 class Coder:
     """Encodes and decodes with one SentencePiece BPE model with byte pieces."""
 
-    def __init__(self, path: str, dropout: float = 0.1, seed: int = 0, variants: int = 4, cache: int = 150_000):
+    def __init__(self, path: str, dropout: float = 0.1, seed: int = 0, cache: int = 150_000):
         from sentencepiece import SentencePieceProcessor
 
         model = SentencePieceProcessor(model_file=path)
@@ -56,11 +56,12 @@ class Coder:
         if len(self.bytes) != 256:
             raise ValueError("the model has no byte pieces; it could not give every text back")
         self.threshold = int(dropout * (1 << 32))
-        self.seed, self.variants = seed, variants if dropout else 1
-        self.cache, self.known = cache, [{} for _ in range(self.variants)]
+        self.seed = seed
+        # ids of units without a skip, and the merges on the way as 64-bit offsets to a key
+        self.cache, self.known, self.path = cache, [{}], {}
 
-    def _merge(self, unit: str, key: int) -> list[str]:
-        """The pieces of one unit."""
+    def _merge(self, unit: str, key: int, path: list[int] | None = None) -> list[str]:
+        """The pieces of one unit; key 0 skips nothing, and path is given the merges."""
         n, score = len(unit), self.score
         text = list(unit)
         if n == 1:
@@ -68,17 +69,20 @@ class Coder:
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
         agenda = [(score[p], i, p) for i in range(n - 1) if (p := unit[i:i + 2]) in score]
         heapify(agenda)
-        threshold = self.threshold
+        threshold = self.threshold if key else 0
         while agenda:
             _, i, piece = heappop(agenda)
             j = after[i]
             if not text[i] or j >= n or text[i] + text[j] != piece:
                 continue
+            span = (i << 42 | j << 21 | after[j]) * GOLDEN
             if threshold:
-                h = (key + (i * 0x10001 + j + len(text[j]) * 0x101) * GOLDEN) & MASK
+                h = (key + span) & MASK
                 h = ((h ^ (h >> 29)) * 0xBF58476D1CE4E5B9) & MASK
                 if (h >> 32) < threshold:
                     continue
+            if path is not None:
+                path.append(span & MASK)
             text[i], text[j] = piece, ""
             k = after[i] = after[j]
             if k < n:
@@ -89,24 +93,24 @@ class Coder:
                 heappush(agenda, (score[p], k, p))
         return [p for p in text if p]
 
-    def _keys(self, units: list[str], variant: int) -> np.ndarray:
-        """The key of each unit's merges."""
-        if not self.threshold:
-            return np.zeros(len(units), U)
-        start = zlib.crc32(b"%d" % self.seed)
-        crc = np.fromiter((zlib.crc32(u.encode(), start) for u in units), U, len(units))
-        return mix(crc << U(8) | U(variant & 255))
+    def _skipped(self, h: np.ndarray) -> np.ndarray:
+        """Whether keys plus merges are skipped."""
+        h = (h ^ (h >> U(29))) * U(0xBF58476D1CE4E5B9)
+        return (h >> U(32)) < U(self.threshold)
 
-    def _unit(self, unit: str, variant: int) -> tuple[int, ...]:
+    def _unit(self, unit: str, key: int = 0, path: list[int] | None = None) -> tuple[int, ...]:
         """Ids of a unit as it stands in the text; its spaces stand for marks."""
-        key, out = int(self._keys([unit], variant)[0]), []
+        out = []
         # a mark of the text itself is no space: it ends a stretch and becomes bytes
         for i, stretch in enumerate(unit.split(MARK)):
             if i:
                 out += [self.bytes[b] for b in MARK.encode()]
-            for piece in self._merge(stretch.replace(" ", MARK), key + i) if stretch else ():
+            own = None if path is None else []
+            for piece in self._merge(stretch.replace(" ", MARK), key and key + i, own) if stretch else ():
                 number = self.ids.get(piece)
                 out += [number] if number is not None else [self.bytes[b] for b in piece.encode()]
+            if own:
+                path += [(x + i) & MASK for x in own]
         return tuple(out)
 
     def _table(self) -> None:
@@ -128,21 +132,27 @@ class Coder:
         for p, i in self.ids.items():
             self.rank[i] = order[self.score[p]]
 
-    def _many(self, units: list[str], keys: np.ndarray, most: int = 1 << 14) -> list[tuple[int, ...] | None]:
-        """What _unit gives, for units of few characters in step; None where it must be asked."""
+    def _many(self, units: list[str], keys: np.ndarray | None, most: int = 1 << 14):
+        """What _unit gives, for units of few characters in step; without keys no skips, and the merges as bytes too."""
         if not hasattr(self, "pair"):
             self._table()
         out: list[tuple[int, ...] | None] = [None] * len(units)
+        paths = None if keys is not None else [b""] * len(units)
         lengths = np.fromiter(map(len, units), np.int64, len(units))
         marked = np.fromiter((MARK in u for u in units), bool, len(units))  # a mark of the text itself
         short = np.flatnonzero((lengths <= 40) & ~marked)
         short = short[np.argsort(lengths[short], kind="stable")]
         for at in range(0, len(short), most):
             rows = short[at:at + most]
-            self._step([units[i] for i in rows], lengths[rows], keys[rows], rows, out)
-        return out
-
-    def _step(self, units, lengths, keys, rows, out) -> None:
+            self._step([units[i] for i in rows], lengths[rows], None if keys is None else keys[rows], rows, out, paths)
+        for i in np.flatnonzero((lengths > 40) | marked).tolist():
+            own = None if paths is None else []
+            out[i] = self._unit(units[i], 0 if keys is None else int(keys[i]), own)
+            if own:
+                paths[i] = np.array(own, U).tobytes()
+        return out, paths
+
+    def _step(self, units, lengths, keys, rows, out, paths) -> None:
         n, wide, none = len(units), int(lengths.max()), np.int32(2**31 - 1)
         flat = np.frombuffer("".join(units).replace(" ", MARK).encode("utf-32-le"), np.uint32)
         cell = np.arange(wide) < lengths[:, None]
@@ -154,6 +164,9 @@ class Coder:
         made = np.zeros((n, wide + 1), np.int32)
         rank = np.full((n, wide + 1), none, np.int32)
 
+        def span(i, j, end):
+            return (i.astype(U) << U(42) | j.astype(U) << U(21) | end.astype(U)) * U(GOLDEN)
+
         def offer(r, i):
             """Puts the pair that starts at i of row r into the agenda."""
             j = after[r, i]
@@ -163,12 +176,8 @@ class Coder:
             k = np.searchsorted(self.pair, want)
             ok = (self.pair[k] == want) & (symbol[r, i] >= 0) & (symbol[r, j] >= 0)
             r, i, j, k = r[ok], i[ok], j[ok], k[ok]
-            if self.threshold:
-                end = after[r, j]
-                h = keys[r] + (i.astype(U) * U(0x10001) + j.astype(U) + end.astype(U) * U(0x101)
-                               - j.astype(U) * U(0x101)) * U(GOLDEN)
-                h = (h ^ (h >> U(29))) * U(0xBF58476D1CE4E5B9)
-                ok = (h >> U(32)) >= U(self.threshold)
+            if keys is not None:
+                ok = ~self._skipped(keys[r] + span(i, j, after[r, j]))
                 r, i, k = r[ok], i[ok], k[ok]
             made[r, i] = self.made[k]
             rank[r, i] = self.rank[self.made[k]]
@@ -177,12 +186,14 @@ class Coder:
         for i in range(wide - 1):
             r = every[lengths > i + 1]
             offer(r, np.full(len(r), i))
-        live = every
+        live, taken = every, []
         while len(live):
             i = rank[live].argmin(axis=1)
             ok = rank[live, i] < none
             live, i = live[ok], i[ok]
             j = after[live, i]
+            if paths is not None:
+                taken.append((live, span(i, j, after[live, j])))
             symbol[live, i] = made[live, i]
             symbol[live, j] = -2
             rank[live, j] = none
@@ -194,6 +205,12 @@ class Coder:
             left = p >= 0
             rank[live[left], p[left]] = none
             offer(live[left], p[left])
+        if taken:
+            row, merges = map(np.concatenate, zip(*taken))
+            merges = merges[np.argsort(row, kind="stable")]
+            ends = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=n))]).tolist()
+            for r, a, b in zip(rows.tolist(), ends, ends[1:]):
+                paths[r] = merges[a:b].tobytes()
         keep = symbol[:, :-1] > -2
         keep &= cell
         left = symbol[:, :-1]
@@ -209,45 +226,53 @@ class Coder:
                 found += [number] if 0 <= number < len(self.pieces) else [self.bytes[b] for b in units[r][at].encode()]
             out[rows[r]] = tuple(found)
 
-    def _learn(self, fresh: list[set[str]]) -> None:
-        for v, units in enumerate(fresh):
-            units = sorted(units)
-            if len(self.known[v]) + len(units) > self.cache:
-                self.known[v].clear()
-            for u, ids in zip(units, self._many(units, self._keys(units, v))):
-                self.known[v][u] = self._unit(u, v) if ids is None else ids
-
-    def _units(self, text: str, document: int) -> tuple[list[str], list[int]]:
-        """The units of a text, and the variant of each."""
+    def _learn(self, units: set[str]) -> None:
+        """What units become without a skip, into the cache."""
+        fresh = sorted(units - self.known[0].keys())
+        if len(self.known[0]) + len(fresh) > self.cache:
+            self.known[0].clear()
+            self.path.clear()
+            fresh = sorted(units)
+        ids, paths = self._many(fresh, None)
+        self.known[0].update(zip(fresh, ids))
+        self.path.update(zip(fresh, paths))
+
+    def _units(self, text: str, document: int) -> tuple[list[str], np.ndarray]:
+        """The units of a text, and the key of each occurrence."""
         units = text.split(" ")
         # the leading mark joins the first unit; runs of spaces need the general cut
         units = UNITS.findall(" " + text) if "" in units else [" " + u for u in units]
-        if self.variants == 1:
-            return units, [0] * len(units)
         start = U((self.seed * 0x51ED27 + document * GOLDEN) & MASK)
-        return units, (mix(np.arange(len(units), dtype=U) * U(0xD6E8FEB86659FD93) + start) % U(self.variants)).tolist()
+        # 0 is kept for no skips
+        return units, mix(np.arange(len(units), dtype=U) * U(0xD6E8FEB86659FD93) + start) | U(1)
 
     def encode_batch(self, texts: list[str], documents: list[int]) -> list[np.ndarray]:
-        """Ids of each text; the documents key the choice of variants."""
-        cut = [self._units(t, d) if t else ([], []) for t, d in zip(texts, documents)]
-        fresh = [set() for _ in self.known]
-        for units, which in cut:
-            for unit, v in zip(units, which):
-                if unit not in self.known[v]:
-                    fresh[v].add(unit)
-        if any(len(k) + len(f) > self.cache for k, f in zip(self.known, fresh)):
-            for k in self.known:
-                k.clear()
-            for units, which in cut:
-                for unit, v in zip(units, which):
-                    fresh[v].add(unit)
-        self._learn(fresh)
-        known, rows = self.known, []
-        for units, which in cut:
-            out: list[int] = []
-            for unit, v in zip(units, which):
-                out += known[v][unit]
-            rows.append(np.array(out, np.int32))
+        """Ids of each text; the documents key the skips."""
+        cut = [self._units(t, d) if t else ([], np.zeros(0, U)) for t, d in zip(texts, documents)]
+        every = [u for units, _ in cut for u in units]
+        distinct = sorted(set(every))
+        self._learn(set(distinct))
+        found = list(map(self.known[0].__getitem__, every))
+        if self.threshold and every:
+            keys = np.concatenate([k for _, k in cut])
+            number = {u: i for i, u in enumerate(distinct)}
+            which = np.fromiter(map(number.__getitem__, every), np.int64, len(every))
+            paths = list(map(self.path.__getitem__, distinct))
+            size = np.fromiter(map(len, paths), np.int64, len(paths)) // 8
+            merges, first = np.frombuffer(b"".join(paths), U), np.cumsum(size) - size
+            for at in range(0, len(every), 1 << 18):
+                some = which[at:at + (1 << 18)]
+                n = size[some]
+                occurrence = np.repeat(np.arange(len(some)), n)
+                place = np.arange(len(occurrence)) + np.repeat(first[some] - (np.cumsum(n) - n), n)
+                skips = self._skipped(keys[at:at + len(some)][occurrence] + merges[place])
+                own = at + np.flatnonzero(np.bincount(occurrence[skips], minlength=len(some)))
+                for i, ids in zip(own.tolist(), self._many([every[i] for i in own], keys[own])[0]):
+                    found[i] = ids
+        rows, at = [], 0
+        for units, _ in cut:
+            rows.append(np.fromiter(chain.from_iterable(found[at:at + len(units)]), np.int32))
+            at += len(units)
         return rows
 
     def encode(self, text: str, document: int = 0) -> np.ndarray:
@@ -259,15 +284,15 @@ class Coder:
 
 
 def encode_texts(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", dropout: float = 0.1,
-                 seed: int = 0, variants: int = 4) -> DataFrame:
+                 seed: int = 0) -> DataFrame:
     """id, ids (array<int>) per row; null counts as empty, which has no pieces.
 
-    The variants are keyed by the id (null: 0), so equal rows are encoded alike.
+    The skips are keyed by the id (null: 0), so equal rows are encoded alike.
     """
     kind = df.schema[id_col].dataType.simpleString()
 
     def run(batches):
-        coder = Coder(path, dropout, seed, variants)
+        coder = Coder(path, dropout, seed)
         for part in slices(batches, 1, 4 << 20):
             rows = coder.encode_batch([t or "" for t in part.column(1).to_pylist()], list(map(hash_id, part.column(0).to_pylist())))
             yield pa.RecordBatch.from_arrays([part.column(0), _lists(rows)], [id_col, "ids"])
@@ -301,12 +326,12 @@ def _lists(rows: list[np.ndarray]) -> pa.Array:
 
 
 def encoding_digest(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", dropout: float = 0.1,
-                    seed: int = 0, variants: int = 4) -> DataFrame:
+                    seed: int = 0) -> DataFrame:
     """id, n_bytes, n_pieces, n_byte_pieces, ids_sha256 (of little-endian 32-bit ids), lossless per row."""
     kind = df.schema[id_col].dataType.simpleString()
 
     def run(batches):
-        coder = Coder(path, dropout, seed, variants)
+        coder = Coder(path, dropout, seed)
         marks = np.zeros(len(coder.pieces), bool)
         marks[list(coder.byte_of)] = True
         for part in slices(batches, 1, 4 << 20):

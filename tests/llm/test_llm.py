@@ -201,6 +201,32 @@ def test_merge_dropout(docs, empty):
     assert bpe_dropout.encoding_digest(empty, path).count() == 0
 
 
+def test_every_occurrence_is_cut_for_itself():
+    path = vocabulary("piece_bpe_32k.model")
+    coder = bpe_dropout.Coder(path, 0.1)
+    plain = bpe_dropout.Coder(path, 0.0)
+
+    def cuts(n, unit):
+        keys = [coder._units(" ".join([unit] * 100), d)[1] for d in range(n // 100)]
+        one_by_one = [coder._unit(" " + unit, int(k)) for ks in keys for k in ks]
+        rows = coder.encode_batch([" ".join([unit] * 100)] * (n // 100), list(range(n // 100)))
+        assert [i for x in one_by_one for i in x] == np.concatenate(rows).tolist()
+        return one_by_one
+
+    for unit in ("a", "the", "international", "x" * 50, "a▁bcde"):
+        plain.encode(unit)
+        merges = np.frombuffer(plain.path[" " + unit], np.uint64)
+        few, many = cuts(100, unit), cuts(4000, unit)
+        keys = np.concatenate([coder._units(" ".join([unit] * 100), d)[1] for d in range(40)])
+        skips = coder._skipped(keys[:, None] + merges)
+        assert abs(skips.mean() - 0.1) < 0.02
+        assert abs((~skips).all(axis=1).mean() - 0.9 ** len(merges)) < 0.03
+        kept = sum(x == plain._unit(" " + unit) for x in many) / 4000
+        assert kept > 0.9 ** len(merges) - 0.03 and (len(merges) > 1 or kept < 0.93)
+        if unit == "international":
+            assert len(set(many)) > len(set(few)) > 4
+
+
 def test_secret_scan(docs, empty):
     got = {r.doc_id: r for r in secret_scan.find_secrets(docs).collect()}
     assign = re.compile(r"""(?ai)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
