@@ -386,16 +386,18 @@ def last_per_key(t: Tables):
 
 @query("scan_verdicts", "SELECT trim(url) AS url, verdict, scope, evidence FROM {doc_verdicts}")
 def scan_verdicts(t: Tables):
-    """Written half nested, half flat, read back as one shape."""
+    """Written half nested, half flat, each after an earlier verdict for its URL; read back as one shape."""
     path = work_dir(t.spark, "verdicts")
     v = t.doc_verdicts
-    v.where("doc_id % 2 = 0").select("url", F.struct("verdict", "scope", "evidence").alias("aircon")
+    v.where("doc_id % 2 = 0").select("url", F.struct("verdict", "scope", "evidence").alias("aircon"), F.lit(2).alias("seq")
                                      ).write.json(path + "/nested")
-    v.where("doc_id % 2 = 1").select("url", "verdict", "scope", "evidence").unionByName(
-        v.select(F.lit(" ").alias("url"), "verdict", "scope", "evidence")).write.json(path + "/flat")
+    flat = ("verdict", "scope", "evidence", F.lit(2).alias("seq"))
+    earlier = v.select(F.concat(F.lit(" "), "url").alias("url"), F.lit("zz").alias("verdict"), "scope", "evidence", F.lit(1).alias("seq"))
+    v.where("doc_id % 2 = 1").select("url", *flat).unionByName(v.select(F.lit(" ").alias("url"), *flat)).unionByName(
+        earlier).write.json(path + "/flat")
     from adledger.schemas import VERDICT
     raw = t.spark.read.schema(VERDICT).json([path + "/nested", path + "/flat"])
-    return verdicts.flatten_verdicts(raw).drop("text_sha")
+    return verdicts.last_verdicts(verdicts.flatten_verdicts(raw)).drop("text_sha", "seq")
 
 
 # --- page health ------------------------------------------------------------------------------

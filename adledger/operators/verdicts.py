@@ -40,6 +40,16 @@ def flatten_verdicts(raw: DataFrame, order: Sequence[Column] = ()) -> DataFrame:
         *[c for c in raw.columns if c not in ("url", "aircon", "text_sha", *names)])
 
 
+def last_verdicts(verdicts: DataFrame, order: Sequence[Column] = ()) -> DataFrame:
+    """Flat verdicts, the last one of each trimmed URL.
+
+    ``order`` says which came later, or else the column ``seq`` where there is one; what
+    that leaves open is settled by the verdict's own columns.
+    """
+    order = order or [F.col("seq")] * ("seq" in verdicts.columns)
+    return last_per_key([verdicts], [*order, F.col("verdict"), F.col("scope"), F.col("evidence")])
+
+
 def quoted(text: Column, evidence: Column) -> Column:
     return F.contains(norm_text(text), norm_text(evidence))
 

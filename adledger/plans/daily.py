@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+from collections.abc import Sequence
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
@@ -54,8 +55,13 @@ def fill_amenities(batch: DataFrame, pages: DataFrame) -> DataFrame:
 
 def commit(state: State, batch: DataFrame, raw_verdicts: DataFrame, pages: DataFrame,
            crit: Criteria, run_date: dt.date, order: list[Column], run_id: str,
-           review: DataFrame | None = None, refresh: bool = False) -> Upsert:
-    """Gate, validate, merge and publish one run's snapshot."""
+           review: DataFrame | None = None, refresh: bool = False,
+           verdict_order: Sequence[Column] = ()) -> Upsert:
+    """Gate, validate, merge and publish one run's snapshot.
+
+    Of several verdicts for one URL the last by ``verdict_order`` counts, or by their ``seq``.
+    """
+    raw_verdicts = verdicts.last_verdicts(raw_verdicts, verdict_order)
     if review is not None:
         verdicts.require_judged(review, raw_verdicts)
     checked = verdicts.validate_verdicts(raw_verdicts, pages)

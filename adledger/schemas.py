@@ -41,7 +41,8 @@ FLAT_VERDICT = _ddl("url STRING, verdict STRING, scope STRING, evidence STRING,
 VERDICT = StructType([
     StructField("url", StringType()),
     StructField("aircon", _ddl("verdict STRING, scope STRING, evidence STRING")),
-    *FLAT_VERDICT.fields[1:]])
+    *FLAT_VERDICT.fields[1:],
+    StructField("seq", LongType())])  # which of several verdicts came later
 
 DECISION = _ddl("url STRING, status STRING, note STRING")
 

@@ -10,7 +10,7 @@ from pyspark.sql.types import ArrayType, StructField, StructType
 
 from adledger import fixed
 from adledger.functions.text import strip
-from adledger.operators.verdicts import flatten_verdicts
+from adledger.operators.verdicts import flatten_verdicts, last_verdicts
 from adledger.schemas import AD, PAGE, PENDING, RECORD, VERDICT
 
 
@@ -58,8 +58,8 @@ def as_ads(df: DataFrame) -> DataFrame:
 
 
 def scan_verdicts(spark: SparkSession, path: str) -> DataFrame:
-    """Verdicts, nested or flat, blank URLs dropped."""
-    return flatten_verdicts(read_table(spark, path, VERDICT))
+    """Verdicts, nested or flat, blank URLs dropped, the last by ``seq`` of each URL."""
+    return last_verdicts(flatten_verdicts(read_table(spark, path, VERDICT)))
 
 
 def parse_decisions(lines: DataFrame) -> DataFrame:
