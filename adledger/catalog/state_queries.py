@@ -495,16 +495,20 @@ def resolve_source(t: Tables):
     return search.resolve_source(pages, batch, known, REGISTRY)
 
 
+def wrapped(rows, batch):
+    """Ads as one row per batch; ``batch`` is an id that grows with the data, so a row stays bounded."""
+    return rows.groupBy(batch.alias("batch")).agg(F.collect_list(F.struct(*AD.names)).alias("listings"))
+
+
 @query("scan_batch", "SELECT url, title, price_pcm, CAST(available_from AS VARCHAR) AS available_from, '1998-06-05' AS run_date FROM {ads} WHERE ok % 4 < 2")
 def scan_batch(t: Tables):
     """Batches written as wrapped and as bare ads, read back as one table."""
     path = work_dir(t.spark, "batch")
     ads = as_ads(t.ads).select(*AD.names, "ok")
-    rows = ads.where("ok % 4 < 2").withColumn("g", F.pmod(F.hash("url"), F.lit(64)))
-    wrapped = rows.where("ok % 4 = 0").groupBy("g").agg(
-        F.collect_list(F.struct(*AD.names)).alias("listings")).select(
+    rows = ads.where("ok % 4 < 2")
+    batches = wrapped(rows.where("ok % 4 = 0"), F.floor(F.col("ok") / 400)).select(
         F.lit("1998-06-05").alias("run_date"), "listings")
-    wrapped.write.json(path + "/wrapped")
+    batches.write.json(path + "/wrapped")
     rows.where("ok % 4 = 1").select(F.lit("1998-06-05").alias("run_date"), *AD.names
                                     ).write.json(path + "/bare")
     read = t.spark.read.schema(tables.batch_schema()).json([path + "/wrapped", path + "/bare"])

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from adledger.catalog import load
 from adledger.schemas import PENDING, RECORD
 from adledger.sources import tables
+from adledger.sources.tables import as_ads
 
 NOW = dt.datetime(2026, 9, 20)
 
@@ -47,3 +48,11 @@ def test_a_day_is_written_again_without_touching_others(spark, tmp_path):
 def test_every_query_has_a_check():
     registered, checks = load()
     assert len(registered) > 140 and set(registered) == set(checks)
+
+
+def test_wrapped_batches_stay_bounded(spark):
+    from adledger.catalog.state_queries import wrapped
+
+    ads = as_ads(spark.range(40_000).selectExpr("id AS ok", "concat('u', id) AS url"))
+    got = wrapped(ads, F.floor(F.col("ok") / 400)).selectExpr("count(*) AS n", "sum(size(listings)) AS ads", "max(size(listings)) AS most").first()
+    assert (got.n, got.ads, got.most) == (100, 40_000, 400)
