@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from adledger.llm.common import arrow_map, slices, staged
 from adledger.llm.quality_gam import held_out
 
-BITS, LONGEST = 16, 4
+BITS, LONGEST = 15, 4
 UNKNOWN = "und"
 _STEP, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
@@ -71,10 +71,12 @@ def presence(texts: list[str], bits: int = BITS, longest: int = LONGEST, window:
     return out.reshape(len(texts), 1 << bits)
 
 
-def kernel(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Normalised shared presence of two batches of presence bits."""
+def kernel(a: np.ndarray, b: np.ndarray, rows: int = 256) -> np.ndarray:
+    """Normalised shared presence of two batches of presence bits, `rows` of the first at a time."""
     own = np.sqrt(np.outer(np.maximum(a.sum(axis=1), 1), np.maximum(b.sum(axis=1), 1)))
-    return (a.astype(np.float32) @ b.astype(np.float32).T).astype(float) / own
+    columns = b.T.astype(np.float32)
+    shared = [a[i:i + rows].astype(np.float32) @ columns for i in range(0, len(a), rows)]
+    return np.concatenate(shared).astype(float) / own
 
 
 @dataclass
@@ -128,9 +130,9 @@ def has_letter(text: Column) -> Column:
 
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", folds: int = 5,
-          sample: int = 2400, landmarks: int = 400, penalty: float = 0.1) -> Model | None:
+          sample: int = 1600, landmarks: int = 320, penalty: float = 0.1) -> Model | None:
     """Fits on `sample` rows at most, outside the held-out fold: as many distinct texts of each language
-    as fit, those with the smallest hashes. Their presence bits (8 KB each), not texts, are brought together.
+    as fit, those with the smallest hashes. Their presence bits (4 KB each), not texts, are brought together.
     """
     text = F.col(text_col)
     usable = docs.where(~held_out(F.col(id_col), folds) & F.col(lang_col).isNotNull() & has_letter(text)).select(
