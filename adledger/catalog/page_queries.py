@@ -619,10 +619,7 @@ a8 AS (SELECT *, CASE WHEN {q.HIT} THEN greatest(0, t5 - 1) ELSE t5 END AS t6 FR
 a9 AS (SELECT *, CASE WHEN t6 = 0 AND size_sqft_plan < min_sqft AND coalesce(size_sqft, 0) = 0 THEN 1 ELSE t6 END AS tier FROM a8)
 SELECT profile_id, count(*) AS n, count(*) FILTER (tier = 0) AS high, count(*) FILTER (tier = 1) AS medium, min(price_pcm) AS cheapest FROM a9 GROUP BY 1""")
 def match_profile_tiers(t: Tables):
-    m = profiles.match_profiles(t.ads, saved_searches(t))
-    return m.groupBy("profile_id").agg(
-        F.count("*").alias("n"), F.count_if(F.col("tier") == 0).alias("high"),
-        F.count_if(F.col("tier") == 1).alias("medium"), F.min("price_pcm").alias("cheapest"))
+    return profiles.profile_tiers(t.ads, saved_searches(t))
 
 
 # --- plan texts ---------------------------------------------------------------------------------------

@@ -15,6 +15,7 @@ from adledger.plans import daily
 from adledger.schemas import AD, RECORD
 from adledger.session import work_dir
 from adledger.sources import tables
+from adledger.sources.state import State
 from adledger.sources.tables import as_ads
 
 DAY = "DATE '1998-06-05'"
@@ -159,21 +160,18 @@ def carry_stored(t: Tables):
 
 @query("write_state", tracker_sql(False))
 def write_state(t: Tables):
-    """Two snapshots: the tracker as it stands, then this run's merge; reads the newest."""
+    """Two runs: the tracker as it stands, then this run's merge; reads the newest."""
     t.stage("ads")
-    state = tables.State(t.spark, work_dir(t.spark, "state"))
+    state = State(t.spark, work_dir(t.spark, "state"))
     state.write(t.tracker.select(*RECORD.names), pending_table(t), "before", dt.datetime(1998, 6, 4))
     batch = daily.with_retries(t.batch, state.pending(), state.tracker())
-    checked = verdicts.validate_verdicts(t.ad_verdicts, t.ad_pages)
-    out = upsert.upsert(batch, state.tracker(), state.pending(), checked, t.ad_pages, CRIT,
-                        RUN_DATE, order())
-    state.write(out.tracker, out.pending, "run-1", dt.datetime(1998, 6, 5))
+    daily.commit(state, batch, t.ad_verdicts, t.ad_pages, CRIT, RUN_DATE, order(), "run-1")
     return tracker_out(state.tracker())
 
 
 @query("scan_state", "SELECT url, status, CAST(found_on AS VARCHAR) AS found_on FROM {tracker}")
 def scan_state(t: Tables):
-    state = tables.State(t.spark, work_dir(t.spark, "state"))
+    state = State(t.spark, work_dir(t.spark, "state"))
     state.write(t.tracker.select(*RECORD.names), pending_table(t), "only", dt.datetime(1998, 6, 4))
     return state.tracker().select("url", "status", F.col("found_on").cast("string").alias("found_on"))
 

@@ -11,7 +11,8 @@ from adledger.catalog.registry import query
 from adledger.catalog.views import CRIT, HOST, Tables
 from adledger.schemas import AD, FLAT_VERDICT, PAGE
 from adledger.session import work_dir
-from adledger.sources.tables import State, as_ads
+from adledger.sources.state import State
+from adledger.sources.tables import as_ads
 from adledger.streaming import tracker as stream
 from adledger.operators import verdicts
 

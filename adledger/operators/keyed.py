@@ -64,16 +64,16 @@ def new_only(batch: DataFrame, known: DataFrame, refresh: bool = False) -> DataF
 
 def retry_rows(pending: DataFrame, batch: DataFrame, known: DataFrame) -> DataFrame:
     """Stored rows of pending URLs that neither today's batch nor the tracker holds."""
-    waiting = (pending.join(batch.select("url"), "url", "left_anti")
-               .join(known.select("url"), "url", "left_anti"))
+    waiting = (trimmed(pending).join(trimmed(batch.select("url")), "url", "left_anti")
+               .join(trimmed(known.select("url")), "url", "left_anti"))
     row = F.col("row").withField("url", F.col("url")).withField("retry", F.lit(True))
     return waiting.select(row.alias("row")).select("row.*")
 
 
 def cache_presence(df: DataFrame, pages: DataFrame) -> DataFrame:
     """Adds ``already_cached``: a page for this URL has been read."""
-    flag = pages.select("url").distinct().withColumn("already_cached", F.lit(True))
-    return (df.join(flag, "url", "left")
+    flag = trimmed(pages.select("url")).distinct().withColumn("already_cached", F.lit(True))
+    return (df.withColumn("url", strip(F.col("url"))).join(flag, "url", "left")
             .withColumn("already_cached", F.coalesce("already_cached", F.lit(False))))
 
 

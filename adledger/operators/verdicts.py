@@ -67,15 +67,16 @@ def _quotes_found(asked: DataFrame, pages: DataFrame) -> DataFrame:
 def validate_verdicts(verdicts: DataFrame, pages: DataFrame) -> DataFrame:
     """Keeps a claim only if its quote occurs on its page.
 
-    One row per verdict: (url, verdict, scope, evidence, checked, flags). Texts are
-    looked up for known claims with a quote alone.
+    One row per verdict: (url, verdict, scope, evidence, checked, flags), and its ``seq``
+    where it has one. Texts are looked up for known claims with a quote alone.
     """
     c = F.col
     page = pages.select("url", c("text").isNull().alias("_unread"),
                         F.to_date("fetched_at").alias("_day"), F.lit(True).alias("_page"))
     word, scope = F.lower(strip(c("verdict"))), F.lower(strip(c("scope")))
+    later = [n for n in ("seq",) if n in verdicts.columns]
     said = verdicts.select(
-        "url", F.coalesce(word, F.lit("")).alias("_v"), F.coalesce(scope, F.lit("")).alias("_s"),
+        "url", *later, F.coalesce(word, F.lit("")).alias("_v"), F.coalesce(scope, F.lit("")).alias("_s"),
         F.coalesce(strip(c("evidence")), F.lit("")).alias("evidence"))
     claims = said.where(c("_v").isin(*fixed.VERDICTS) & (c("_v") != "unstated") & (c("evidence") != ""))
     df = (said.join(page, "url", "left").join(_quotes_found(claims, pages), ["url", "evidence"], "left")
@@ -103,7 +104,7 @@ def validate_verdicts(verdicts: DataFrame, pages: DataFrame) -> DataFrame:
         F.when(scoped, F.when(c("_s").isin(*fixed.SCOPES), c("_s")).otherwise("unclear"))
         .otherwise("").alias("scope"),
         F.when(kept, c("_e")).otherwise("").alias("evidence"),
-        F.when(readable, c("_day")).alias("checked"), flags.alias("flags"))
+        F.when(readable, c("_day")).alias("checked"), flags.alias("flags"), *later)
 
 
 def carry_verdicts(store: DataFrame, pages: DataFrame) -> DataFrame:
@@ -166,9 +167,11 @@ def merge_verdicts(base: DataFrame, fresh: DataFrame, pages: DataFrame,
                    order: Sequence[Column] = ()) -> DataFrame:
     """Base and stamped fresh verdicts, the fresh one winning per URL.
 
-    ``order`` says which of several verdicts in one part came later, and the last one
-    wins; without it a repeated URL is settled by the verdict's own columns.
+    ``order`` says which of several verdicts in one part came later, or else the column
+    ``seq`` where there is one, and the last one wins; what that leaves open is settled
+    by the verdict's own columns.
     """
+    order = order or [F.col("seq")] * ("seq" in base.columns or "seq" in fresh.columns)
     return last_per_key([base, stamp_verdicts(fresh, pages)],
                         [*order, F.col("verdict"), F.col("scope"), F.col("evidence")])
 

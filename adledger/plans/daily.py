@@ -16,7 +16,8 @@ from adledger.functions.blanks import blank_number, blank_text
 from adledger.operators import cluster, keyed, report, rules, verdicts
 from adledger.operators.upsert import Upsert, upsert
 from adledger.schemas import AD
-from adledger.sources.tables import State, apply_decisions, as_ads
+from adledger.sources.state import State
+from adledger.sources.tables import apply_decisions, as_ads
 
 
 def plan_queue(batch: DataFrame, known: DataFrame, pages: DataFrame, crit: Criteria,
@@ -57,7 +58,7 @@ def commit(state: State, batch: DataFrame, raw_verdicts: DataFrame, pages: DataF
            crit: Criteria, run_date: dt.date, order: list[Column], run_id: str,
            review: DataFrame | None = None, refresh: bool = False,
            verdict_order: Sequence[Column] = ()) -> Upsert:
-    """Gate, validate, merge and publish one run's snapshot.
+    """Gate, validate, merge and publish one run, over the buckets of the batch alone.
 
     Of several verdicts for one URL the last by ``verdict_order`` counts, or by their ``seq``.
     """
@@ -65,9 +66,10 @@ def commit(state: State, batch: DataFrame, raw_verdicts: DataFrame, pages: DataF
     if review is not None:
         verdicts.require_judged(review, raw_verdicts)
     checked = verdicts.validate_verdicts(raw_verdicts, pages)
-    out = upsert(as_ads(batch), state.tracker(), state.pending(), checked, pages, crit,
+    part = state.part(batch)
+    out = upsert(as_ads(batch), state.tracker(part), state.pending(part), checked, pages, crit,
                  run_date, order, refresh)
-    state.write(out.tracker, out.pending, run_id, dt.datetime.combine(run_date, dt.time()))
+    state.write(out.tracker, out.pending, run_id, dt.datetime.combine(run_date, dt.time()), part)
     return out
 
 

@@ -1,9 +1,7 @@
-"""Readers and writers for pages, batches, tracker snapshots and decisions."""
+"""Readers and writers for pages, batches, verdicts and decisions."""
 
 from __future__ import annotations
 
-import datetime as dt
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StructField, StructType
@@ -11,7 +9,7 @@ from pyspark.sql.types import ArrayType, StructField, StructType
 from adledger import fixed
 from adledger.functions.text import strip
 from adledger.operators.verdicts import flatten_verdicts, last_verdicts
-from adledger.schemas import AD, PAGE, PENDING, RECORD, VERDICT
+from adledger.schemas import AD, PAGE, VERDICT
 
 
 def read_table(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
@@ -95,64 +93,6 @@ def apply_decisions(tracker: DataFrame, decisions: DataFrame) -> DataFrame:
             .withColumn("status", F.coalesce("_s", "status")).drop("_s", "_n"))
 
 
-# --- versioned state ----------------------------------------------------------
-
-class State:
-    """Tracker and pending as immutable snapshots, one folder per run.
-
-    A run writes its own ``run_id=`` folders first and then one small pointer
-    row; readers follow the newest pointer. A run that dies leaves no pointer
-    and is never seen, and writing a run again replaces only its own folders.
-    """
-
-    POINTER = "run_id STRING, seq BIGINT, updated TIMESTAMP"
-
-    def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = spark, root.rstrip("/")
-
-    def _pointers(self) -> DataFrame | None:
-        try:
-            return self.spark.read.schema(self.POINTER).parquet(f"{self.root}/pointer")
-        except Exception as exc:
-            if "PATH_NOT_FOUND" in str(exc):
-                return None
-            raise
-
-    def latest(self):
-        """The newest pointer row, or None before the first run."""
-        pointers = self._pointers()
-        return pointers.orderBy(F.col("seq").desc()).first() if pointers is not None else None
-
-    def _read(self, name: str, schema: StructType) -> DataFrame:
-        head = self.latest()
-        if head is None:
-            return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).parquet(
-            f"{self.root}/{name}/run_id={head.run_id}").select(*schema.names)
-
-    def tracker(self) -> DataFrame:
-        return self._read("tracker", RECORD)
-
-    def pending(self) -> DataFrame:
-        return self._read("pending", PENDING)
-
-    def has_run(self, run_id: str) -> bool:
-        pointers = self._pointers()
-        return pointers is not None and not pointers.where(F.col("run_id") == run_id).isEmpty()
-
-    def write(self, tracker: DataFrame, pending: DataFrame, run_id: str,
-              updated: dt.datetime) -> None:
-        """Both tables, then the pointer; a run already published is left as it is."""
-        if self.has_run(run_id):
-            return
-        head = self.latest()
-        seq = 0 if head is None else head.seq + 1
-        for name, df in (("tracker", tracker), ("pending", pending)):
-            df.write.mode("overwrite").parquet(f"{self.root}/{name}/run_id={run_id}")
-        row = self.spark.createDataFrame([(run_id, seq, updated)], self.POINTER)
-        row.coalesce(1).write.mode("append").parquet(f"{self.root}/pointer")
-
-
 def write_daily(rows: DataFrame, path: str) -> None:
     """One partition per ``reported_on``; re-running a day replaces only that day."""
     (rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")

@@ -13,7 +13,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from adledger import fixed
 from adledger.criteria import Criteria
 from adledger.operators.upsert import upsert
-from adledger.sources.tables import State
+from adledger.sources.state import State
 
 MARGIN = f"{fixed.WINDOW_MARGIN_DAYS} days"
 HOLD_MS = fixed.HOLD_DAYS * 24 * 3600 * 1000
@@ -30,16 +30,17 @@ def stream_upsert(ads: DataFrame, state: State, crit: Criteria, order: list[Colu
                   run_date: Callable[[int], dt.date]) -> None:
     """Merges every micro-batch of ads into the tracker.
 
-    The batch id names the snapshot, so a batch that is replayed after a
-    failure finds its snapshot published and changes nothing.
+    A micro-batch reads and writes the buckets its URLs fall in. The batch id
+    names the run, so a batch that is replayed after a failure finds its run
+    published and changes nothing.
     """
     def merge(batch: DataFrame, batch_id: int) -> None:
         run_id = f"batch-{batch_id:09d}"
         if state.has_run(run_id) or batch.isEmpty():
             return
-        day = run_date(batch_id)
-        out = upsert(batch, state.tracker(), state.pending(), verdicts, pages, crit, day, order)
-        state.write(out.tracker, out.pending, run_id, dt.datetime.combine(day, dt.time()))
+        day, part = run_date(batch_id), state.part(batch)
+        out = upsert(batch, state.tracker(part), state.pending(part), verdicts, pages, crit, day, order)
+        state.write(out.tracker, out.pending, run_id, dt.datetime.combine(day, dt.time()), part)
 
     run_available(ads, lambda w: w.foreachBatch(merge).option("checkpointLocation", checkpoint))
 

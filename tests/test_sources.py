@@ -6,13 +6,14 @@ from pyspark.sql import functions as F
 from adledger.catalog import load
 from adledger.schemas import PENDING, RECORD
 from adledger.sources import tables
+from adledger.sources.state import State
 from adledger.sources.tables import as_ads
 
 NOW = dt.datetime(2026, 9, 20)
 
 
 def test_state_starts_empty_and_publishes_whole_runs(spark, rows, tmp_path):
-    state = tables.State(spark, str(tmp_path / "state"))
+    state = State(spark, str(tmp_path / "state"))
     assert state.tracker().count() == 0 and state.latest() is None
     none = rows(PENDING)
     state.write(rows(RECORD, dict(url="a")), none, "r1", NOW)
