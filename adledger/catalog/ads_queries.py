@@ -8,7 +8,7 @@ from adledger import fixed
 from adledger.catalog import sqlparts as q
 from adledger.catalog.registry import query
 from adledger.catalog.views import CRIT, ORDER, STRICT, Tables
-from adledger.functions import extract
+from adledger.functions import extract, sql
 from adledger.functions.blanks import uninformative
 from adledger.operators import keyed, report, rules, search
 from adledger.plans import daily
@@ -107,6 +107,12 @@ def district(t: Tables):
         "url", extract.district(F.col("postcode"), F.col("area")).alias("district"))
 
 
+@query("sql_district", f"""SELECT url, {q.district()} AS district FROM {{ads_raw}}""")
+def sql_district(t: Tables):
+    sql.register(t.spark)
+    return t.sql("SELECT url, district(postcode, area) AS district FROM {ads_raw}")
+
+
 @query("district_tier", f"""SELECT url, d AS district, {q.tier_of('d', CRIT)} AS tier
 FROM (SELECT url, {q.district()} AS d FROM {{ads}})""")
 def district_tier(t: Tables):
@@ -140,15 +146,24 @@ def region_fallback(t: Tables):
     return search.region_fallback(ads, regions=_REGIONS).drop("search_url")
 
 
-@query("addr_key", r"""
+ADDR_KEY_SQL = r"""
 WITH w AS (SELECT url, list_filter(string_split(regexp_replace(lower(coalesce(nullif(postcode, ''), area, '')), '[^a-z0-9 ]', ' ', 'g'), ' '), lambda x: x <> '') AS words FROM {ads})
 SELECT url, left(array_to_string(list_filter(words, lambda x, i: NOT regexp_full_match(x, '[a-z]{1,2}\d{1,2}[a-z]?')
  AND NOT (regexp_full_match(x, '\d[a-z]{2}') AND i > 1 AND regexp_full_match(words[i - 1], '[a-z]{1,2}\d{1,2}[a-z]?'))
- AND x NOT IN ('london', 'the', 'uk', 'greater')), ' '), 40) AS addr_key FROM w""")
+ AND x NOT IN ('london', 'the', 'uk', 'greater')), ' '), 40) AS addr_key FROM w"""
+
+
+@query("addr_key", ADDR_KEY_SQL)
 def addr_key(t: Tables):
     return t.ads.select("url", extract.addr_key(F.col("postcode"), F.col("area")).alias("addr_key"))
 
 
+@query("sql_addr_key", ADDR_KEY_SQL)
+def sql_addr_key(t: Tables):
+    sql.register(t.spark)
+    return t.sql("SELECT url, addr_key(postcode, area) AS addr_key FROM {ads}")
+
+
 @query("postcode_parts", r"""
 SELECT url, nullif(regexp_extract(upper(coalesce(nullif(postcode, ''), area, '')), '\b([A-Z]{1,2}\d{1,2}[A-Z]?)(?:\s+(\d[A-Z]{2}))?\b', 1), '') AS outcode,
  nullif(regexp_extract(upper(coalesce(nullif(postcode, ''), area, '')), '\b([A-Z]{1,2}\d{1,2}[A-Z]?)(?:\s+(\d[A-Z]{2}))?\b', 2), '') AS incode FROM {ads}""")

@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import functions as F
 
 from adledger import fixed
 from adledger.catalog import sqlparts as q
 from adledger.catalog.registry import query
 from adledger.catalog.views import AS_OF, CRIT, REGISTRY, WINDOWS, Tables, re2
-from adledger.functions import extract, terms, text
+from adledger.functions import extract, sql, terms, text
 from adledger.operators import plans_read, profiles, quality, rules, search, verdicts
 from adledger.plans import daily
+from adledger.schemas import PENDING, RECORD
 from adledger.session import work_dir
 from adledger.sources import details, payload, tables
+from adledger.sources.state import SearchResults, State
 
 NORM = "lower(trim(regexp_replace(translate(coalesce({0}, ''), '‘’“”–— ', '''''\"\"-- '), '\\s+', ' ', 'g')))"
 
@@ -47,6 +51,12 @@ def norm_text(t: Tables):
     return t.documents.select("doc_id", text.norm_text(F.col("text")).alias("norm"))
 
 
+@query("sql_norm_text", f"SELECT doc_id, {norm('text')} AS norm FROM {{documents}}")
+def sql_norm_text(t: Tables):
+    sql.register(t.spark)
+    return t.sql("SELECT doc_id, norm_text(text) AS norm FROM {documents}")
+
+
 @query("fingerprint", f"SELECT doc_id, {sha('text')} AS sha, substr(sha1(trim(url)), 1, 16) AS url_key FROM {{doc_pages}}")
 def fingerprint(t: Tables):
     return t.doc_pages.select("doc_id", text.fingerprint(F.col("text")).alias("sha"),
@@ -72,8 +82,7 @@ def challenged(t: Tables):
 
 @query("host_subset", r"SELECT page_id, url FROM {pages} WHERE contains(lower(regexp_extract(url, '^[A-Za-z]+://([^/?#]+)', 1)), 'example.net')")
 def host_subset(t: Tables):
-    return t.pages.where(F.contains(F.lower(extract.host(F.col("url"))), F.lit("example.net"))
-                         ).select("page_id", "url")
+    return search.host_subset(t.pages, "Example.net").select("page_id", "url")
 
 
 @query("cut_boilerplate", r"""SELECT doc_id, CASE WHEN regexp_matches(text, '(?i) the of | daikin | que de ')
@@ -129,8 +138,8 @@ def thin_page(t: Tables):
 
 # --- facts in prose -----------------------------------------------------------------------
 
-def _scalar(name: str, sql: str, column, out: str):
-    @query(name, f"SELECT doc_id, {sql} AS {out} FROM {{prose}}")
+def _scalar(name: str, check: str, column, out: str):
+    @query(name, f"SELECT doc_id, {check} AS {out} FROM {{prose}}")
     def run(t: Tables):
         return t.prose.select("doc_id", column(F.col("text")).alias(out))
     return run
@@ -141,10 +150,18 @@ def _int(expr: str) -> str:
 
 
 _scalar("money", _int(q.first_match("text", re2(fixed.AMOUNT))), lambda c: extract.money(c), "amount")
-_scalar("monthly_price", f"""coalesce({_int(q.first_match('text', re2(fixed.MONTHLY)))},
+MONTHLY_SQL = f"""coalesce({_int(q.first_match('text', re2(fixed.MONTHLY)))},
  CAST(round_even(TRY_CAST(replace({q.first_match('text', re2(fixed.WEEKLY))}, ',', '') AS DOUBLE) * 52 / 12, 0) AS INTEGER),
- CASE WHEN regexp_matches(text, '{fixed.MONTH_WORD}') THEN {_int(q.first_match('text', re2(fixed.BARE_AMOUNT)))} END)""",
-        lambda c: extract.monthly_price(c), "price_pcm")
+ CASE WHEN regexp_matches(text, '{fixed.MONTH_WORD}') THEN {_int(q.first_match('text', re2(fixed.BARE_AMOUNT)))} END)"""
+_scalar("monthly_price", MONTHLY_SQL, lambda c: extract.monthly_price(c), "price_pcm")
+
+
+@query("sql_monthly_price", f"SELECT doc_id, {MONTHLY_SQL} AS price_pcm FROM {{prose}}")
+def sql_monthly_price(t: Tables):
+    sql.register(t.spark)
+    return t.sql("SELECT doc_id, monthly_price(text) AS price_pcm FROM {prose}")
+
+
 SQFT_LIST = ("list_max(list_filter(list_transform(regexp_extract_all({0}, '" + re2(fixed.SQFT)
              + "', 1), lambda x: TRY_CAST(replace(x, ',', '') AS INTEGER)), lambda x: x BETWEEN 250 AND 20000))")
 _scalar("area_sqft", SQFT_LIST.replace("{0}", "text"), lambda c: extract.area_sqft(c), "sqft")
@@ -188,16 +205,25 @@ dated AS (SELECT doc_id, ord, CASE WHEN regexp_matches(v, '{re2(fixed.IMMEDIATE)
  {yearless(AS_OF.year)}, {yearless(AS_OF.year + 1)}) END AS day FROM d2)"""
 
 
-@query("availability", f"""
+AVAILABLE_SQL = f"""
 WITH m AS (SELECT doc_id, regexp_extract_all(text, '{re2(fixed.AVAILABLE_PHRASE)}', 1) AS l FROM {{prose}}),
 u AS (SELECT doc_id, unnest(l) AS v, generate_subscripts(l, 1) AS ord FROM m), {one_date_sql('u')},
 f AS (SELECT doc_id, arg_min(day, ord) AS day FROM dated WHERE day IS NOT NULL GROUP BY 1)
-SELECT p.doc_id, CAST(f.day AS VARCHAR) AS available_from FROM {{prose}} p LEFT JOIN f ON f.doc_id = p.doc_id""")
+SELECT p.doc_id, CAST(f.day AS VARCHAR) AS available_from FROM {{prose}} p LEFT JOIN f ON f.doc_id = p.doc_id"""
+
+
+@query("availability", AVAILABLE_SQL)
 def availability(t: Tables):
     return t.prose.select("doc_id", extract.availability(
         F.col("text"), as_of()).cast("string").alias("available_from"))
 
 
+@query("sql_availability", AVAILABLE_SQL)
+def sql_availability(t: Tables):
+    sql.register(t.spark)
+    return t.sql(f"SELECT doc_id, CAST(availability(text, DATE '{AS_OF}') AS STRING) AS available_from FROM {{prose}}")
+
+
 ONE_DATE_VALUE = ("CASE doc_id % 9 WHEN 0 THEN concat(1 + doc_id % 28, 'th September 2024') WHEN 1 THEN 'Now' WHEN 2 THEN 'Ask agent' "
                   "WHEN 3 THEN concat(doc_id % 32, '/', doc_id % 14, '/2024') WHEN 4 THEN concat('2024-0', doc_id % 10, '-1', doc_id % 10) "
                   "WHEN 5 THEN concat(1 + doc_id % 30, ' Feb') WHEN 6 THEN '- Sept 2024' WHEN 7 THEN concat(1 + doc_id % 31, ' May, 2025 Furnished') "
@@ -482,6 +508,34 @@ def recency_window(t: Tables):
         "k", "window_days", "scoped_url")
 
 
+SCOPED_SQL = """
+WITH h AS (SELECT k, url, CASE WHEN contains(url, 'alpha.example') THEN %s WHEN contains(url, 'beta.example') THEN %s END AS d,
+ CASE WHEN contains(url, 'alpha.example') THEN 'since' ELSE 'added' END AS p FROM {search_log}),
+i AS (SELECT *, CASE WHEN regexp_matches(url, concat('[?&]', p, '=')) THEN NULL ELSE d END AS dd FROM h)
+SELECT k, dd AS window_days, CASE WHEN dd IS NULL THEN url ELSE concat(url, '&', p, '=', CASE WHEN p = 'since' THEN CAST(dd AS VARCHAR) ELSE '7_days' END) END AS scoped_url FROM i"""
+
+
+def _scoped(t: Tables, *runs: dt.datetime):
+    """Search URLs narrowed by the newest of some published runs, read on 1998-06-09 at noon."""
+    state = State(t.spark, work_dir(t.spark, "runs"))
+    for i, at in enumerate(runs):
+        state.write(t.tracker.where("false").select(*RECORD.names), t.spark.createDataFrame([], PENDING), f"run-{i}", at)
+    gap = search.days_since_run(state.runs(), F.lit("1998-06-09 12:00:00").cast("timestamp"))
+    return search.recency_window(t.search_log.withColumn("gap", gap), F.col("gap"), 14, windows=WINDOWS).select("k", "window_days", "scoped_url")
+
+
+# the newest run is 3 whole days old; two days of margin make 5, which snaps to 7
+@query("recency_from_state", SCOPED_SQL % (7, 7))
+def recency_from_state(t: Tables):
+    return _scoped(t, dt.datetime(1998, 5, 1), dt.datetime(1998, 6, 5, 13))
+
+
+# no run yet: the 14 days of a first run, which one host does not offer
+@query("recency_first_run", SCOPED_SQL % (14, "NULL"))
+def recency_first_run(t: Tables):
+    return _scoped(t)
+
+
 COUNTS = {"alpha.example": r"^([\d,]+) results?[ \t]*$", "beta.example": r"^([\d,]+) results?[ \t]*$",
           "gamma.example": r"^([\d,]+) results?", "delta.example": r"displaying: ([\d,]+) of"}
 STATED = ("CASE WHEN contains(url, 'delta.example') THEN NULL WHEN k % 7 = 0 THEN 1000 * (1 + k % 9) + 10 + k % 80 "
@@ -561,6 +615,31 @@ def crawl_saturation(t: Tables):
 RUN_KEY = ("concat_ws('|', '2024-01-01', 'true', CAST(count(*) AS VARCHAR), CAST(sum(CAST(concat('0x', substr(md5(concat_ws(' ', CAST(k AS VARCHAR), url)), 1, 15)) AS BIGINT)) AS VARCHAR))")
 
 
+@query("reuse_of_results", f"""
+WITH r AS (SELECT host, {RUN_KEY} AS run_key FROM {{search_log}} GROUP BY host)
+SELECT step, host, run_key, step = 'searched' AND host IN ('alpha.example', 'delta.example') AS reuse,
+ CASE WHEN step = 'searched' AND host IN ('alpha.example', 'delta.example') THEN (SELECT count(*) FROM {{search_log}} l WHERE l.host = r.host) ELSE 0 END AS rows_kept
+FROM r, (VALUES ('searched'), ('committed')) AS s(step)""")
+def reuse_of_results(t: Tables):
+    """Four hosts searched, one with problems, one searched again without luck; then a run is published."""
+    day = F.lit("2024-01-01")
+    state = State(t.spark, work_dir(t.spark, "reuse"))
+    results = SearchResults(state)
+    searches = t.search_log.select("host", F.col("k").alias("ord"), "url")
+    keys = search.run_keys(searches, day, True)
+    results.remember(keys.withColumn("clean", F.col("host") != "gamma.example"), searches)
+    results.remember(keys.where("host = 'beta.example'").withColumn("clean", F.lit(False)), searches.where("false"))
+
+    def told(step: str):
+        held = results.rows(searches.schema).groupBy("host").agg(F.count("*").alias("rows_kept"))
+        return (search.partition_reuse(keys, results.manifest()).join(held, "host", "left")
+                .select(F.lit(step).alias("step"), "host", "run_key", "reuse", F.coalesce("rows_kept", F.lit(0)).alias("rows_kept")))
+
+    searched = told("searched")
+    state.write(t.tracker.where("false").select(*RECORD.names), t.spark.createDataFrame([], PENDING), "run-1", dt.datetime(2024, 1, 1))
+    return searched.unionByName(told("committed"))
+
+
 @query("partition_reuse", f"""
 WITH r AS (SELECT host, {RUN_KEY} AS run_key FROM {{search_log}} GROUP BY host),
 m AS (SELECT host, {RUN_KEY} AS run_key FROM {{search_log}} WHERE host <> 'beta.example' OR k > 10 GROUP BY host)
@@ -656,14 +735,11 @@ def best_candidate(t: Tables):
 
 @query("slice_candidates", "SELECT url, pos AS n FROM {plan_texts} WHERE pos < 12")
 def slice_candidates(t: Tables):
-    images = t.plan_texts.groupBy("url").agg(F.transform(F.array_sort(F.collect_list(
-        F.struct("pos", "image"))), lambda x: x["image"]).alias("images"))
-    sliced = plans_read.slice_candidates(images)
-    return sliced.select("url", F.regexp_extract("image", r"/(\d+)\.jpg$", 1).cast("bigint").alias("n"))
+    return plans_read.slice_rows(t.plan_texts).select("url", F.regexp_extract("image", r"/(\d+)\.jpg$", 1).cast("bigint").alias("n"))
 
 
 @query("enrich_gate", "WITH " + BEST + """,
-a AS (SELECT *, ok % 6 = 0 AS prose_floor FROM {ads} WHERE ln = 1),
+a AS (SELECT *, ok % 6 = 0 AS prose_floor FROM {ads}),
 j AS (SELECT a.*, b.sqft, b.basis, b.confident AS conf, b.kind, coalesce(a.size_sqft, 0) <> 0 AS ks,
  coalesce(a.floor_level, '') <> '' OR coalesce(a.floor_number, 0) <> 0 OR prose_floor AS kf FROM a LEFT JOIN best b ON b.url = a.url)
 SELECT url, size_sqft, CASE WHEN NOT ks AND sqft IS NOT NULL THEN sqft ELSE size_sqft_plan END AS size_sqft_plan,
@@ -672,7 +748,7 @@ SELECT url, size_sqft, CASE WHEN NOT ks AND sqft IS NOT NULL THEN sqft ELSE size
  CASE WHEN NOT kf AND kind = 4 THEN 2 ELSE floor_number END AS floor_number FROM j""")
 def enrich_gate(t: Tables):
     prose = F.when(F.col("ok") % 6 == 0, "Set on the third floor.").otherwise("A flat.")
-    rows = t.ads.where("ln = 1").withColumn("prose", extract.amenities(prose))
+    rows = t.ads.withColumn("prose", extract.amenities(prose))
     return plans_read.enrich_gate(rows, plans_read.best_candidate(t.plan_texts)).select(
         "url", "size_sqft", "size_sqft_plan", "size_plan_basis", "floor_level", "floor_number")
 
@@ -795,28 +871,38 @@ def detail_pages(t: Tables):
 
 
 BODY = f"trim(regexp_replace({ONE_LINE}, ' +', ' ', 'g'))"
+# the lines of prose that each layout leaves
+PARTS_SQL = """concat_ws('{0}', CASE k WHEN 0 THEN concat('Key features: Lift / Roof & terrace{0}Description: ', b) END,
+  CASE WHEN k = 1 AND length(b) >= 120 OR k = 2 AND length(b) >= 60 OR k = 3 AND length(b) >= 100 THEN concat('Description: ', b)
+   WHEN k = 3 AND length(b) + 15 >= 100 THEN concat('Description: 4 tenants max. ', b) END,
+  CASE WHEN k = 3 AND length(b) + 15 >= 100 THEN concat('Bathrooms: ', 1 + doc_id % 3) END,
+  CASE k WHEN 2 THEN 'Letting details: Availability date: 1 Nov 2024 | Furnished' END,
+  CASE k WHEN 1 THEN concat('Size: ', 600 + doc_id % 500, ' sq ft') WHEN 2 THEN concat('Size: ', 700 + doc_id % 300, ' sq ft') END,
+  CASE k WHEN 1 THEN 'Availability: 2024-11-08' WHEN 2 THEN 'Availability: 2024-11-01' END)"""
 DETAIL_SQL = f"""WITH d AS (SELECT doc_id, doc_id % 4 AS k, {BODY} AS b FROM {{documents}})
 SELECT doc_id, CASE k WHEN 0 THEN concat('Mill Lane & Co, London, SW', 1 + doc_id % 9) END AS postcode,
  CASE k WHEN 3 THEN CAST(1100 + doc_id % 800 AS INTEGER) END AS price_pcm, CASE k WHEN 3 THEN CAST(1 + doc_id % 3 AS INTEGER) END AS bathrooms,
  CASE k WHEN 1 THEN 'Unfurnished' WHEN 2 THEN 'Furnished' WHEN 3 THEN 'Unfurnished' END AS furnished,
  CASE k WHEN 1 THEN CAST(600 + doc_id % 500 AS INTEGER) WHEN 2 THEN CAST(700 + doc_id % 300 AS INTEGER) END AS size_sqft,
- CASE k WHEN 1 THEN '2024-11-08' WHEN 2 THEN '2024-11-01' WHEN 3 THEN '{AS_OF}' END AS available_from FROM d"""
+ CASE k WHEN 1 THEN '2024-11-08' WHEN 2 THEN '2024-11-01' WHEN 3 THEN '{AS_OF}' END AS available_from,
+ {PARTS_SQL.format(' || ')} AS parts FROM d"""
+
+
+def detail_out(df):
+    return df.select("doc_id", "postcode", "price_pcm", "bathrooms", "furnished", "size_sqft",
+                     F.col("available_from").cast("string").alias("available_from"), F.array_join("parts", " || ").alias("parts"))
 
 
 @query("read_details", DETAIL_SQL)
 def read_details(t: Tables):
-    return details.read_details(detail_pages(t), as_of()).select(
-        "doc_id", "postcode", "price_pcm", "bathrooms", "furnished", "size_sqft",
-        F.col("available_from").cast("string").alias("available_from"))
+    return detail_out(details.read_details(detail_pages(t), as_of()))
 
 
 def _detail(name: str, source: str, k: int):
     @query(name, DETAIL_SQL + f" WHERE k = {k}")
     def run(t: Tables):
         rows = detail_pages(t).where(F.col("source_name") == source)
-        return details.LAYOUTS[source](rows, as_of()).select(
-            "doc_id", "postcode", "price_pcm", "bathrooms", "furnished", "size_sqft",
-            F.col("available_from").cast("string").alias("available_from"))
+        return detail_out(details.LAYOUTS[source](rows, as_of()))
     return run
 
 
@@ -834,14 +920,23 @@ def labelled_facts(t: Tables):
 
 
 @query("fetched_pages", f"""WITH d AS (SELECT doc_id, doc_id % 4 AS k, {BODY} AS b FROM {{documents}})
-SELECT concat('https://d.example/', doc_id) AS url, concat(lower({SOURCE_NAME}), '-detail') AS source FROM d
+SELECT concat('https://d.example/', doc_id) AS url, concat(lower({SOURCE_NAME}), '-detail') AS source, replace({PARTS_SQL.format('|')}, '|', chr(10)) AS text FROM d
 WHERE k = 0 OR (k = 1 AND length(b) >= 120) OR (k = 2 AND length(b) >= 60) OR (k = 3 AND length(b) + 15 >= 100)""")
 def fetched_pages(t: Tables):
     read = details.read_details(detail_pages(t), as_of())
-    return details.fetched_pages(read, F.lit("2024-01-01")).select("url", "source")
+    return details.fetched_pages(read, F.lit("2024-01-01")).select(
+        "url", "source", F.replace("text", F.lit(" | "), F.lit(" \n ")).alias("text"))
+
+
+def _filled(name: str, found: str) -> str:
+    blank = f"coalesce({name}, 0) = 0" if name == "floor_number" else f"coalesce(trim({name}), '') = ''"
+    return f"CASE WHEN {blank} AND (ok + ln) % 4 <> 0 THEN coalesce({found}, {name}) ELSE {name} END AS {name}"
 
 
-@query("fill_amenities", """SELECT a.url, a.floor_level, a.floor_number, a.lift, a.concierge, a.condition, a.size_sqft FROM {ads} a""")
+@query("fill_amenities", f"""SELECT url, {_filled('floor_level', "CASE o2 % 5 WHEN 1 THEN 'lower_ground' END")},
+ {_filled('floor_number', "CASE o2 % 5 WHEN 0 THEN 3 END")}, {_filled('lift', "CASE o1 % 4 WHEN 0 THEN 'yes' WHEN 1 THEN 'no' END")},
+ {_filled('concierge', "CASE o2 % 3 WHEN 0 THEN 'yes' END")}, {_filled('condition', "CASE o1 % 6 WHEN 0 THEN 'refurbished' WHEN 1 THEN 'needs_work' END")},
+ size_sqft FROM {{ads}}""")
 def fill_amenities(t: Tables):
     return daily.fill_amenities(t.ads, t.ad_pages).select(
         "url", "floor_level", "floor_number", "lift", "concierge", "condition", "size_sqft")

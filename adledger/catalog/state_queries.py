@@ -10,12 +10,13 @@ from adledger.catalog import sqlparts as q
 from adledger.catalog.ads_queries import HELD, LABEL, ORDER_BY, order, pending_table
 from adledger.catalog.registry import query
 from adledger.catalog.views import CRIT, REGISTRY, RUN_DATE, Tables
+from adledger.functions import extract
 from adledger.operators import cluster, quality, report, rules, search, upsert, verdicts
 from adledger.plans import daily
 from adledger.schemas import AD, RECORD
 from adledger.session import work_dir
 from adledger.sources import tables
-from adledger.sources.state import State
+from adledger.sources.state import Baselines, State
 from adledger.sources.tables import as_ads
 
 DAY = "DATE '1998-06-05'"
@@ -183,11 +184,14 @@ DECISIONS = ("concat('- [', CASE ok % 4 WHEN 0 THEN 'viewed' WHEN 1 THEN '' ELSE
 
 @query("scan_decisions", """
 SELECT url, CASE ok % 4 WHEN 0 THEN 'VIEWED' WHEN 1 THEN 'SEEN' ELSE 'DISMISSED' END AS status, concat('note ', ln) AS note
-FROM {ads} WHERE ok % 6 <> 5""")
+FROM {ads} WHERE ok % 6 <> 5 UNION ALL SELECT url, 'OLD' AS status, 'earlier' AS note FROM {ads} WHERE ok % 6 = 5 AND ok % 2 = 1""")
 def scan_decisions(t: Tables):
-    lines = t.ads.select(F.col("o1").alias("ord"), F.expr(
-        f"CASE WHEN ok % 6 = 5 THEN concat('prose about ', url) ELSE {DECISIONS} END").alias("value"))
-    return tables.parse_decisions(lines)
+    """Two folders of files, the second one later: what it says again overrides the first."""
+    path = work_dir(t.spark, "decisions")
+    t.stage("ads")
+    t.ads.where("ok % 2 = 1").select(F.expr("concat('- [old] ', url, ' — earlier')")).write.text(path + "/1")
+    t.ads.select(F.expr(f"CASE WHEN ok % 6 = 5 THEN concat('prose about ', url) ELSE {DECISIONS} END")).write.text(path + "/2")
+    return tables.scan_decisions(t.spark, path + "/*")
 
 
 @query("apply_decisions", """
@@ -234,6 +238,12 @@ summary AS (SELECT m.cluster_id, b.priority, b.price_pcm, count(*) AS n_ads, cou
             "AND coalesce(r.sz = n.me.sz, true) AND coalesce(r.pl = n.me.pl, true)")
 
 
+MERGED = f"""SELECT url, title, platform, concat('Block ', price_pcm % 3000) AS area,
+ CASE WHEN price_pcm % 7 < 4 THEN concat('SW', 1 + price_pcm % 7) END AS postcode, CAST(CASE WHEN price_pcm > 0 THEN 1000 END AS INT) AS price_pcm,
+ 2 AS bedrooms, 2 AS bathrooms, size_sqft, size_sqft_plan, floor_level, floor_number, lift, concierge, condition, furnished, aircon,
+ aircon_scope, priority, status FROM {{records}} WHERE {q.LIVE}"""
+
+
 def clustered(t: Tables):
     t.stage("ads")
     return cluster.cluster_ads(t.records.where(rules.is_live(F.col("status"))))
@@ -244,12 +254,11 @@ def cluster_ads(t: Tables):
     return clustered(t).select("url", "cluster_id")
 
 
-@query("cluster_ads_in_rounds", CLUSTERS + "SELECT url, cluster_id FROM members")
+@query("cluster_ads_in_rounds", CLUSTERS.replace(LIVE_RECORDS, MERGED) + "SELECT url, cluster_id FROM members")
 def cluster_ads_in_rounds(t: Tables):
-    """The path for blocks too large for one task, here taken by every shared block."""
+    """Addresses and prices run together, so that blocks hold hundreds of signatures and take many rounds."""
     t.stage("ads")
-    live = t.records.where(rules.is_live(F.col("status")))
-    return cluster.cluster_ads(live, fold_limit=1).select("url", "cluster_id")
+    return cluster.cluster_ads(t.sql(MERGED)).select("url", "cluster_id")
 
 
 @query("cluster_summary", CLUSTERS + "SELECT cluster_id, priority, price_pcm, n_ads, n_hits, in_unit FROM summary")
@@ -379,12 +388,34 @@ def snapshot_verdicts(t: Tables):
 
 @query("baseline_delta", f"""WITH a AS ({SNAP} {{tracker}}), b AS ({SNAP} (SELECT * FROM {{tracker}} WHERE found_on < DATE '1999-01-01')),
 au AS (UNPIVOT a ON COLUMNS(*) INTO NAME measure VALUE after), bu AS (UNPIVOT b ON COLUMNS(*) INTO NAME measure VALUE before)
-SELECT measure, before, after, after - before AS diff, true AS stale FROM au JOIN bu USING (measure) WHERE after <> before""")
+SELECT measure, before, after, after - before AS diff, true AS stale, 'earlier' AS basis FROM au JOIN bu USING (measure) WHERE after <> before""")
 def baseline_delta(t: Tables):
-    base = report.snapshot(t.tracker.where("found_on < DATE '1999-01-01'")).drop("aircon_live")
+    return _since_baseline(t, dt.date(1999, 1, 2), {dt.date(1999, 1, 1): "1999-01-01"})
+
+
+def _since_baseline(t: Tables, today: dt.date, *taken: dict):
+    """Today's counts beside the baselines kept, in order, of the tracker as it was before some days."""
+    kept = Baselines(t.spark, work_dir(t.spark, "baselines"))
     now = report.snapshot(t.tracker).drop("aircon_live")
-    return report.baseline_delta(now, base, F.lit("1999-01-01").cast("date"),
-                                 F.lit("1999-01-02").cast("date"))
+    for one in taken:
+        for on, before in one.items():
+            kept.keep(report.snapshot(t.tracker.where(f"found_on < DATE '{before}'")).drop("aircon_live"), on)
+    return report.baseline_delta(now, kept.newest(today, now.schema), F.lit(today))
+
+
+# a second snapshot of the day, taken after a repair, does not move where the day started
+@query("baseline_kept", f"""WITH a AS ({SNAP} {{tracker}}), b AS ({SNAP} (SELECT * FROM {{tracker}} WHERE found_on < DATE '1998-01-01')),
+au AS (UNPIVOT a ON COLUMNS(*) INTO NAME measure VALUE after), bu AS (UNPIVOT b ON COLUMNS(*) INTO NAME measure VALUE before)
+SELECT measure, before, after, after - before AS diff, false AS stale, 'today' AS basis FROM au JOIN bu USING (measure) WHERE after <> before""")
+def baseline_kept(t: Tables):
+    day = dt.date(1999, 1, 2)
+    return _since_baseline(t, day, {dt.date(1999, 1, 1): "1997-01-01"}, {day: "1998-01-01"}, {day: "1999-01-01"})
+
+
+@query("baseline_missing", f"""WITH a AS ({SNAP} {{tracker}}), au AS (UNPIVOT a ON COLUMNS(*) INTO NAME measure VALUE after)
+SELECT measure, CAST(NULL AS BIGINT) AS before, after, CAST(NULL AS BIGINT) AS diff, CAST(NULL AS BOOLEAN) AS stale, 'missing' AS basis FROM au""")
+def baseline_missing(t: Tables):
+    return _since_baseline(t, dt.date(1999, 1, 2))
 
 
 @query("report_tallies", f"""
@@ -469,8 +500,17 @@ def field_coverage(t: Tables):
     return quality.field_coverage(t.ads)
 
 
-@query("run_counters", "SELECT platform AS key, count(*) AS n FROM {batch} GROUP BY 1")
+# amenities read in the pages of ads (see the view) per field
+@query("run_counters", """WITH c AS (SELECT count(*) FILTER (o2 % 5 = 1) AS floor_level, count(*) FILTER (o2 % 5 = 0) AS floor_number,
+ count(*) FILTER (o1 % 4 < 2) AS lift, count(*) FILTER (o2 % 3 = 0) AS concierge, count(*) FILTER (o1 % 6 < 2) AS condition, CAST(0 AS BIGINT) AS size_sqft
+ FROM {ads} WHERE (ok + ln) % 4 <> 0) SELECT field AS key, hits AS n FROM (UNPIVOT c ON COLUMNS(*) INTO NAME field VALUE hits)""")
 def run_counters(t: Tables):
+    read = t.ad_pages.select(extract.amenities(F.col("text")).alias("amenities"))
+    return quality.run_counters(read).select(F.col("field").alias("key"), F.col("hits").alias("n"))
+
+
+@query("platform_tally", "SELECT platform AS key, count(*) AS n FROM {batch} GROUP BY 1")
+def platform_tally(t: Tables):
     return quality.tally(t.batch, F.col("platform"))
 
 
@@ -498,19 +538,17 @@ def wrapped(rows, batch):
     return rows.groupBy(batch.alias("batch")).agg(F.collect_list(F.struct(*AD.names)).alias("listings"))
 
 
-@query("scan_batch", "SELECT url, title, price_pcm, CAST(available_from AS VARCHAR) AS available_from, '1998-06-05' AS run_date FROM {ads} WHERE ok % 4 < 2")
+@query("scan_batch", "SELECT url, title, price_pcm, CAST(available_from AS VARCHAR) AS available_from, '1998-06-05' AS run_date FROM {ads}")
 def scan_batch(t: Tables):
-    """Batches written as wrapped and as bare ads, read back as one table."""
+    """All ads, half of them written as wrapped batches and half as bare ads, read back as one table."""
     path = work_dir(t.spark, "batch")
-    ads = as_ads(t.ads).select(*AD.names, "ok")
-    rows = ads.where("ok % 4 < 2")
-    batches = wrapped(rows.where("ok % 4 = 0"), F.floor(F.col("ok") / 400)).select(
+    rows = as_ads(t.ads).select(*AD.names, "ok")
+    batches = wrapped(rows.where("ok % 4 < 2"), F.floor(F.col("ok") / 400)).select(
         F.lit("1998-06-05").alias("run_date"), "listings")
     batches.write.json(path + "/wrapped")
-    rows.where("ok % 4 = 1").select(F.lit("1998-06-05").alias("run_date"), *AD.names
+    rows.where("ok % 4 >= 2").select(F.lit("1998-06-05").alias("run_date"), *AD.names
                                     ).write.json(path + "/bare")
-    read = t.spark.read.schema(tables.batch_schema()).json([path + "/wrapped", path + "/bare"])
-    return tables.batch_rows(read).select(
+    return tables.scan_batch(t.spark, path + "/wrapped", path + "/bare").select(
         "url", "title", "price_pcm", F.col("available_from").cast("string").alias("available_from"),
         F.col("run_date").cast("string").alias("run_date"))
 
@@ -520,6 +558,28 @@ def write_stage(t: Tables):
     return tables.write_stage(t.ads.select("url", "price_pcm"), work_dir(t.spark, "stage"))
 
 
+# a run is stopped while a flagged row has no verdict, and publishes once all have one
+@query("finish_gate", f"""SELECT step, CAST(CASE step WHEN 'stopped' THEN 0 ELSE 1 END AS BIGINT) AS runs,
+ CASE step WHEN 'stopped' THEN 0 ELSE (SELECT count(*) FROM {{ads}} WHERE ln = 1 AND ({q.rule_code(CRIT)}) IS NULL AND (ok + ln) % 4 <> 0) END AS tracked
+ FROM (VALUES ('stopped'), ('published')) AS s(step)""")
+def finish_gate(t: Tables):
+    t.stage("ads")
+    state = State(t.spark, work_dir(t.spark, "gate"))
+    batch = t.ads.where("ln = 1")
+    review = t.ad_pages.where(F.contains("text", F.lit("Air conditioning")))
+    quiet = review.select("url", F.lit("unstated").alias("verdict"), F.lit("").alias("scope"), F.lit("").alias("evidence"))
+    said = []
+    for step, judged in (("stopped", quiet.where("url NOT LIKE '%-1'")), ("published", quiet)):
+        try:
+            daily.commit(state, batch, judged, t.ad_pages, CRIT, RUN_DATE, order(), step, review=review)
+        except verdicts.UnjudgedError:
+            pass
+        runs = state.runs().agg(F.count("*").alias("runs"))
+        kept = state.tracker().agg(F.count("*").alias("tracked"))
+        said.append(runs.select(F.lit(step).alias("step"), "runs", kept.scalar().alias("tracked")))
+    return said[0].unionByName(said[1])
+
+
 # the batch of one run is gated on every flagged row having a verdict
 @query("unjudged_gate", "SELECT p.url FROM {ad_pages} p WHERE p.text LIKE '%Air conditioning%' AND NOT EXISTS (SELECT 1 FROM {ad_verdicts} v WHERE v.url = p.url AND v.scope <> 'somewhere')")
 def unjudged_gate(t: Tables):

@@ -109,7 +109,11 @@ FROM {ads} WHERE ok % 3 = 1 AND ln = 1""",
     "ad_pages": """
 SELECT url, CAST(o9 AS DATE) AS fetched_at, platform AS source,
  concat('Description: Flat at ', area, CASE WHEN ok % 5 = 0 THEN '. Air conditioning throughout.'
-        ELSE '. Gas heating only.' END) AS text
+        ELSE '. Gas heating only.' END,
+  CASE o2 % 5 WHEN 0 THEN ' Set on the third floor.' WHEN 1 THEN ' Lower ground level.' ELSE '' END,
+  CASE o1 % 4 WHEN 0 THEN ' There is a lift.' WHEN 1 THEN ' No lift, sorry.' ELSE '' END,
+  CASE o2 % 3 WHEN 0 THEN ' Day porter.' ELSE '' END,
+  CASE o1 % 6 WHEN 0 THEN ' Recently refurbished throughout.' WHEN 1 THEN ' In need of modernisation.' ELSE '' END) AS text
 FROM {ads} WHERE (ok + ln) % 4 <> 0""",
     "ad_verdicts": """
 SELECT url, CASE ok % 5 WHEN 0 THEN 'Yes' WHEN 1 THEN 'likely' ELSE 'no' END AS verdict,

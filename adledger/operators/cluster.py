@@ -12,18 +12,17 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from adledger.functions import extract
 from adledger.functions.blanks import blank_number, blank_text, some_number, some_text
 from adledger.operators import rules
-from adledger.session import ensure_checkpoints, work_dir
+from adledger.session import work_dir
 from adledger.sources.tables import write_stage
 
 BLOCK = ["price_pcm", "bedrooms", "bathrooms", "addr_key"]
 FACTS = ["outcode", "incode", "floor", "size", "plan"]
-FOLD_LIMIT = 200
 
 
 def with_address(df: DataFrame) -> DataFrame:
@@ -47,108 +46,105 @@ def _rank(order: Sequence[Column]) -> Column:
 
 def signatures(keyed: DataFrame) -> DataFrame:
     """Distinct fact combinations per block with their best-ranked ad."""
-    return keyed.groupBy(*BLOCK, *FACTS).agg(F.min("_rank").alias("rank"))
-
-
-def fold_blocks(sigs: DataFrame) -> DataFrame:
-    """First-fit inside each block, for blocks of at most ``FOLD_LIMIT`` signatures."""
-    item = F.struct("rank", *FACTS)
-    item_type = sigs.select(item.alias("x")).schema["x"].dataType.simpleString()
-    pair = f"struct<sig:{item_type},rep:{item_type}>"
-    start = F.struct(F.array().cast(f"array<{item_type}>").alias("reps"),
-                     F.array().cast(f"array<{pair}>").alias("done"))
-
-    def agrees(r: Column, x: Column) -> Column:
-        same = F.lit(True)
-        for f in FACTS:
-            same = same & F.coalesce(r[f] == x[f], F.lit(True))
-        return same
-
-    def place(acc: Column, x: Column) -> Column:
-        hit = F.get(F.filter(acc["reps"], lambda r: agrees(r, x)), F.lit(0))
-        rep = F.coalesce(hit, x)
-        reps = F.when(hit.isNull(), F.array_append(acc["reps"], x)).otherwise(acc["reps"])
-        done = F.array_append(acc["done"], F.struct(x.alias("sig"), rep.alias("rep")).cast(pair))
-        return F.struct(reps.alias("reps"), done.alias("done"))
-
-    blocks = sigs.groupBy(*BLOCK).agg(F.array_sort(F.collect_list(item)).alias("sigs"))
-    placed = blocks.withColumn("done", F.aggregate("sigs", start, place, lambda a: a["done"]))
-    return (placed.select(*BLOCK, F.inline("done"))
-            .select(*BLOCK, *[F.col("sig")[f].alias(f) for f in FACTS],
-                    F.col("rep.rank.url").alias("cluster_id"), F.col("rep.rank").alias("rep_rank")))
-
-
-def _mask(prefix: str = "") -> Column:
-    bits = [F.when(F.col(prefix + f).isNotNull(), 1 << i).otherwise(0)
-            for i, f in enumerate(FACTS)]
+    return keyed.groupBy(F.col("_block").alias("block"), *FACTS).agg(F.min("_rank").alias("rank"))
+
+
+def _mask() -> Column:
+    """Which facts are stated, as bits."""
+    bits = [F.when(F.col(f).isNotNull(), 1 << i).otherwise(0) for i, f in enumerate(FACTS)]
     total = bits[0]
     for b in bits[1:]:
         total = total + b
     return total
 
 
-def _projection(mask: Column) -> Column:
-    """The facts selected by a mask, as one comparable struct."""
-    return F.struct(*[F.when(F.getbit(mask, F.lit(i)) == 1, F.col(f)).alias(f)
-                      for i, f in enumerate(FACTS)])
+def _hashed(*values: Column) -> Column:
+    """128 bits of some values; a null is a value of its own and keeps its place."""
+    told = [x for v in values for x in (v.isNull(), v)]
+    return F.struct(F.xxhash64(F.lit(1), *told).alias("h1"), F.xxhash64(F.lit(2), *told).alias("h2"))
+
+
+def _shared_key(both: Column) -> Column:
+    """The block and the facts that a mask selects; no shared fact leaves the block alone."""
+    return _hashed(F.col("block.h1"), F.col("block.h2"), both,
+                   *[F.when(F.getbit(both, F.lit(i)) == 1, F.col(f)) for i, f in enumerate(FACTS)])
+
+
+def _least_agreeing(asking: DataFrame, live: DataFrame) -> DataFrame:
+    """Per asking signature the best-ranked live one that it does not contradict.
+
+    Two signatures agree when they are equal on the facts both state. For a pair of
+    masks that is an equi-join on the block and those facts, and one minimum per key is
+    all that is needed; masks without a shared fact meet in one minimum per block.
+    """
+    masks = F.array(*[F.lit(m) for m in range(2 ** len(FACTS))])
+    both = F.col("mask").bitwiseAND(F.col("other"))
+    # a live signature once per set of facts that an asking mask may share with it
+    shared = F.array_distinct(F.transform(masks, lambda m: F.col("mask").bitwiseAND(m)))
+    keys = (live.join(asking.select("block").distinct(), "block", "left_semi").withColumn("both", F.explode(shared))
+            .select(F.col("mask").alias("other"), _shared_key(F.col("both")).alias("key"), "rank", "first")
+            .groupBy("other", "key").agg(F.min(F.struct("rank", "first")).alias("best")))
+    met = live.select(F.col("mask").alias("other")).distinct()  # 32 rows at most
+    asked = asking.withColumn("other", F.explode(masks)).join(F.broadcast(met), "other", "left_semi")
+    return (asked.select("url", "other", _shared_key(both).alias("key")).join(keys, ["other", "key"])
+            .groupBy("url").agg(F.min("best").alias("best")))
+
+
+WAITING = ("block", *FACTS, "mask", "rank", "url")
 
 
-def assign_in_rounds(sigs: DataFrame) -> DataFrame:
-    """The same first-fit for blocks of any size, without one task per block.
+def _round(waiting: DataFrame, settled: DataFrame, firsts: DataFrame) -> DataFrame:
+    """One round over the unsettled signatures.
 
-    A signature is settled once the best-ranked live signature it agrees with is
-    known to be a cluster's first (then it joins) or is itself (then it opens
-    one). Agreement between two signatures is equality on the facts both state,
-    so for each pair of stated-fact masks it is an equi-join on that projection
-    and only the best rank per key is needed. Rounds repeat until all are
-    settled; each round is written to the checkpoint folder.
+    Each waits for one better-ranked signature, its blocker. If the last round made the
+    blocker the first of a cluster, the signature joins it; if the blocker joined another,
+    the signature asks again; else it goes on waiting and is not joined with anything.
     """
-    ensure_checkpoints(sigs.sparkSession)
-    masks = F.sequence(F.lit(0), F.lit(2 ** len(FACTS) - 1))
-    state = sigs.withColumn("mask", _mask()).withColumn("rep_rank", F.lit(None).cast(
-        sigs.schema["rank"].dataType)).checkpoint()
-    while not state.where("rep_rank IS NULL").isEmpty():
-        live = state.where("rep_rank IS NULL OR rep_rank = rank")
-        keys = (live.withColumn("other", F.explode(masks))
-                .withColumn("both", F.col("mask").bitwiseAND(F.col("other")))
-                .select(*BLOCK, "mask", "both", _projection(F.col("both")).alias("key"),
-                        F.struct("rank", (F.col("rep_rank").isNotNull()).alias("first")
-                                 ).alias("cand"))
-                .groupBy(*BLOCK, "mask", "both", "key").agg(F.min("cand").alias("cand")))
-        open_ = state.where("rep_rank IS NULL")
-        asked = (open_.withColumn("other", F.explode(masks))
-                 .withColumn("both", F.col("mask").bitwiseAND(F.col("other")))
-                 .withColumn("key", _projection(F.col("both"))))
-        same_block = [F.col("q." + b).eqNullSafe(F.col("k." + b)) for b in BLOCK]
-        best = (asked.alias("q").join(keys.alias("k"), [
-            *same_block, F.col("q.other") == F.col("k.mask"),
-            F.col("q.both") == F.col("k.both"), F.col("q.key") == F.col("k.key")])
-            .groupBy(F.col("q.rank").alias("rank")).agg(F.min("k.cand").alias("best")))
-        settled = F.when(F.col("rep_rank").isNotNull(), F.col("rep_rank")).when(
-            F.col("best.first") | (F.col("best.rank") == F.col("rank")), F.col("best.rank"))
-        state = (state.join(best, "rank", "left").withColumn("rep_rank", settled)
-                 .select(*BLOCK, *FACTS, "rank", "mask", "rep_rank").checkpoint())
-    return state.select(*BLOCK, *FACTS, F.col("rep_rank.url").alias("cluster_id"), "rep_rank")
-
-
-def assign_signatures(sigs: DataFrame, fold_limit: int = FOLD_LIMIT) -> DataFrame:
-    """Cluster of every signature. Only blocks over the limit go through rounds.
-
-    The signatures are written once: they are counted per block, then folded.
+    news = settled.select(F.col("url").alias("blocker"), F.col("cluster_id").alias("via"), F.col("cluster_rank").alias("via_rank"))
+    told = waiting.join(news, "blocker", "left")
+    joins = F.col("via") == F.col("blocker")
+    told = told.withColumns({"cluster_id": F.when(joins, F.col("via")), "cluster_rank": F.when(joins, F.col("via_rank")),
+                             "blocker": F.when(F.col("via").isNull(), F.col("blocker"))}).drop("via", "via_rank")
+    open_ = told.where("cluster_id IS NULL")
+    live = open_.select("block", *FACTS, "mask", "rank", F.lit(False).alias("first")).unionByName(
+        firsts.select("block", *FACTS, "mask", "rank", F.lit(True).alias("first")))
+    best = _least_agreeing(open_.where("blocker IS NULL"), live)
+    out = told.join(best, "url", "left")
+    own = F.col("best.rank.url") == F.col("url")
+    found = F.col("best.first") | own
+    return out.withColumns({
+        "cluster_id": F.when(found, F.col("best.rank.url")).otherwise(F.col("cluster_id")),
+        "cluster_rank": F.when(found, F.col("best.rank")).otherwise(F.col("cluster_rank")),
+        "blocker": F.when(found, None).when(F.col("best").isNotNull(), F.col("best.rank.url")).otherwise(F.col("blocker")),
+    }).select(*WAITING, "blocker", "cluster_id", "cluster_rank")
+
+
+def assign_signatures(sigs: DataFrame) -> DataFrame:
+    """Cluster of every signature, first-fit inside its block, for blocks of any size.
+
+    A signature alone in its block is settled at once. The others are settled in rounds
+    of equi-joins over what is still unsettled, each round written out; no block is ever
+    gathered in one task. Rounds grow with the longest chain of blockers.
     """
-    sigs = write_stage(sigs, work_dir(sigs.sparkSession, "signatures"))
-    sizes = sigs.groupBy(*BLOCK).agg(F.count("*").alias("n_sigs"))
-    large = sizes.where(F.col("n_sigs") > fold_limit).select(*BLOCK)
-    if large.isEmpty():
-        return fold_blocks(sigs)
-    match = [F.col("s." + b).eqNullSafe(F.col("l." + b)) for b in BLOCK]
-    big = sigs.alias("s").join(large.alias("l"), match, "left_semi")
-    small = sigs.alias("s").join(large.alias("l"), match, "left_anti")
-    return fold_blocks(small).unionByName(assign_in_rounds(big))
-
-
-def cluster_ads(rows: DataFrame, order: Sequence[Column] | None = None,
-                fold_limit: int = FOLD_LIMIT) -> DataFrame:
+    spark = sigs.sparkSession
+    alone = F.count("*").over(Window.partitionBy("block")) == 1
+    state = write_stage(sigs.withColumns({
+        "url": F.col("rank.url"), "mask": _mask(), "blocker": F.lit(None).cast("string"),
+        "cluster_id": F.when(alone, F.col("rank.url")), "cluster_rank": F.when(alone, F.col("rank"))}).select(
+            *WAITING, "blocker", "cluster_id", "cluster_rank"), work_dir(spark, "signatures"))
+    done = [state.where("cluster_id IS NOT NULL")]
+    firsts = state.where("false")
+    while not (waiting := state.where("cluster_id IS NULL")).isEmpty():
+        state = write_stage(_round(waiting, done[-1], firsts), work_dir(spark, "round"))
+        done.append(state.where("cluster_id IS NOT NULL"))
+        firsts = firsts.unionByName(done[-1].where("cluster_id = url"))
+    out = done[0]
+    for part in done[1:]:
+        out = out.unionByName(part)
+    return out
+
+
+def cluster_ads(rows: DataFrame, order: Sequence[Column] | None = None) -> DataFrame:
     """Adds ``cluster_id`` (URL of the cluster's best ad) and ``cluster_rank``.
 
     Rows need unique URLs. An ad without a price or an address is its own
@@ -159,11 +155,11 @@ def cluster_ads(rows: DataFrame, order: Sequence[Column] | None = None,
     alone = blank_number(F.col("price_pcm")) | blank_text(F.col("addr_key"))
     singles = keyed.where(alone).withColumns({
         "cluster_id": F.col("url"), "cluster_rank": F.col("_rank")})
-    shared = keyed.where(~alone)
-    assigned = assign_signatures(signatures(shared), fold_limit).alias("a")
-    match = [F.col("k." + c).eqNullSafe(F.col("a." + c)) for c in BLOCK + FACTS]
-    joined = shared.alias("k").join(assigned, match).select(
-        "k.*", "a.cluster_id", F.col("a.rep_rank").alias("cluster_rank"))
+    shared = keyed.where(~alone).withColumn("_block", _hashed(*map(F.col, BLOCK)))
+    shared = shared.withColumn("_sig", _hashed(F.col("_block.h1"), F.col("_block.h2"), *map(F.col, FACTS)))
+    assigned = assign_signatures(signatures(shared))
+    found = assigned.select(_hashed(F.col("block.h1"), F.col("block.h2"), *map(F.col, FACTS)).alias("_sig"), "cluster_id", "cluster_rank")
+    joined = shared.join(found, "_sig").drop("_sig", "_block")
     return joined.unionByName(singles).withColumnRenamed("_rank", "ad_rank")
 
 

@@ -16,6 +16,12 @@ def slice_candidates(df: DataFrame, images: str = "images") -> DataFrame:
     return df.select("url", F.posexplode(first).alias("pos", "image"))
 
 
+def slice_rows(candidates: DataFrame) -> DataFrame:
+    """The same cut where each candidate is a row with its ``pos``: nothing is gathered."""
+    rank = F.row_number().over(Window.partitionBy("url").orderBy("pos"))
+    return candidates.withColumn("_rn", rank).where(F.col("_rn") <= fixed.PLAN_CANDIDATES).drop("_rn")
+
+
 def best_candidate(plan_texts: DataFrame) -> DataFrame:
     """Per ad: of its best-scored texts, the first stating an area, else the first plan.
 

@@ -42,22 +42,24 @@ def verdict_counts(snap: DataFrame) -> DataFrame:
     return snap.select(F.explode("aircon_live").alias("verdict", "n"))
 
 
-def baseline_delta(now: DataFrame, base: DataFrame, taken_on: Column, today: Column) -> DataFrame:
-    """Changed counts since a stored baseline: (measure, before, after, diff, stale)."""
+def baseline_delta(now: DataFrame, base: DataFrame, today: Column) -> DataFrame:
+    """Counts beside a stored baseline: measure, before, after, diff, stale, basis.
+
+    ``base`` has ``taken_on`` and one row, or none before the first baseline. With one,
+    only changed counts are listed, and ``basis`` says whether it is of ``today`` or of
+    an ``earlier`` day. Without one every count is listed, with basis ``missing`` and
+    neither before nor diff: a running total, which is not a change from zero.
+    """
     names = ["tracked", "live", "ruled_out", "aircon_in_unit", "unreported"]
-    before = base.unpivot([], names, "measure", "before")
+    before = base.select("taken_on", *names).unpivot(["taken_on"], names, "measure", "before")
     after = now.unpivot([], names, "measure", "after")
-    diff = F.coalesce("after", F.lit(0)) - F.coalesce("before", F.lit(0))
-    return (after.join(before, "measure", "left").withColumn("diff", diff)
-            .withColumn("stale", taken_on != today).where("diff <> 0"))
-
-
-def ensure_baseline(base: DataFrame, now: DataFrame, today: Column) -> DataFrame:
-    """The baseline to keep: one already taken today stays, else today's counts."""
-    kept = base.where(F.col("taken_on") == today)
-    fresh = now.withColumn("taken_on", today)
-    marked = kept.withColumn("_p", F.lit(0)).unionByName(fresh.withColumn("_p", F.lit(1)))
-    return marked.orderBy("_p").limit(1).drop("_p")
+    c = F.col
+    basis = F.when(c("taken_on").isNull(), "missing").when(c("taken_on") == today, "today").otherwise("earlier")
+    # a measure that an older baseline did not record counts from zero
+    diff = F.when(c("taken_on").isNotNull(), F.coalesce(c("after"), F.lit(0)) - F.coalesce(c("before"), F.lit(0)))
+    return (after.join(before, "measure", "full_outer")
+            .select("measure", "before", "after", diff.alias("diff"), (c("taken_on") != today).alias("stale"), basis.alias("basis"))
+            .where("diff IS NULL OR diff <> 0"))
 
 
 def report_tallies(tracker: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from adledger import fixed
+from adledger.functions import extract
 from adledger.functions.blanks import is_true
 from adledger.functions.extract import found, to_int
 
@@ -48,10 +49,26 @@ def region_fallback(df: DataFrame, search_url: str = "search_url",
     return df.withColumn("area_trusted", F.col("region_district").isNotNull())
 
 
+def host_subset(df: DataFrame, name: str, url: str = "url") -> DataFrame:
+    """Rows whose URL lies on a host with ``name`` in it, in any letter case."""
+    return df.where(F.contains(F.lower(extract.host(F.col(url))), F.lit(name.lower())))
+
+
 def has_param(url: Column, param: str) -> Column:
     return url.rlike("[?&]" + re.escape(param) + "=")
 
 
+def days_since_run(runs: DataFrame, now: Column) -> Column:
+    """Whole days since the newest published run, null before the first one; a scalar subquery.
+
+    ``runs`` has ``updated``. A run that searched and did not publish leaves no row, so the
+    next window covers its time too.
+    """
+    seconds = F.unix_timestamp(now) - F.unix_timestamp(F.max("updated"))
+    days = F.when(seconds.isNotNull(), F.greatest(F.lit(0), F.floor(seconds / 86400)))
+    return runs.agg(days.cast("int").alias("gap")).scalar()
+
+
 def recency_window(df: DataFrame, gap_days: Column, first_run_days: int, url: str = "url",
                    windows: Mapping[str, tuple] = fixed.RECENT_WINDOWS) -> DataFrame:
     """Adds ``scoped_url`` and ``window_days``: the URL narrowed to what is new.

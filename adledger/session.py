@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import functools
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -44,13 +45,7 @@ def _local_dir(application: str) -> str:
     return tempfile.mkdtemp(prefix="spark-")
 
 
-def ensure_checkpoints(spark: SparkSession) -> None:
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(shared_dir(spark) + "/checkpoints")
-
-
 def work_dir(spark: SparkSession, name: str) -> str:
     """A fresh folder for one run's files under the shared folder."""
-    import uuid
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 

@@ -35,9 +35,13 @@ def batch_rows(raw: DataFrame) -> DataFrame:
     return nested.unionByName(bare)
 
 
-def scan_batch(spark: SparkSession, path: str) -> DataFrame:
-    """Search batches, ``{run_date, listings: [...]}`` or a bare array of ads."""
-    return batch_rows(spark.read.schema(batch_schema()).option("multiLine", True).json(path))
+def scan_batch(spark: SparkSession, *paths: str, lines: bool = True) -> DataFrame:
+    """Search batches: per line ``{run_date, listings: [...]}``, one ad, or an array of ads.
+
+    Lines let a file be read by many tasks. A file written over several lines needs
+    ``lines=False``, and then one task.
+    """
+    return batch_rows(spark.read.schema(batch_schema()).option("multiLine", not lines).json(list(paths)))
 
 
 def as_ads(df: DataFrame) -> DataFrame:
@@ -78,10 +82,13 @@ def parse_decisions(lines: DataFrame) -> DataFrame:
 
 
 def scan_decisions(spark: SparkSession, path: str) -> DataFrame:
-    """A hand-written decisions file; it is small by nature, so it is read whole."""
-    text = spark.read.text(path, wholetext=True)
-    lines = text.select(F.posexplode(F.split("value", "\r?\n")).alias("ord", "value"))
-    return parse_decisions(lines)
+    """Decisions of one or many files, read line by line in many tasks.
+
+    The order is that of the files' names, of the pieces of a file by their first byte,
+    and of the lines in a piece, which one task reads in order.
+    """
+    place = F.struct("_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id().alias("line"))
+    return parse_decisions(spark.read.text(path).select("value", place.alias("ord")))
 
 
 def apply_decisions(tracker: DataFrame, decisions: DataFrame) -> DataFrame:

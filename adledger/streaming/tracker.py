@@ -8,12 +8,12 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from adledger import fixed
 from adledger.criteria import Criteria
 from adledger.operators.upsert import upsert
-from adledger.sources.state import State
+from adledger.sources.state import BUCKETS, Folder, State, bucket_of
 
 MARGIN = f"{fixed.WINDOW_MARGIN_DAYS} days"
 HOLD_MS = fixed.HOLD_DAYS * 24 * 3600 * 1000
@@ -47,44 +47,75 @@ def stream_upsert(ads: DataFrame, state: State, crit: Criteria, order: list[Colu
 
 HELD_OUT = "url STRING, arrived_ms BIGINT, released_ms BIGINT, how STRING"
 HELD_STATE = "arrived_ms BIGINT, read_ms BIGINT, done BOOLEAN"
+STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def _hold(key: tuple, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Three numbers of state per key; chunks are folded, never gathered."""
-    arrived, read, done = state.get if state.exists else (None, None, False)
-    if not done and not state.hasTimedOut:
-        for chunk in chunks:
+class Hold(StatefulProcessor):
+    """Three numbers of state per key, and one event-time timer: to release it, then to forget it.
+
+    A released key is remembered for ``KEEP_MS`` longer, which keeps late rows from releasing
+    it again; then its state is cleared. What comes later still is held back by the sink
+    (``append_unreported``), which knows all it has released.
+    """
+
+    KEEP_MS = HOLD_MS
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.held = handle.getValueState("held", HELD_STATE)
+
+    def _release(self, key: tuple, arrived: int, read: int | None, watermark: int) -> pd.DataFrame:
+        due = arrived + HOLD_MS
+        at, how = (read, "read") if read is not None and read < due else (due, "overdue")
+        self.held.update((arrived, read, True))
+        self._wake_at(max(at + self.KEEP_MS, watermark + 1))
+        return pd.DataFrame({"url": [key[0]], "arrived_ms": [arrived], "released_ms": [at], "how": [how]})
+
+    def _wake_at(self, ms: int) -> None:
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        self.handle.registerTimer(ms)
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        arrived, read, done = self.held.get() if self.held.exists() else (None, None, False)
+        for chunk in rows:  # folded, never gathered
             ms = chunk["ts_ms"]
-            seen = [v for v in (arrived, ms.min()) if v is not None]
-            arrived = int(min(seen))
+            arrived = int(min(v for v in (arrived, ms.min()) if v is not None))
             reads = ms[chunk["is_read"]]
             if len(reads):
                 read = int(min(v for v in (read, reads.min()) if v is not None))
-    due = arrived + HOLD_MS
-    how = None
-    if not done:
+        if done:
+            return
+        watermark = timerValues.getCurrentWatermarkInMs()
         if read is not None:
-            how = "read" if read < due else "overdue"
-        elif state.hasTimedOut:
-            how = "overdue"
-    state.update((arrived, read, done or how is not None))
-    if how is None:
-        if not done:
-            state.setTimeoutTimestamp(max(due, state.getCurrentWatermarkMs() + 1))
-        return
-    at = read if how == "read" else due
-    yield pd.DataFrame({"url": [key[0]], "arrived_ms": [arrived], "released_ms": [at], "how": [how]})
+            yield self._release(key, arrived, read, watermark)
+        else:
+            self.held.update((arrived, None, False))
+            self._wake_at(max(arrived + HOLD_MS, watermark + 1))
+
+    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        arrived, read, done = self.held.get()
+        if done:
+            self.held.clear()
+        else:
+            yield self._release(key, arrived, read, timerValues.getCurrentWatermarkInMs())
+
+    def close(self) -> None:
+        pass
 
 
 def hold_release(sightings: DataFrame) -> DataFrame:
     """Releases each key once: when its page is read, or seven days after it arrived.
 
-    ``sightings`` is a stream of ``url``, ``ts`` and ``is_read``.
+    ``sightings`` is a stream of ``url``, ``ts`` and ``is_read``. State of a released key
+    leaves once the time to remember it has passed.
     """
+    # timers and typed state live in this store only
+    sightings.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
     rows = sightings.withWatermark("ts", MARGIN).select(
-        "url", "ts", F.unix_millis("ts").alias("ts_ms"), "is_read")
-    held = rows.groupBy("url").applyInPandasWithState(
-        _hold, HELD_OUT, HELD_STATE, "append", GroupStateTimeout.EventTimeTimeout)
+        "url", "ts", F.unix_millis("ts").alias("ts_ms"), F.coalesce("is_read", F.lit(False)).alias("is_read"))
+    held = rows.groupBy("url").transformWithStateInPandas(
+        statefulProcessor=Hold(), outputStructType=HELD_OUT, outputMode="Append", timeMode="EventTime")
     return held.select("url", F.timestamp_millis("arrived_ms").alias("arrived"),
                        F.timestamp_millis("released_ms").alias("released"), "how")
 
@@ -94,21 +125,25 @@ def report_once(sightings: DataFrame) -> DataFrame:
     return sightings.withWatermark("ts", MARGIN).dropDuplicatesWithinWatermark(["url"])
 
 
-def append_unreported(stream: DataFrame, path: str, checkpoint: str, reported_on: str = "ts") -> None:
-    """Appends keys no earlier output holds, one folder per micro-batch."""
+def append_unreported(stream: DataFrame, path: str, checkpoint: str, buckets: int = BUCKETS) -> None:
+    """Appends rows whose ``url`` no earlier output holds.
+
+    The output lies in hash buckets of the URL, so a micro-batch reads the history of the
+    buckets it falls in and no other. Its own files are named after it: a batch that is
+    replayed is not hidden by its first attempt, and replaces it.
+    """
     spark: SparkSession = stream.sparkSession
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        try:
-            earlier = spark.read.schema("url STRING, ts TIMESTAMP, batch BIGINT").parquet(path)
-            # a replayed batch must not be hidden by its own first attempt
-            seen = earlier.where(F.col("batch") != batch_id).select("url").distinct()
-            fresh = batch.join(seen, "url", "left_anti")
-        except Exception as exc:
-            if "PATH_NOT_FOUND" not in str(exc):
-                raise
-            fresh = batch
-        fresh.select("url", "ts").write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        rows = batch.withColumn("bucket", bucket_of(F.col("url"), buckets))
+        wanted = {f"bucket={r.bucket}" for r in rows.select("bucket").distinct().collect()}
+        known = [f"{path}/{n}" for n in Folder(spark, path).names("") if n in wanted]
+        if known:
+            earlier = (spark.read.option("basePath", path).schema("url STRING, bucket INT, batch BIGINT").parquet(*known)
+                       .where(F.col("batch") != batch_id).select("bucket", "url").distinct())
+            rows = rows.join(earlier, ["bucket", "url"], "left_anti")
+        (rows.withColumn("batch", F.lit(batch_id)).repartition("bucket").write.mode("overwrite")
+         .option("partitionOverwriteMode", "dynamic").partitionBy("bucket", "batch").parquet(path))
 
     run_available(stream, lambda w: w.foreachBatch(write).option("checkpointLocation", checkpoint))
 

@@ -35,18 +35,37 @@ def random_ads(seed, n, streets=2):
     return ads
 
 
-@pytest.mark.parametrize("seed,limit", [(1, 200), (2, 200), (1, 1), (3, 5)])
-def test_same_clusters_as_one_at_a_time(rows, seed, limit):
+def clusters(df):
+    return {r.url: r.cluster_id for r in cluster.cluster_ads(df, [F.col("url")]).select("url", "cluster_id").collect()}
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_same_clusters_as_one_at_a_time(rows, seed):
     ads = random_ads(seed, 160)
-    df = rows(RECORD, *ads)
-    got = {r.url: r.cluster_id for r in cluster.cluster_ads(
-        df, [F.col("url")], fold_limit=limit).select("url", "cluster_id").collect()}
-    assert got == first_fit(sorted(ads, key=lambda a: a["url"]))
+    assert clusters(rows(RECORD, *ads)) == first_fit(sorted(ads, key=lambda a: a["url"]))
+
+
+def test_a_block_of_thousands_of_signatures(rows):
+    rnd = random.Random(7)
+    ads = []
+    for i in range(4000):
+        oc = rnd.choice([None, *(f"SW{n}" for n in range(1, 10))])
+        ads.append(dict(url=f"u{i:04d}", price_pcm=2000, bedrooms=None, bathrooms=1, street="mill lane", oc=oc,
+                        area="mill lane" + (f" {oc}" if oc else ""), floor_level=rnd.choice([None, "top", "ground", "first"]),
+                        size_sqft=rnd.choice([None, *range(600, 640)]), size_sqft_plan=rnd.choice([None, *range(500, 540)]),
+                        priority="High", status="NEW"))
+    assert len({tuple(a.get(k) for k in ("oc", "floor_level", "size_sqft", "size_sqft_plan")) for a in ads}) > 3500
+    assert clusters(rows(RECORD, *ads)) == first_fit(ads)
+
+
+def test_a_null_is_a_value_of_its_own_in_a_key(spark):
+    df = spark.createDataFrame([(None, "a"), ("a", None), ("a", "a"), (None, None)], "x string, y string")
+    assert df.select(cluster._hashed(F.col("x"), F.col("y")).alias("h")).distinct().count() == 4
 
 
 def test_a_block_of_copies_is_one_signature(rows):
     ads = [dict(url=f"u{i:05d}", price_pcm=2000, bedrooms=2, bathrooms=1, area="Mill Lane", priority="Low") for i in range(3000)]
-    keyed = cluster.with_facts(rows(RECORD, *ads)).withColumn("_rank", F.struct("url"))
+    keyed = cluster.with_facts(rows(RECORD, *ads)).withColumns({"_rank": F.struct("url"), "_block": F.lit(1)})
     assert cluster.signatures(keyed).count() == 1
     summary = cluster.summarise(cluster.cluster_ads(rows(RECORD, *ads)))
     assert [(r.cluster_id, r.n_ads) for r in summary.collect()] == [("u00000", 3000)]

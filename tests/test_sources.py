@@ -1,12 +1,13 @@
 import datetime as dt
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from adledger.catalog import load
 from adledger.schemas import PENDING, RECORD
 from adledger.sources import tables
-from adledger.sources.state import State
+from adledger.sources.state import Baselines, ConflictError, SearchResults, State
 from adledger.sources.tables import as_ads
 
 NOW = dt.datetime(2026, 9, 20)
@@ -20,7 +21,7 @@ def test_state_starts_empty_and_publishes_whole_runs(spark, rows, tmp_path):
     state.write(rows(RECORD, dict(url="a"), dict(url="b")), none, "r2", NOW)
     # a replayed run changes nothing, a run without a pointer is not seen
     state.write(rows(RECORD), none, "r2", NOW)
-    rows(RECORD, dict(url="x")).write.parquet(str(tmp_path / "state/tracker/run_id=r3"))
+    rows(RECORD, dict(url="x")).write.parquet(str(tmp_path / "state/tracker/run=r3/bucket=0"))
     assert {r.url for r in state.tracker().collect()} == {"a", "b"} and state.latest().seq == 1
 
 
@@ -57,3 +58,110 @@ def test_wrapped_batches_stay_bounded(spark):
     ads = as_ads(spark.range(40_000).selectExpr("id AS ok", "concat('u', id) AS url"))
     got = wrapped(ads, F.floor(F.col("ok") / 400)).selectExpr("count(*) AS n", "sum(size(listings)) AS ads", "max(size(listings)) AS most").first()
     assert (got.n, got.ads, got.most) == (100, 40_000, 400)
+
+
+def test_a_batch_of_one_url_touches_one_bucket(spark, rows, tmp_path):
+    state = State(spark, str(tmp_path / "state"), buckets=16)
+    urls = [f"https://x/{i}" for i in range(200)]
+    state.write(rows(RECORD, *[dict(url=u, title="old") for u in urls]), rows(PENDING), "r1", NOW)
+    before = state.latest().files["tracker"]
+    assert len(before) == 16
+    part = state.part(spark.createDataFrame([(" https://x/7 ",)], "url string"))
+    held = state.tracker(part)
+    assert len(part.buckets) == 1 and 0 < held.count() < 40
+    assert held.inputFiles() and all(f"bucket={part.buckets[0]}/" in f for f in held.inputFiles())
+    state.write(held.withColumn("title", F.lit("new")), rows(PENDING), "r2", NOW, part)
+    after = state.latest().files["tracker"]
+    assert {b for b in after if after[b] != before[b]} == {str(part.buckets[0])}
+    assert state.folder.names("tracker/run=r2")[-1] == f"bucket={part.buckets[0]}"
+    titles = {r.url: r.title for r in state.tracker().collect()}
+    assert len(titles) == 200 and titles["https://x/7"] == "new" and set(titles.values()) == {"old", "new"}
+
+
+def test_of_two_runs_from_one_manifest_one_publishes(spark, rows, tmp_path):
+    root = str(tmp_path / "state")
+    one, two = State(spark, root), State(spark, root)
+    a, b = rows(RECORD, dict(url="a")), rows(RECORD, dict(url="b"))
+    first, second = one.part(a), two.part(b)
+    one.write(a, rows(PENDING), "one", NOW, first)
+    with pytest.raises(ConflictError):
+        two.write(b, rows(PENDING), "two", NOW, second)
+    assert [r.url for r in two.tracker().collect()] == ["a"] and not two.has_run("two")
+    two.write(b, rows(PENDING), "two", NOW, two.part(b))
+    assert {r.url for r in one.tracker().collect()} == {"a", "b"}
+    assert [(r.seq, r.run_id) for r in one.runs().orderBy("seq").collect()] == [(0, "one"), (1, "two")]
+
+
+def test_an_emptied_bucket_is_gone(spark, rows, tmp_path):
+    state = State(spark, str(tmp_path / "state"), buckets=4)
+    wait = rows(PENDING, dict(url="a", attempts=1))
+    state.write(rows(RECORD), wait, "r1", NOW)
+    assert state.pending().count() == 1
+    state.write(rows(RECORD, dict(url="a")), rows(PENDING), "r2", NOW, state.part(wait))
+    assert state.pending().count() == 0 and state.tracker().count() == 1
+
+
+def test_a_baseline_is_taken_once_a_day(spark, tmp_path):
+    kept = Baselines(spark, str(tmp_path / "base"))
+    snap = spark.createDataFrame([(1,)], "tracked long")
+    day = dt.date(2026, 9, 20)
+    assert kept.newest(day, snap.schema).count() == 0
+    assert kept.keep(snap, day) and not kept.keep(spark.createDataFrame([(9,)], "tracked long"), day)
+    assert [tuple(r) for r in kept.newest(day + dt.timedelta(3), snap.schema).collect()] == [(1, day)]
+    assert kept.newest(day - dt.timedelta(1), snap.schema).count() == 0
+
+
+def test_results_are_forgotten_with_the_next_run(spark, rows, tmp_path):
+    state = State(spark, str(tmp_path / "state"))
+    results = SearchResults(state)
+    found = spark.createDataFrame([("a", "u1"), ("b", "u2")], "host string, url string")
+    told = spark.createDataFrame([("a", "k", True), ("b", "k", True), ("c", "k", True)], "host string, run_key string, clean boolean")
+    results.remember(told, found)
+    results.remember(told.where("host = 'b'").withColumn("clean", F.lit(False)), found)
+    assert {r.host for r in results.manifest().collect()} == {"a", "c"}  # c is clean with no rows
+    assert [r.url for r in results.rows(found.schema).collect()] == ["u1"]
+    state.write(rows(RECORD), rows(PENDING), "r1", NOW)
+    assert results.manifest().count() == results.rows(found.schema).count() == 0
+
+
+def test_decisions_are_read_in_pieces_and_in_order(spark, tmp_path):
+    path = tmp_path / "many"
+    path.mkdir()
+    (path / "1.md").write_text("".join(f"- [early] https://x/{i} - n{i}\n" for i in range(20_000)), "utf-8")
+    (path / "2.md").write_text("- [late] https://x/5 - last\n" + "- [seen] https://x/6\r\n- [gone] https://x/6\r\n", "utf-8")
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "64k")
+        df = tables.scan_decisions(spark, str(path))
+        assert spark.read.text(str(path)).rdd.getNumPartitions() > 4
+        got = {r.url: (r.status, r.note) for r in df.collect()}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert len(got) == 20_000
+    assert got["https://x/5"] == ("LATE", "last") and got["https://x/6"] == ("GONE", "") and got["https://x/7"] == ("EARLY", "n7")
+
+
+def test_batches_of_lines_are_read_by_many_tasks(spark, tmp_path):
+    (tmp_path / "a.json").write_text("".join(json.dumps({"url": f"u{i}", "title": "x" * 200}) + "\n" for i in range(2000)))
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "64k")
+        df = tables.scan_batch(spark, str(tmp_path))
+        assert df.select("url").distinct().count() == 2000 and df.rdd.getNumPartitions() > 4
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    (tmp_path / "b").mkdir()
+    (tmp_path / "b/b.json").write_text(json.dumps([{"url": "b"}, {"url": "c"}], indent=2))
+    assert {r.url for r in tables.scan_batch(spark, str(tmp_path / "b"), lines=False).collect()} == {"b", "c"}
+
+
+def test_details_are_read_in_one_scan(spark, tmp_path):
+    from adledger.sources import details
+
+    page = spark.createDataFrame([("u", "OpenRent", "", "2 bathrooms\n4 tenants max.\n" + "words " * 30 + "\nPrice & Bills\nx")],
+                                 "url string, source_name string, html string, text string")
+    page.write.parquet(str(tmp_path / "pages"))
+    read = details.read_details(spark.read.parquet(str(tmp_path / "pages")), F.lit("2024-01-01").cast("date"))
+    assert read._jdf.queryExecution().executedPlan().toString().count("FileScan") == 1
+    [row] = read.collect()
+    assert row.bathrooms == 2 and row.parts[0].startswith("Description: words") and row.text.startswith("2 bath")
