@@ -10,9 +10,9 @@ documents agree with probability equal to their weighted Jaccard similarity.
 
 Signatures are banded. Documents of equal words are one node. In every bucket each node is
 compared with the bucket's smallest and largest node; then, in rounds, nodes outside of the
-bucket's main component with a few of that component, chosen by hash; at last nodes that the
-bucket still has in different components with each other. So no link between components is
-left out, while a large group of near copies costs a few comparisons for each member.
+bucket's main component with a few of that component, chosen by hash; at last those that are
+still outside with all nodes of other components in the bucket. So no link between components
+is left out, while a large group of near copies costs a few comparisons for each member.
 Every comparison that counts is the exact weighted Jaccard similarity.
 
 Texts without a word (null, empty, blank) are copies of each other and near nothing else.
@@ -190,28 +190,35 @@ def _verified(pairs: DataFrame, bag: DataFrame, threshold: float) -> DataFrame:
     return arrow_map(both, run, f"a {kind}, b {kind}, similarity double").where(F.col("similarity") >= threshold)
 
 
-def _across(apart: DataFrame, nodes: DataFrame, bag: DataFrame, threshold: float, block: int = 256) -> DataFrame:
+def _across(apart: DataFrame, nodes: DataFrame, bag: DataFrame, threshold: float, block_bytes: int = 16 << 20) -> DataFrame:
     """Links (a, b, similarity) between nodes of a bucket that are in different components.
 
-    A bucket is cut into blocks of about `block` nodes by hash, and each pair of blocks is one
-    group of bounded size; its nodes are compared there and only links leave it. Two nodes meet
-    in the first bucket they share. A comparison is left out if the two components are already
-    known to be linked, or if the signatures agree in fewer registers than any pair of the
-    threshold's similarity would, but for one in ten million.
+    A bucket with nodes outside of its main component is cut into blocks of about `block_bytes`
+    of bags and signatures by hash. A node of the main component goes to its own block alone,
+    the others to all blocks of the bucket, and only they are compared: with the main nodes of
+    the block, and each pair of them in the own block of its smaller id. So rows grow with the
+    bucket, not with its square, up to a block, and main nodes never meet each other. Two nodes
+    meet in the first bucket they share. A comparison is left out if the two components are
+    already known to be linked, or if the signatures agree in fewer registers than any pair of
+    the threshold's similarity would, but for one in ten million.
     """
-    sized = apart.groupBy("band").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
+    apart = apart.withColumn("minor", F.col("comp") != F.col("main"))
+    held = F.sum(4 * F.col("n") + 1000)  # a bag, a signature, bands and their overhead
+    sized = (apart.groupBy("band").agg(F.ceil(held / block_bytes).cast("int").alias("blocks"), F.bool_or("minor").alias("any"))
+             .where("any").drop("any"))
+    everywhere = F.sequence(F.lit(0), F.col("blocks") - 1)
     dealt = (apart.join(sized, "band").withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-             .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-             .select("band", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "rep", "n", "comp"))
+             .withColumn("block", F.explode(F.when(F.col("minor"), everywhere).otherwise(F.array("own"))))
+             .select("band", "block", "own", "minor", "rep", "n", "comp"))
     full = dealt.join(nodes, "rep").join(bag, "rep")
     kind = apart.schema["rep"].dataType.simpleString()
     least = threshold - 0.2
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
-        band, i, j = group["band"].iloc[0], group["i"].iloc[0], group["j"].iloc[0]
+        band, block = group["band"].iloc[0], group["block"].iloc[0]
         group = group.sort_values("rep", ignore_index=True)
         rep, comp, bag_of = group["rep"].tolist(), pd.factorize(group["comp"])[0], group["bag"].tolist()
-        n, own = group["n"].to_numpy(), group["own"].to_numpy()
+        n, own, minor = group["n"].to_numpy(), group["own"].to_numpy(), group["minor"].to_numpy(dtype=bool)
         bands, sig = np.stack(group["bands"].to_numpy()), np.stack([np.frombuffer(x, np.uint16) for x in group["sig"]])
         at = np.flatnonzero(bands[0] == band)[0]
         top = list(range(int(comp.max()) + 1))
@@ -221,20 +228,19 @@ def _across(apart: DataFrame, nodes: DataFrame, bag: DataFrame, threshold: float
                 top[c] = c = top[top[c]]
             return c
 
-        out = []
-        for x in range(len(rep) - 1):
-            y = np.arange(x + 1, len(rep))
-            y = y[(comp[y] != comp[x]) & (own[y] != own[x] if i != j else True)
-                  & (np.minimum(n[y], n[x]) >= threshold * np.maximum(n[y], n[x]))]
-            y = y[~(bands[y, :at] == bands[x, :at]).any(axis=1)]
+        out, place = [], np.arange(len(rep))
+        for x in np.flatnonzero(minor).tolist():
+            y = np.flatnonzero((~minor | ((place > x) & (own[x] == block))) & (comp != comp[x])
+                               & (np.minimum(n, n[x]) >= threshold * np.maximum(n, n[x])))
             y = y[(sig[y] == sig[x]).mean(axis=1) >= least]
+            y = y[~(bands[y, :at] == bands[x, :at]).any(axis=1)]
             for k in y.tolist():
                 if (p := root(comp[x])) != (q := root(comp[k])) and (s := bag_similarity(bag_of[x], bag_of[k])) >= threshold:
                     top[p] = q
                     out.append((rep[x], rep[k], s))
         return pd.DataFrame(out, columns=["a", "b", "similarity"])
 
-    return full.groupBy("band", "i", "j").applyInPandas(run, f"a {kind}, b {kind}, similarity double")
+    return full.groupBy("band", "block").applyInPandas(run, f"a {kind}, b {kind}, similarity double")
 
 
 def _apart(members: DataFrame, comp: DataFrame) -> DataFrame:

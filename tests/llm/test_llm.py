@@ -125,6 +125,63 @@ def test_near_classes_of_a_chain(spark):
         assert {r.doc_id: r.class_id for r in got} == top
 
 
+def test_stragglers_are_dealt_once_each(spark):
+    """Texts just under the threshold: rows sent to the comparison grow with the group, links are all found."""
+    r = random.Random(6)
+
+    def dealt(group):
+        base = [r.choice([f"u{i}" for i in range(500)]) for _ in range(60)]
+        rows = []
+        for i in range(group):
+            text = list(base)
+            for at in r.sample(range(0, 60, 6), 2):
+                text[at] = f"x{i}_{at}"
+            rows.append((i, " ".join(text)))
+        rows.append((group, rows[3][1] + " tail"))
+        df = spark.createDataFrame(rows, "doc_id long, text string")
+        seen = []
+        kept = bagminhash._across
+
+        def counted(apart, *args, **options):
+            minor = apart.where("comp <> main").select("band").distinct()
+            seen.append(apart.join(minor, "band").count())
+            return kept(apart, *args, **options)
+
+        bagminhash._across = counted
+        try:
+            got = {x.doc_id: x.class_id for x in bagminhash.near_classes(df).collect()}
+        finally:
+            bagminhash._across = kept
+        assert got[group] == got[3]
+        return sum(seen)
+
+    small, large = dealt(100), dealt(400)
+    assert large <= 6 * max(small, 100)
+
+
+def test_blocks_of_a_bucket_meet(spark):
+    """However small the blocks, the same links between components are found."""
+    r = random.Random(8)
+    base = [f"v{i}" for i in range(80)]
+    bags_of, rows = {}, []
+    for i in range(60):
+        text = list(base)
+        for _ in range(r.randint(0, 6)):
+            text[r.randrange(80)] = f"y{r.randrange(30)}"
+        rows.append((i, " ".join(text)))
+        bags_of[i] = bag(rows[-1][1])
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = bagminhash._across
+    found = []
+    for size in (16 << 20, 3000):
+        bagminhash._across = lambda *a, size=size: kept(*a, block_bytes=size)
+        try:
+            found.append({x.doc_id: x.class_id for x in bagminhash.near_classes(df, rounds=0).collect()})
+        finally:
+            bagminhash._across = kept
+    assert found[0] == found[1]
+
+
 def test_signatures_are_unbiased():
     r = np.random.default_rng(0)
     a, b = [" ".join(r.choice([f"q{i}" for i in range(6)], 400)) for _ in range(2)]
