@@ -8,9 +8,9 @@ A point counts if its position is below the shingle's weight. A register keeps i
 time; points later than the last register's time are never made. Registers of two
 documents agree with probability equal to their weighted Jaccard similarity.
 
-Signatures are banded. Documents of equal words are one node. In every bucket each node is
-compared with the bucket's smallest and largest node; then, in rounds, nodes outside of the
-bucket's main component with a few of that component, chosen by hash; at last those that are
+Signatures are banded. Documents of equal words are one node. In the buckets of the first bands
+each node is compared with the bucket's smallest; then, in rounds over all bands, nodes outside
+of the bucket's main component with a few of that component, chosen by hash; at last those that are
 still outside with all nodes of other components in the bucket. So no link between components
 is left out, while a large group of near copies costs a few comparisons for each member.
 Every comparison that counts is the exact weighted Jaccard similarity.
@@ -254,7 +254,8 @@ def _apart(members: DataFrame, comp: DataFrame) -> DataFrame:
 
 
 def near_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8,
-                 bands: int = BANDS, rows: int = ROWS, words: int = WORDS, rounds: int = 2, delegates: int = 4) -> DataFrame:
+                 bands: int = BANDS, rows: int = ROWS, words: int = WORDS, rounds: int = 2, delegates: int = 4,
+                 first: int = 5) -> DataFrame:
     """One row per row of df: id, class_id (the smallest id of its class), rep (the smallest id of equal words), links.
 
     links counts the verified partners of the row's words that were compared.
@@ -264,12 +265,11 @@ def near_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     signed = staged(_signed(docs, bands, rows, words), "signatures")
     reps = staged(signed.groupBy("key").agg(F.min("id").alias("rep"), F.first("n").alias("n"),
                                             F.first("bands").alias("bands"), F.first("sig").alias("sig")), "nodes")
-    slots = reps.where("rep IS NOT NULL").select(F.explode("bands").alias("band"), "rep", "n")
-    crowded = (slots.groupBy("band").agg(F.count("*").alias("c"), F.min("rep").alias("low"), F.max("rep").alias("high"))
-               .where("c > 1").drop("c"))
+    slots = reps.where("rep IS NOT NULL").select(F.posexplode("bands").alias("at", "band"), "rep", "n")
+    crowded = slots.groupBy("band").agg(F.count("*").alias("c"), F.min("rep").alias("low")).where("c > 1").drop("c")
     members = staged(slots.join(crowded, "band"), "members")
-    pairs = staged(members.select(F.col("low").alias("a"), F.col("rep").alias("b"))
-                   .union(members.select(F.col("rep").alias("a"), F.col("high").alias("b")))
+    # what the first bands link needs no comparison in the others
+    pairs = staged(members.where(F.col("at") < first).select(F.col("low").alias("a"), F.col("rep").alias("b"))
                    .where("a < b").distinct(), "pairs")
 
     wanted = members.select(F.col("rep").alias("id")).distinct()
