@@ -7,7 +7,9 @@ the base ones: `pem` (a private key block) and `loose` (a long mixed token stand
 kept only if it belongs to few owners). Base spans are always returned.
 
 Null counts as empty; texts without a match give counts of 0 and empty spans. Positions
-are code points, end exclusive, of the whole match.
+are code points, end exclusive, of the whole match. Ids may be null or repeated: every row
+has the spans of its own text. A null owner is one owner; an empty table gives no rows; other
+columns, whatever their names, stay as they are.
 """
 
 from __future__ import annotations
@@ -67,28 +69,33 @@ def all_spans(text: str) -> list[tuple[int, int, int, str]]:
 
 def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source",
          repo_col: str | None = None) -> DataFrame:
-    """id, owner, repo and the candidates `found` (kind, start, stop, value hash) of every row.
+    """id, owner, repo, text_hash and the candidates `found` (kind, start, stop, value hash) of every row.
 
     Without a repository column the owner stands for it. A null owner is one owner.
     """
     id_type = df.select(id_col).schema[0].dataType.simpleString()
 
     def run(batches):
-        for part in slices(batches, 3, 8 << 20):
+        for part in slices(batches, 4, 8 << 20):
             rows = []
-            for t in part.column(3).to_pylist():
+            for t in part.column(4).to_pylist():
                 rows.append([{"kind": k, "start": a, "stop": b, "value": hashlib.sha256(v.encode()).hexdigest()}
                              for k, a, b, v in all_spans(t or "")])
             yield pa.RecordBatch.from_arrays(
-                [*part.columns[:3], pa.array(rows, pa.list_(pa.struct(
+                [*part.columns[:4], pa.array(rows, pa.list_(pa.struct(
                     [("kind", pa.int32()), ("start", pa.int64()), ("stop", pa.int64()), ("value", pa.string())])))],
-                ["id", "owner", "repo", "found"])
+                ["id", "owner", "repo", "text_hash", "found"])
 
     owner = F.coalesce(F.col(owner_col).cast("string"), F.lit(""))
     repo = owner if repo_col is None else F.coalesce(F.col(repo_col).cast("string"), F.lit(""))
     return arrow_map(df.select(F.col(id_col).alias("id"), owner.alias("owner"), repo.alias("repo"),
-                               F.col(text_col).alias("t")), run,
-                     f"id {id_type}, owner string, repo string, found array<struct<{FOUND.replace(' ', ':').replace(',:', ', ')}>>")
+                               _text_hash(text_col).alias("text_hash"), F.col(text_col).alias("t")), run,
+                     f"id {id_type}, owner string, repo string, text_hash string, "
+                     f"found array<struct<{FOUND.replace(' ', ':').replace(',:', ', ')}>>")
+
+
+def _text_hash(text_col: str):
+    return F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256)
 
 
 def ownership(scanned: DataFrame, max_owners: int = 3) -> DataFrame:
@@ -104,64 +111,71 @@ def ownership(scanned: DataFrame, max_owners: int = 3) -> DataFrame:
             .withColumn("live", (F.col("owners") <= max_owners) & (F.col("repos") <= max_owners)))
 
 
-def judged_spans(scanned: DataFrame, max_owners: int = 3) -> DataFrame:
-    """id, kind, start, stop, value, owners, live: one row per span that is returned.
+def judged_spans(scanned: DataFrame, key: str, max_owners: int = 3) -> DataFrame:
+    """key, kind, start, stop, live: one row per span that is returned, with the key of its row.
 
     A loose token stays only if it is live; the other kinds always stay.
     """
-    each = scanned.select("id", F.explode("found").alias("f")).select("id", "f.*")
+    each = scanned.select(key, F.explode("found").alias("f")).select(key, "f.*")
     return (each.join(ownership(scanned, max_owners), "value")
-            .where((F.col("kind") != 4) | F.col("live"))
-            .select("id", "kind", "start", "stop", "value", "owners", "live"))
+            .where((F.col("kind") != 4) | F.col("live")).select(key, "kind", "start", "stop", "live"))
 
 
-def digest_columns(spans: DataFrame, docs: DataFrame, id_col: str) -> DataFrame:
-    """Per document of docs (one column, id): the counts, the base digest and the spans as text."""
+def find_secrets(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source",
+                 repo_col: str | None = None, max_owners: int = 3) -> DataFrame:
+    """One row per document with its spans and how many of them are live.
+
+    Every row keeps the spans of its own text: ids may be null or repeated, with equal or
+    other texts. Texts are read once; spans meet only the verdicts on their values.
+    """
+    numbered = scan(df, id_col, text_col, owner_col, repo_col).withColumn("row", F.monotonically_increasing_id())
+    scanned = staged(numbered, "secrets")
     name = F.element_at(F.array(*map(F.lit, KINDS)), F.col("kind") + 1)
     one = F.struct("start", "kind", "stop", F.concat_ws(":", name, F.col("start"), F.col("stop")).alias("s"), "live")
-    # equal rows of one id give equal spans; a set keeps each once
-    rolled = (spans.withColumn("one", one).groupBy("id").agg(F.sort_array(F.collect_set("one")).alias("all"))
-              .withColumnRenamed("id", id_col))
+    rolled = (judged_spans(scanned.where("size(found) > 0"), "row", max_owners).withColumn("one", one)
+              .groupBy("row").agg(F.sort_array(F.collect_list("one")).alias("all")))
     base = F.filter("all", lambda x: x["kind"] < 3)
     count = lambda k: F.coalesce(F.size(F.filter("all", lambda x: x["kind"] == k)), F.lit(0)).cast("long")
     text = lambda xs: F.coalesce(F.array_join(F.transform(xs, lambda x: x["s"]), ","), F.lit(""))
-    joined = docs.select(id_col).join(rolled, id_col, "left")
+    joined = scanned.select("id", "row").join(rolled, "row", "left")
     joined = joined.withColumn("all", F.coalesce("all", F.array().cast(rolled.schema["all"].dataType)))
-    return joined.select(id_col, count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"),
+    return joined.select(F.col("id").alias(id_col), count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"),
                          F.sha2(text(base), 256).alias("base_sha256"), text(F.col("all")).alias("spans"),
                          F.size(F.filter("all", lambda x: x["live"])).cast("long").alias("n_live"))
 
 
-def find_secrets(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source",
-                 repo_col: str | None = None, max_owners: int = 3) -> DataFrame:
-    """One row per document with its spans and how many of them are live."""
-    scanned = staged(scan(df, id_col, text_col, owner_col, repo_col).where("size(found) > 0"), "secrets")
-    return digest_columns(judged_spans(scanned, max_owners), df, id_col)
-
-
 def redact(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source",
            repo_col: str | None = None, max_owners: int = 3, mark: str = "[SECRET]") -> DataFrame:
     """df with each live span replaced by `mark`; n_chars, where there is one, follows the text.
 
-    Widely copied examples stay. Only rows that may hold a live span are shuffled.
+    Widely copied examples stay. Spans belong to a text and find it by its hash, whatever the
+    row's id. Only rows that may hold a live span are shuffled.
     """
+    key, live_spans = (_free(name, df) for name in ("text_hash", "live_spans"))
     scanned = staged(scan(df, id_col, text_col, owner_col, repo_col).where("size(found) > 0"), "secrets")
-    live = staged(judged_spans(scanned, max_owners).where("live").groupBy("id")
-                  .agg(F.sort_array(F.collect_set(F.struct("start", "stop"))).alias("live_spans"))
-                  .withColumnRenamed("id", id_col), "live")
-    maybe, clear = sieve_split(df, live.select(id_col), id_col)
+    live = staged(judged_spans(scanned, "text_hash", max_owners).where("live").groupBy("text_hash")
+                  .agg(F.sort_array(F.collect_set(F.struct("start", "stop"))).alias(live_spans))
+                  .withColumnRenamed("text_hash", key), "live")
+    maybe, clear = sieve_split(df.withColumn(key, _text_hash(text_col)), live.select(key), key)
 
     @F.pandas_udf("string")
     def masked(texts, spans):
         return texts.combine(spans, lambda t, s: t if s is None or t is None else _mask(t, s, mark))
 
-    hit = (maybe.join(live, id_col, "left")
-           .withColumn(text_col, F.when(F.col("live_spans").isNull(), F.col(text_col))
-                       .otherwise(masked(text_col, "live_spans"))))
+    untouched = F.col(live_spans).isNull()
+    hit = (maybe.join(live, key, "left")
+           .withColumn(text_col, F.when(untouched, F.col(text_col)).otherwise(masked(text_col, live_spans))))
     if "n_chars" in df.columns:
-        hit = hit.withColumn("n_chars", F.when(F.col("live_spans").isNull(), F.col("n_chars"))
+        hit = hit.withColumn("n_chars", F.when(untouched, F.col("n_chars"))
                              .otherwise(F.length(text_col).cast(df.schema["n_chars"].dataType)))
-    return clear.unionByName(hit.select(*df.columns))
+    return clear.select(*df.columns).unionByName(hit.select(*df.columns))
+
+
+def _free(name: str, df: DataFrame) -> str:
+    """A column name that df does not have."""
+    while name in df.columns:
+        name += "_"
+    return name
 
 
 def _mask(text: str, spans, mark: str) -> str:
