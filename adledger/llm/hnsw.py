@@ -8,9 +8,9 @@ and ids. Queries meet every shard in blocks; each shard gives its nearest per qu
 nearest of all shards are kept. Distances of the result are computed in double precision on
 the original vectors; ties go to the smaller id.
 
-Vectors that are null, zero, or hold a null or non-finite component take no part, nor do
-those of another dimension than most have (ties: the smaller dimension). Equal rows are one
-candidate. With fewer candidates than k a query returns them all; an empty table gives none.
+Vectors that are null, zero, or hold a null or non-finite component take no part. Vectors of
+another number of components are a space of their own, with its own shards and neighbours.
+Equal rows are one candidate; a query id with several vectors asks with the least of them. With fewer candidates than k a query returns them all; an empty table gives none.
 """
 
 from __future__ import annotations
@@ -153,10 +153,8 @@ def usable(vector: Column) -> Column:
 
 
 def _vectors(df: DataFrame, id_col: str, vec_col: str) -> DataFrame:
-    rows = df.select(F.col(id_col).alias("id"), F.col(vec_col).cast("array<double>").alias("v")).where(
+    return df.select(F.col(id_col).alias("id"), F.col(vec_col).cast("array<double>").alias("v")).where(
         usable(F.col("v")) & F.col("id").isNotNull())
-    size = rows.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").limit(1).first()
-    return rows.where(F.size("v") == (size.d if size else 0))
 
 
 def _nodes(rows: DataFrame, ids: int) -> DataFrame:
@@ -168,7 +166,7 @@ def _nodes(rows: DataFrame, ids: int) -> DataFrame:
             .groupBy("v").agg(F.sort_array(F.collect_set("id")).alias("ids")))
 
 
-INDEX = ("shard int, n int, ids array<array<long>>, vectors binary, sizes array<int>, members binary, links binary")
+INDEX = ("shard int, d int, n int, ids array<array<long>>, vectors binary, sizes array<int>, members binary, links binary")
 
 
 def build_index(rows: DataFrame, ids: int, shard_rows: int = 4096, m: int = 12, ef: int = 64, seed: int = 1) -> DataFrame:
@@ -180,12 +178,14 @@ def build_index(rows: DataFrame, ids: int, shard_rows: int = 4096, m: int = 12,
         shard = shard.assign(first=[x[0] for x in shard["ids"]]).sort_values("first")
         v = np.stack(shard["v"].to_numpy())
         g = Graph(v, m).build(ef, seed)
-        return pd.DataFrame({"shard": [int(shard["shard"].iloc[0])], "n": [len(v)], "ids": [[list(x) for x in shard["ids"]]],
+        return pd.DataFrame({"shard": [int(shard["shard"].iloc[0])], "d": [v.shape[1]], "n": [len(v)], "ids": [[list(x) for x in shard["ids"]]],
                              "vectors": [v.tobytes()], "sizes": [[len(x) for x in g.members]],
                              "members": [np.concatenate(g.members).astype(np.int32).tobytes()],
                              "links": [b"".join(x.tobytes() for x in g.links)]})
 
-    dealt = nodes.withColumn("shard", F.pmod(F.xxhash64(F.col("ids")[0], F.lit(seed)), F.lit(shards)).cast("int"))
+    # vectors of another number of components are another space, with shards of its own
+    own = F.pmod(F.xxhash64(F.col("ids")[0], F.lit(seed)), F.lit(shards))
+    dealt = nodes.withColumn("shard", (F.size("v") * shards + own).cast("int"))
     return dealt.repartitionByRange(shards, "shard").groupBy("shard").applyInPandas(run, INDEX)
 
 
@@ -203,12 +203,12 @@ def _loaded(row: dict, m: int) -> tuple[Graph, np.ndarray]:
 
 def search_index(index: DataFrame, queries: DataFrame, k: int = 10, m: int = 12, ef: int = 120, block: int = 256) -> DataFrame:
     """query_id, rank, id, score: the k nearest of each query (id, v) but itself."""
-    shards = index.select("shard")
-    count = queries.count()
-    blocks = max(1, -(-count // block))
-    dealt = (queries.groupBy(F.pmod(F.xxhash64("id"), F.lit(blocks)).alias("block"))
+    blocks = max(1, -(-queries.count() // block))
+    dealt = (queries.groupBy(F.size("v").alias("d"), F.pmod(F.xxhash64("id"), F.lit(blocks)).alias("block"))
              .agg(F.collect_list(F.struct("id", "v")).alias("asked")))
-    pairs = dealt.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(max(0, shards.count() - 1)))))
+    # the shards that exist, by number of components
+    there = index.groupBy("d").agg(F.collect_set("shard").alias("shards"))
+    pairs = dealt.join(there, "d").withColumn("shard", F.explode("shards"))
     met = pairs.join(index.withColumnRenamed("shard", "own"), F.col("shard") == F.col("own")).select(
         "asked", "n", "ids", "vectors", "sizes", "members", "links")
 
@@ -236,6 +236,6 @@ def nearest(df: DataFrame, is_query: Column, id_col: str = "vec_id", vec_col: st
             ef_build: int = 64, ef: int = 120, shard_rows: int = 4096) -> DataFrame:
     """query_id, rank, id, score for the rows of df that is_query selects, against all rows."""
     rows = _vectors(df, id_col, vec_col)
-    asked = _vectors(df.where(is_query), id_col, vec_col).dropDuplicates(["id"])
+    asked = _vectors(df.where(is_query), id_col, vec_col).groupBy("id").agg(F.min("v").alias("v"))
     index = staged(build_index(rows, k + 1, shard_rows, m, ef_build), "index")
     return search_index(index, asked, k, m, ef).withColumnRenamed("id", id_col)
