@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from adledger.llm.common import arrow_map, slices
 
 # fixed values: how tags of HTML behave
-RAW = frozenset("script style template svg noscript textarea iframe math object".split())
+RAW = frozenset("script style template".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = frozenset("""address article aside blockquote body button caption center dd details dialog dir div dl dt
     fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol
@@ -89,7 +89,8 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], str, float]]:
         if tag in RAW and not ending:
             if not attributes.endswith("/"):
                 end = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(page, at)
-                at = end.end() if end else len(page)
+                # a tag that is never closed takes nothing with it but a script or style, whose text is no text
+                at = end.end() if end else len(page) if tag != "template" else at
             continue
         if tag == "br":
             parts.append(" ")
