@@ -312,6 +312,19 @@ def test_widely_copied_values_are_no_live_secrets(spark):
     assert got == {**{i: 0 for i in range(6)}, 9: 2}
 
 
+def test_secrets_belong_to_their_row(spark):
+    """Null and repeated ids: each row has its own spans, and each credential is masked where it stands."""
+    value = "token=" + hashlib.sha1(b"z").hexdigest()
+    rows = [(None, value, "s1", "a", 0, "x"), (7, value, "s1", "b", 0, "x"), (7, "later " + value, "s1", "c", 0, "x"), (7, value, "s1", "d", 0, "x"),
+            (8, None, None, "e", 0, "x")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, live_spans string, row int, text_hash string")
+    got = sorted((str(r.doc_id), r.spans.split(",")[0]) for r in secret_scan.find_secrets(df).collect())
+    assert got == [("7", "assign:0:46"), ("7", "assign:0:46"), ("7", "assign:6:52"), ("8", ""), ("None", "assign:0:46")]
+    clean = secret_scan.redact(df)
+    assert clean.columns == df.columns
+    assert {r.live_spans: r.text for r in clean.collect()} == {"a": "[SECRET]", "b": "[SECRET]", "c": "later [SECRET]", "d": "[SECRET]", "e": None}
+
+
 def test_no_gate_loses_a_loose_token():
     r = random.Random(5)
     letters = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -400,6 +413,27 @@ PAGE = """<html><head><title>T</title><style>p{}</style><script>var t="</p>";</s
 </ul></nav><!-- ad --><div class="ad">%s</div><article><h1>%s</h1><p><b>%s<br><p>x &amp; y</p></article><footer>&copy; %s</footer></body></html>"""
 
 
+def test_nearest_of_every_shard_and_dimension(spark):
+    """Few vectors over many shards, some of which stay empty, and vectors of other dimensions."""
+    r = np.random.default_rng(3)
+    vectors = {i: r.normal(size=4).tolist() for i in range(12)} | {100 + i: r.normal(size=3).tolist() for i in range(3)}
+    df = spark.createDataFrame(list(vectors.items()), "vec_id long, embedding array<double>")
+    for shard_rows in (1, 3, 4096):
+        got = defaultdict(list)
+        for x in hnsw.nearest(df, F.lit(True), shard_rows=shard_rows).orderBy("query_id", "rank").collect():
+            got[x.query_id].append(x.vec_id)
+        for q, v in vectors.items():
+            near = sorted((math.dist(v, w), i) for i, w in vectors.items() if i != q and len(w) == len(v))
+            assert got[q] == [i for _, i in near[:10]]
+
+
+def test_text_in_rare_tags_stays():
+    page = "<body><article><p>area is <math><mi>x</mi></math> units <object>old</object> <svg>s</svg></p><noscript>for all</noscript>"
+    page += "<p>before <object>open</p><p>after</p><script>var a</script><p>last</p><template>no</template></article></body>"
+    assert [t for _, t, _ in html_blocks.blocks(page)] == ["area is x units old s", "for all", "before open", "after", "last"]
+    assert [t for _, t, _ in html_blocks.blocks("<p>a</p><template>x<p>b</p>")][-1] == "b"
+
+
 def test_html(spark):
     r = random.Random(6)
     say = lambda n: " ".join("".join(r.choice("abcdef") for _ in range(5)) for _ in range(n))
