@@ -740,17 +740,21 @@ def slice_candidates(t: Tables):
 
 @query("enrich_gate", "WITH " + BEST + """,
 a AS (SELECT *, ok % 6 = 0 AS prose_floor FROM {ads}),
-j AS (SELECT a.*, b.sqft, b.basis, b.confident AS conf, b.kind, coalesce(a.size_sqft, 0) <> 0 AS ks,
+j AS (SELECT a.*, b.sqft, b.basis, b.confident AS conf, b.kind, b.image, coalesce(a.size_sqft, 0) <> 0 AS ks,
  coalesce(a.floor_level, '') <> '' OR coalesce(a.floor_number, 0) <> 0 OR prose_floor AS kf FROM a LEFT JOIN best b ON b.url = a.url)
 SELECT url, size_sqft, CASE WHEN NOT ks AND sqft IS NOT NULL THEN sqft ELSE size_sqft_plan END AS size_sqft_plan,
  CASE WHEN NOT ks AND sqft IS NOT NULL THEN basis ELSE size_plan_basis END AS size_plan_basis,
  CASE WHEN NOT kf AND kind = 5 THEN 'lower_ground' ELSE floor_level END AS floor_level,
- CASE WHEN NOT kf AND kind = 4 THEN 2 ELSE floor_number END AS floor_number FROM j""")
+ CASE WHEN NOT kf AND kind = 4 THEN 2 ELSE floor_number END AS floor_number,
+ concat_ws(' || ', CASE WHEN NOT ks AND sqft IS NOT NULL THEN concat('Floorplan area: ', sqft, ' sq ft (', basis, ', ',
+   CASE WHEN conf THEN 'clear' ELSE 'AMBIGUOUS - verify' END, ') - read by OCR from ', image) END,
+  CASE WHEN NOT kf AND kind IN (4, 5) THEN concat('Floorplan floors: ', CASE kind WHEN 4 THEN 'second' ELSE 'lower ground' END, ' - read by OCR from ', image) END) AS plan_lines FROM j""")
 def enrich_gate(t: Tables):
     prose = F.when(F.col("ok") % 6 == 0, "Set on the third floor.").otherwise("A flat.")
     rows = t.ads.withColumn("prose", extract.amenities(prose))
     return plans_read.enrich_gate(rows, plans_read.best_candidate(t.plan_texts)).select(
-        "url", "size_sqft", "size_sqft_plan", "size_plan_basis", "floor_level", "floor_number")
+        "url", "size_sqft", "size_sqft_plan", "size_plan_basis", "floor_level", "floor_number",
+        F.array_join(F.filter("plan_lines", lambda x: ~x.startswith("Floorplan text: ")), " || ").alias("plan_lines"))
 
 
 @query("plan_urls", """SELECT l_orderkey, l_linenumber, l_partkey, CASE l_partkey % 4 WHEN 0 THEN concat('https://media.rightmove.co.uk/property-floorplan/', l_orderkey, '/a.png')
@@ -912,11 +916,13 @@ _detail("detail_labelled", "OnTheMarket", 2)
 _detail("detail_headingless", "OpenRent", 3)
 
 
-@query("labelled_facts", """SELECT doc_id, 'Unfurnished' AS furnished, '2024-09-26' AS available_from FROM {documents} WHERE doc_id % 4 = 0""")
+@query("labelled_facts", f"""WITH d AS (SELECT doc_id, doc_id % 4 AS k, {BODY} AS b FROM {{documents}})
+SELECT doc_id, 'Unfurnished' AS furnished, '2024-09-26' AS available_from,
+ concat({PARTS_SQL.format(' || ')}, ' || Furnish type: Unfurnished || Let available date: 26/09/2024') AS parts FROM d WHERE k = 0""")
 def labelled_facts(t: Tables):
     rows = detail_pages(t).where("doc_id % 4 = 0")
     return details.labelled_facts(details.detail_title_features(rows, as_of()), as_of()).select(
-        "doc_id", "furnished", F.col("available_from").cast("string").alias("available_from"))
+        "doc_id", "furnished", F.col("available_from").cast("string").alias("available_from"), F.array_join("parts", " || ").alias("parts"))
 
 
 @query("fetched_pages", f"""WITH d AS (SELECT doc_id, doc_id % 4 AS k, {BODY} AS b FROM {{documents}})

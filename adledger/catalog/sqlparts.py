@@ -42,22 +42,22 @@ def rule_code(c: Criteria, reason: bool = False) -> str:
     d = district()
     rules = [
         ("budget", f"price_pcm > {c.budget_pcm}",
-         f"concat('over budget (GBP ', price_pcm, ' > {c.budget_pcm})')"),
+         f"concat('price ', price_pcm, ' above {c.budget_pcm}')"),
         ("beds_min", f"{c.min_bedrooms} > 0 AND bed_count < {c.min_bedrooms}",
-         f"concat(bed_count, ' bed (min {c.min_bedrooms})')"),
+         f"concat('beds ', bed_count, ' below {c.min_bedrooms}')"),
         ("beds_max", f"{c.max_bedrooms} > 0 AND bed_count > {c.max_bedrooms}",
-         f"concat(bed_count, '-bed property (max {c.max_bedrooms})')"),
+         f"concat('beds ', bed_count, ' above {c.max_bedrooms}')"),
         ("baths", f"{c.min_bathrooms} > 0 AND bathrooms < {c.min_bathrooms}",
-         f"concat(bathrooms, ' bath (min {c.min_bathrooms})')"),
+         f"concat('baths ', bathrooms, ' below {c.min_bathrooms}')"),
         ("size", f"{c.min_sqft} > 0 AND size_sqft < {c.min_sqft}",
-         f"concat(size_sqft, ' sq ft (min {c.min_sqft})')"),
+         f"concat('square feet ', size_sqft, ' below {c.min_sqft}')"),
         ("date", f"available_from > {latest}",
-         f"concat('available ', CAST(available_from AS VARCHAR), ', after ', CAST({latest} AS VARCHAR))"),
+         f"concat('free on ', CAST(available_from AS VARCHAR), ', needed by ', CAST({latest} AS VARCHAR))"),
         ("floor", "lower(trim(floor_level)) IN ('lower_ground', 'basement')",
-         "'lower ground / basement'"),
+         "'floor below street level'"),
         ("district", f"{str(c.districts_only).lower()} AND NOT coalesce(area_trusted, false) "
          f"AND {d} IS NOT NULL AND ({tier_of(d, c)}) IS NULL",
-         f"concat('district ', {d}, ' not in affluent list')"),
+         f"concat('unwanted district ', {d})"),
     ]
     arms = " ".join(f"WHEN {cond} THEN {text if reason else repr(code)}" for code, cond, text in rules)
     return f"CASE {arms} END"

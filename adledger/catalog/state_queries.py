@@ -450,6 +450,28 @@ def todays_rows(t: Tables):
 DAILY_CLUSTERS = CLUSTERS.replace(LIVE_RECORDS, f"SELECT * FROM {{tracker}} WHERE {TODAYS} AND {q.LIVE}")
 
 
+# a person's decisions count before the day is reported
+DECIDED = "SELECT * REPLACE (CASE WHEN price_pcm % 50 = 0 THEN 'DISMISSED' WHEN price_pcm % 70 = 0 THEN 'VIEWED' ELSE status END AS status) FROM {tracker}"
+DECIDED_CLUSTERS = CLUSTERS.replace(LIVE_RECORDS, f"SELECT * FROM decided WHERE {TODAYS} AND {q.LIVE}").replace(
+    "WITH RECURSIVE\n", f"WITH RECURSIVE\ndecided AS ({DECIDED}),\n", 1)
+
+
+def decisions_of(t: Tables):
+    status = F.when(F.col("price_pcm") % 50 == 0, "DISMISSED").when(F.col("price_pcm") % 70 == 0, "VIEWED")
+    return t.tracker.select("url", status.alias("status"), F.lit("mine").alias("note")).where("status IS NOT NULL")
+
+
+@query("daily_delta_decided", DECIDED_CLUSTERS + f"""
+SELECT (SELECT count(*) FROM decided WHERE {TODAYS} AND {q.LIVE}) AS n_new,
+ (SELECT count(*) FROM decided WHERE {TODAYS} AND NOT ({q.LIVE})) AS n_ruled_out,
+ (SELECT count(*) FROM summary) AS distinct_flats, (SELECT count(*) FROM summary WHERE in_unit) AS flats_in_unit,
+ (SELECT CAST(sum(n_hits) AS BIGINT) FROM summary) AS ads_in_unit,
+ (SELECT count(*) FROM decided WHERE {HELD}) + (SELECT count(*) FROM {{pending_flat}}) AS waiting""")
+def daily_delta_decided(t: Tables):
+    t.stage("ads")
+    return daily.daily_report(t.tracker, t.pending_flat, decisions_of(t), RUN_DATE).counts
+
+
 @query("daily_delta", DAILY_CLUSTERS + f"""
 SELECT (SELECT count(*) FROM {{tracker}} WHERE {TODAYS} AND {q.LIVE}) AS n_new,
  (SELECT count(*) FROM {{tracker}} WHERE {TODAYS} AND NOT ({q.LIVE})) AS n_ruled_out,

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from adledger import fixed
 from adledger.functions import extract
-from adledger.functions.blanks import blank_number, blank_text
+from adledger.functions.blanks import blank_number, blank_text, flags_of, is_true
 
 
 def slice_candidates(df: DataFrame, images: str = "images") -> DataFrame:
@@ -47,18 +47,27 @@ def enrich_gate(rows: DataFrame, plans: DataFrame) -> DataFrame:
     """Fills plan size and plan floor where the ad and its prose state none.
 
     ``rows`` has the ad's columns and ``prose`` (amenities of its page). A plan's
-    size goes to ``size_sqft_plan`` only, never to ``size_sqft``.
+    size goes to ``size_sqft_plan`` only, never to ``size_sqft``. ``plan_lines`` says what
+    was taken and from which image, in lines for the page's text; it is empty otherwise.
     """
     c = F.col
     knows_size = ~blank_number(c("size_sqft"))
     knows_floor = ~(blank_text(c("floor_level")) & blank_number(c("floor_number"))
                     & blank_text(c("prose.floor_level")) & blank_number(c("prose.floor_number")))
     wanted = rows.withColumn("_size", knows_size).withColumn("_floor", knows_floor)
-    plan = plans.select("url", F.struct("sqft", "basis", "confident", "floors").alias("_p"))
+    plan = plans.select("url", F.struct("sqft", "basis", "confident", "floors", "evidence", "image").alias("_p"))
     out = wanted.join(plan, "url", "left")
     floor = extract.floor_from_plan(c("_p.floors"))
     size_ok = ~c("_size") & c("_p.sqft").isNotNull()
+    area, words, storeys, source = fixed.PLAN_EVIDENCE
+    image = F.concat(F.lit(source), F.coalesce("_p.image", F.lit("")))
+    sure = F.when(is_true(c("_p.confident")), fixed.PLAN_CLEAR).otherwise(fixed.PLAN_DOUBTFUL)
+    lines = flags_of(
+        F.when(size_ok, F.concat(F.lit(area), c("_p.sqft").cast("string"), F.lit(" sq ft ("), c("_p.basis"), F.lit(", "), sure, F.lit(")"), image)),
+        F.when(size_ok, F.concat(F.lit(words), F.coalesce("_p.evidence", F.lit("")))),
+        F.when(~c("_floor") & (F.size("_p.floors") > 0), F.concat(F.lit(storeys), F.array_join("_p.floors", ", "), image)))
     return out.withColumns({
+        "plan_lines": lines,
         "size_sqft_plan": F.when(size_ok, c("_p.sqft")).otherwise(c("size_sqft_plan")),
         "size_plan_basis": F.when(size_ok, c("_p.basis")).otherwise(c("size_plan_basis")),
         "size_plan_confident": F.when(size_ok, c("_p.confident"))

@@ -107,6 +107,11 @@ def validate_verdicts(verdicts: DataFrame, pages: DataFrame) -> DataFrame:
         F.when(readable, c("_day")).alias("checked"), flags.alias("flags"), *later)
 
 
+def _fresh(text: Column, sha: Column, evidence: Column) -> Column:
+    """A stored verdict still holds for a page: by fingerprint, or by its quote where it has none."""
+    return F.when(blank_text(sha), blank_text(evidence) | quoted(text, evidence)).otherwise(sha == fingerprint(text))
+
+
 def carry_verdicts(store: DataFrame, pages: DataFrame) -> DataFrame:
     """Stored verdicts whose page is still there, with ``fresh``.
 
@@ -128,18 +133,19 @@ def rejudge_partition(pages: DataFrame, store: DataFrame, terms=fixed.TERMS,
                       decoys=fixed.DECOYS) -> DataFrame:
     """Every page as ``silent``, ``carried`` or ``review``, with ``rejudge``.
 
-    Only pages that mention a term are looked up in the store; the others are never shuffled.
+    Only pages that mention a term are looked up in the store, in one join, where the row at
+    hand also tells whether the stored verdict is fresh; the others are never shuffled.
     """
     scanned = term_scan(pages, "text", terms, decoys)
-    carried = carry_verdicts(store, pages).select(
-        "url", "verdict", "scope", "evidence", "fresh")
     c = F.col
     silent = F.size("terms") == 0
-    looked_up = (scanned.where(~silent).join(carried, "url", "left")
-                 .withColumn("class", F.when(is_true(c("fresh")), "carried").otherwise("review"))
-                 .withColumn("rejudge", (c("class") == "review") & is_true(~c("fresh")))
+    stored = store.select("url", "verdict", "scope", "evidence", c("text_sha").alias("_sha"), F.lit(True).alias("_stored"))
+    fresh = F.when(c("_stored"), is_true(_fresh(F.coalesce("text", F.lit("")), c("_sha"), c("evidence"))))
+    looked_up = (scanned.where(~silent).join(stored, "url", "left").withColumn("_fresh", fresh)
+                 .withColumn("class", F.when(is_true(c("_fresh")), "carried").otherwise("review"))
+                 .withColumn("rejudge", (c("class") == "review") & is_true(~c("_fresh")))
                  .withColumns({n: F.when(c("class") == "carried", c(n))
-                               for n in ("verdict", "scope", "evidence")}).drop("fresh"))
+                               for n in ("verdict", "scope", "evidence")}).drop("_fresh", "_sha", "_stored"))
     nothing = F.lit(None).cast("string")
     quiet = scanned.where(silent).withColumns({
         "class": F.lit("silent"), "rejudge": F.lit(False), "verdict": F.lit("unstated"),
