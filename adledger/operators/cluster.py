@@ -70,30 +70,29 @@ def _shared_key(both: Column) -> Column:
                    *[F.when(F.getbit(both, F.lit(i)) == 1, F.col(f)) for i, f in enumerate(FACTS)])
 
 
-def _least_agreeing(asking: DataFrame, live: DataFrame) -> DataFrame:
+def _least_agreeing(asking: DataFrame, live: DataFrame, stated: Sequence[int]) -> DataFrame:
     """Per asking signature the best-ranked live one that it does not contradict.
 
     Two signatures agree when they are equal on the facts both state. For a pair of
     masks that is an equi-join on the block and those facts, and one minimum per key is
     all that is needed; masks without a shared fact meet in one minimum per block.
+    ``stated`` are the masks that occur, 32 at most.
     """
-    masks = F.array(*[F.lit(m) for m in range(2 ** len(FACTS))])
+    masks = F.array(*map(F.lit, stated))
     both = F.col("mask").bitwiseAND(F.col("other"))
     # a live signature once per set of facts that an asking mask may share with it
     shared = F.array_distinct(F.transform(masks, lambda m: F.col("mask").bitwiseAND(m)))
     keys = (live.join(asking.select("block").distinct(), "block", "left_semi").withColumn("both", F.explode(shared))
             .select(F.col("mask").alias("other"), _shared_key(F.col("both")).alias("key"), "rank", "first")
             .groupBy("other", "key").agg(F.min(F.struct("rank", "first")).alias("best")))
-    met = live.select(F.col("mask").alias("other")).distinct()  # 32 rows at most
-    asked = asking.withColumn("other", F.explode(masks)).join(F.broadcast(met), "other", "left_semi")
-    return (asked.select("url", "other", _shared_key(both).alias("key")).join(keys, ["other", "key"])
+    return (asking.withColumn("other", F.explode(masks)).select("url", "other", _shared_key(both).alias("key")).join(keys, ["other", "key"])
             .groupBy("url").agg(F.min("best").alias("best")))
 
 
 WAITING = ("block", *FACTS, "mask", "rank", "url")
 
 
-def _round(waiting: DataFrame, settled: DataFrame, firsts: DataFrame) -> DataFrame:
+def _round(waiting: DataFrame, settled: DataFrame, firsts: DataFrame, stated: Sequence[int]) -> DataFrame:
     """One round over the unsettled signatures.
 
     Each waits for one better-ranked signature, its blocker. If the last round made the
@@ -108,7 +107,7 @@ def _round(waiting: DataFrame, settled: DataFrame, firsts: DataFrame) -> DataFra
     open_ = told.where("cluster_id IS NULL")
     live = open_.select("block", *FACTS, "mask", "rank", F.lit(False).alias("first")).unionByName(
         firsts.select("block", *FACTS, "mask", "rank", F.lit(True).alias("first")))
-    best = _least_agreeing(open_.where("blocker IS NULL"), live)
+    best = _least_agreeing(open_.where("blocker IS NULL"), live, stated)
     out = told.join(best, "url", "left")
     own = F.col("best.rank.url") == F.col("url")
     found = F.col("best.first") | own
@@ -134,8 +133,9 @@ def assign_signatures(sigs: DataFrame) -> DataFrame:
             *WAITING, "blocker", "cluster_id", "cluster_rank"), work_dir(spark, "signatures"))
     done = [state.where("cluster_id IS NOT NULL")]
     firsts = state.where("false")
+    stated = sorted(r.mask for r in state.where("cluster_id IS NULL").select("mask").distinct().collect())
     while not (waiting := state.where("cluster_id IS NULL")).isEmpty():
-        state = write_stage(_round(waiting, done[-1], firsts), work_dir(spark, "round"))
+        state = write_stage(_round(waiting, done[-1], firsts, stated), work_dir(spark, "round"))
         done.append(state.where("cluster_id IS NOT NULL"))
         firsts = firsts.unionByName(done[-1].where("cluster_id = url"))
     out = done[0]
