@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from adledger import fixed
@@ -771,73 +772,129 @@ def plan_urls(t: Tables):
 
 # --- payloads, cards, detail pages ----------------------------------------------------------------------
 
-@query("payload_search_nested", """
+PAYLOAD_SEARCH_NESTED_SQL = """
 SELECT CAST(l_orderkey AS VARCHAR) AS search_url, l_linenumber AS page_no, l_partkey AS p, CASE WHEN l_partkey % 10 < 9 THEN CAST(1000 + l_suppkey AS INTEGER) END AS total,
  CASE WHEN l_partkey % 10 < 8 THEN concat('https://base.example/properties/', l_orderkey, '-', l_linenumber) END AS url,
  CASE WHEN l_partkey % 10 < 8 THEN CAST(CASE WHEN l_partkey % 2 = 0 THEN round_even(CAST(floor(l_extendedprice / 100) AS BIGINT) * 52 / 12, 0) ELSE floor(l_extendedprice / 100) END AS INTEGER) END AS price_pcm,
  CASE WHEN l_partkey % 10 < 8 THEN CAST(CAST(l_shipdate AS DATE) AS VARCHAR) END AS available_from,
- CASE WHEN l_partkey % 10 < 8 THEN CAST(l_partkey % 4 AS INTEGER) END AS bed_count, CASE WHEN l_partkey % 10 < 8 THEN CAST(400 + l_partkey % 900 AS INTEGER) END AS size_sqft FROM {lineitem}""")
-def payload_search_nested(t: Tables):
+ CASE WHEN l_partkey % 10 < 8 THEN CAST(l_partkey % 4 AS INTEGER) END AS bed_count, CASE WHEN l_partkey % 10 < 8 THEN CAST(400 + l_partkey % 900 AS INTEGER) END AS size_sqft FROM {lineitem}"""
+
+
+def nested_page() -> Column:
     ad = ("concat('{\"displayAddress\":\"Block ', l_partkey % 50, '\\\\nSW3\",\"propertyUrl\":\"/properties/', l_orderkey, '-', l_linenumber, '#/?channel=RENT\",\"bedrooms\":', "
           "l_partkey % 4, ',\"displaySize\":\"', 400 + l_partkey % 900, ' sq. ft.\",\"letAvailableDate\":\"', date_format(l_shipdate, 'yyyy-MM-dd'), 'T00:00:00Z\",\"price\":{\"amount\":', "
           "CAST(floor(l_extendedprice / 100) AS BIGINT), ',\"frequency\":\"', CASE WHEN l_partkey % 2 = 0 THEN 'weekly' ELSE 'monthly' END, '\"},\"customer\":{\"branchDisplayName\":\"Agent\"}}')")
-    body = F.expr(f"""CASE WHEN l_partkey % 10 = 9 THEN '<script id="__NEXT_DATA__">not json</script>' ELSE concat('<script id="__NEXT_DATA__" type="application/json">',
+    return F.expr(f"""CASE WHEN l_partkey % 10 = 9 THEN '<script id="__NEXT_DATA__">not json</script>' ELSE concat('<script id="__NEXT_DATA__" type="application/json">',
  '{{"props":{{"pageProps":{{"searchResults":{{"resultCount":"', format_number(1000 + l_suppkey, 0), '","properties":[', CASE WHEN l_partkey % 10 < 8 THEN {ad} ELSE '' END, ']}}}}}}}}</script>') END""")
+
+
+@query("payload_search_nested", PAYLOAD_SEARCH_NESTED_SQL)
+def payload_search_nested(t: Tables):
     pages = t.lineitem.select(
         F.col("l_orderkey").cast("string").alias("search_url"), F.col("l_linenumber").alias("page_no"),
-        F.col("l_partkey").alias("p"), body.alias("html"))
+        F.col("l_partkey").alias("p"), nested_page().alias("html"))
     return payload.payload_search_nested(pages, base="https://base.example", keep=("search_url", "page_no", "p")).select(
         "search_url", "page_no", "p", "total", "url", "price_pcm",
         F.col("available_from").cast("string").alias("available_from"), "bed_count", "size_sqft")
 
 
-@query("payload_search_alt_path", """
+PAYLOAD_SEARCH_ALT_PATH_SQL = """
 SELECT CAST(l_orderkey AS VARCHAR) AS search_url, l_linenumber AS page_no, l_partkey AS p, CAST(CASE WHEN l_partkey % 7 = 0 THEN 0 WHEN l_partkey % 7 = 1 THEN 1 ELSE 30 + l_suppkey END AS INTEGER) AS total,
  CASE WHEN l_partkey % 7 <> 0 THEN concat('https://base.example/details/', l_orderkey) END AS url, CASE WHEN l_partkey % 7 <> 0 THEN concat('Flat ', l_linenumber) END AS title,
  CASE WHEN l_partkey % 7 <> 0 THEN CAST(1000 + l_suppkey AS INTEGER) END AS price_pcm, CASE WHEN l_partkey % 7 <> 0 THEN 'lift / balcony' END AS notes,
- CASE WHEN l_partkey % 7 <> 0 THEN 'Agency' END AS contact FROM {lineitem}""")
-def payload_search_alt_path(t: Tables):
+ CASE WHEN l_partkey % 7 <> 0 THEN 'Agency' END AS contact FROM {lineitem}"""
+
+
+def alt_path_page() -> Column:
     results = ("concat('{\"results\":{\"totalResults\":', CASE WHEN l_partkey % 7 = 1 THEN '\"many\"' ELSE CAST(30 + l_suppkey AS STRING) END, ',\"list\":[{\"details-url\":\"/details/', l_orderkey, '\",\"property-title\":\"Flat ', l_linenumber, "
                "'\",\"address\":\"Mill Lane SW3\",\"price\":\"£', 1000 + l_suppkey, ' pcm (£300 pw)\",\"bedrooms\":2,\"agent\":{\"name\":\"Agency\"},\"features\":[\"lift\",\"balcony\"]}]}}')")
-    body = F.expr(f"""CASE WHEN l_partkey % 7 = 0 THEN '<p>blocked</p>' ELSE concat('<script id="__NEXT_DATA__">', CASE WHEN l_partkey % 2 = 0
+    return F.expr(f"""CASE WHEN l_partkey % 7 = 0 THEN '<p>blocked</p>' ELSE concat('<script id="__NEXT_DATA__">', CASE WHEN l_partkey % 2 = 0
  THEN concat('{{"props":{{"pageProps":{{"initialReduxState":', {results}, '}}}}}}') ELSE concat('{{"props":{{"initialReduxState":', {results}, '}}}}') END, '</script>') END""")
+
+
+@query("payload_search_alt_path", PAYLOAD_SEARCH_ALT_PATH_SQL)
+def payload_search_alt_path(t: Tables):
     pages = t.lineitem.select(F.col("l_orderkey").cast("string").alias("search_url"),
-                              F.col("l_linenumber").alias("page_no"), F.col("l_partkey").alias("p"), body.alias("html"))
+                              F.col("l_linenumber").alias("page_no"), F.col("l_partkey").alias("p"), alt_path_page().alias("html"))
     return payload.payload_search_alt_path(pages, base="https://base.example", keep=("search_url", "page_no", "p")).select(
         "search_url", "page_no", "p", "total", "url", "title", "price_pcm", "notes", "contact")
 
 
-@query("card_search_pipe", """
+CARD_SEARCH_PIPE_SQL = """
 SELECT CAST(l_partkey AS VARCHAR) AS search_url, concat('https://c.example/details/', l_orderkey, '-', l_linenumber) AS url, concat('Block ', l_partkey % 50, ', SW', 1 + l_suppkey % 12) AS area,
  CAST(900 + l_partkey % 1000 AS INTEGER) AS price_pcm, CAST(1 + l_partkey % 4 AS INTEGER) AS bed_count, CASE WHEN l_partkey % 3 <> 0 THEN 2 END AS bathrooms,
  CASE WHEN l_partkey % 5 = 0 THEN CAST(500 + l_partkey % 400 AS INTEGER) END AS size_sqft,
  concat('£', 900 + l_partkey % 1000, ' pcm | ', 1 + l_partkey % 4, ' beds | ', CASE WHEN l_partkey % 3 <> 0 THEN '2 baths | ' ELSE '' END, 'Block ', l_partkey % 50, ', SW', 1 + l_suppkey % 12, ' | ',
-  CASE WHEN l_partkey % 5 = 0 THEN concat(500 + l_partkey % 400, ' sq ft | ') ELSE '' END, 'Listed today') AS title FROM {lineitem} WHERE l_linenumber <> 6""")
-def card_search_pipe(t: Tables):
+  CASE WHEN l_partkey % 5 = 0 THEN concat(500 + l_partkey % 400, ' sq ft | ') ELSE '' END, 'Listed today') AS title FROM {lineitem} WHERE l_linenumber <> 6"""
+
+
+def pipe_card() -> Column:
     txt = F.expr("""concat(CASE WHEN l_partkey % 2 = 0 THEN 'Featured | ' ELSE '' END, '£', 900 + l_partkey % 1000, ' pcm | ', 1 + l_partkey % 4, ' beds | ',
  CASE WHEN l_partkey % 3 <> 0 THEN '2 baths | ' ELSE '' END, 'Block ', l_partkey % 50, ', SW', 1 + l_suppkey % 12, ' | ',
  CASE WHEN l_partkey % 5 = 0 THEN concat(500 + l_partkey % 400, ' sq ft | ') ELSE '' END, 'Listed today')""")
     href = F.expr("CASE WHEN l_linenumber <> 6 THEN concat('https://c.example/details/', l_orderkey, '-', l_linenumber) END")
-    cards = t.lineitem.select(F.col("l_partkey").cast("string").alias("search_url"), href.alias("href"), txt.alias("txt"))
+    return F.struct(href.alias("href"), txt.alias("txt"))
+
+
+@query("card_search_pipe", CARD_SEARCH_PIPE_SQL)
+def card_search_pipe(t: Tables):
+    cards = t.lineitem.select(F.col("l_partkey").cast("string").alias("search_url"), pipe_card().alias("card")).select("search_url", "card.*")
     return payload.card_search_pipe(cards).select(
         "search_url", "url", "area", "price_pcm", "bed_count", "bathrooms", "size_sqft", "title")
 
 
-@query("card_search_flagged", f"""
+CARD_SEARCH_FLAGGED_SQL = f"""
 SELECT CAST(l_partkey AS VARCHAR) AS search_url, concat('https://base.example/', l_orderkey, '-', l_linenumber) AS url, concat(1 + l_partkey % 4, ' Bed Flat, Mill Lane ', l_partkey % 50, ', SE', 1 + l_suppkey % 9) AS title,
  concat('Mill Lane ', l_partkey % 50, ', SE', 1 + l_suppkey % 9) AS area, CAST(1000 + l_partkey % 900 AS INTEGER) AS price_pcm, CAST(1 + l_partkey % 4 AS INTEGER) AS bed_count,
  CASE l_partkey % 3 WHEN 0 THEN 'Unfurnished' WHEN 1 THEN 'Furnished' END AS furnished, CASE l_partkey % 2 WHEN 0 THEN '{AS_OF}' ELSE '2024-09-21' END AS available_from,
- true AS bathrooms_verified_by_search FROM {{lineitem}}""")
-def card_search_flagged(t: Tables):
+ true AS bathrooms_verified_by_search FROM {{lineitem}}"""
+
+
+def flagged_card() -> Column:
     txt = F.expr("""concat('£', 1000 + l_partkey % 900, ' | per month | ', 1 + l_partkey % 4, ' Bed Flat, Mill Lane ', l_partkey % 50, ', SE', 1 + l_suppkey % 9, '| ',
  CASE l_partkey % 3 WHEN 0 THEN 'Unfurnished | ' WHEN 1 THEN 'Furnished | ' ELSE '' END, CASE l_partkey % 2 WHEN 0 THEN 'Available Now' ELSE 'Available from 21st September' END)""")
+    return F.struct(F.expr("concat('/', l_orderkey, '-', l_linenumber)").alias("href"), txt.alias("txt"))
+
+
+@query("card_search_flagged", CARD_SEARCH_FLAGGED_SQL)
+def card_search_flagged(t: Tables):
     cards = t.lineitem.select(F.col("l_partkey").cast("string").alias("search_url"),
-                              F.expr("concat('/', l_orderkey, '-', l_linenumber)").alias("href"), txt.alias("txt"))
+                              flagged_card().alias("card")).select("search_url", "card.*")
     return payload.card_search_flagged(cards, as_of(), base="https://base.example").select(
         "search_url", "url", "title", "area", "price_pcm", "bed_count", "furnished",
         F.col("available_from").cast("string").alias("available_from"), "bathrooms_verified_by_search")
 
 
+def _of_source(sql: str, k: int, facts: str) -> str:
+    """One reader's check over its share of the search pages."""
+    own = f"(SELECT * FROM {{lineitem}} WHERE (l_orderkey + l_linenumber) % 4 = {k})"
+    return f"SELECT {facts} FROM ({sql.replace('{lineitem}', own)})"
+
+
+SEARCH_COLUMNS = ("source_name", "search_url", "total", "url", "title", "area", "price_pcm", "bed_count", "bathrooms", "size_sqft",
+                  "furnished", "available_from", "contact", "notes", "bathrooms_verified_by_search")
+SEARCH_SQL = f"SELECT {', '.join(SEARCH_COLUMNS)} FROM (" + " UNION ALL BY NAME ".join((
+    _of_source(PAYLOAD_SEARCH_NESTED_SQL, 0, """'Rightmove' AS source_name, *, CASE WHEN url IS NOT NULL THEN concat('Block ', p % 50, ' SW3') END AS title,
+ CASE WHEN url IS NOT NULL THEN concat('Block ', p % 50, ' SW3') END AS area, CASE WHEN url IS NOT NULL THEN 'Agent' END AS contact"""),
+    _of_source(CARD_SEARCH_PIPE_SQL, 1, "'Zoopla' AS source_name, *"),
+    _of_source(PAYLOAD_SEARCH_ALT_PATH_SQL, 2, """'OnTheMarket' AS source_name, *, CASE WHEN url IS NOT NULL THEN 'Mill Lane SW3' END AS area,
+ CASE WHEN url IS NOT NULL THEN 2 END AS bed_count"""),
+    _of_source(CARD_SEARCH_FLAGGED_SQL, 3, "'OpenRent' AS source_name, *"))) + ")"
+
+
+@query("read_searches", SEARCH_SQL)
+def read_searches(t: Tables):
+    source = F.element_at(F.array(*map(F.lit, payload.SEARCHES)), ((F.col("l_orderkey") + F.col("l_linenumber")) % 4 + 1).cast("int"))
+    html = F.when(source == "Rightmove", nested_page()).when(source == "OnTheMarket", alt_path_page())
+    card = F.when(source == "Zoopla", pipe_card()).when(source == "OpenRent", flagged_card())
+    pages = t.lineitem.select(
+        source.alias("source_name"), F.when(html.isNull(), F.col("l_partkey")).otherwise(F.col("l_orderkey")).cast("string").alias("search_url"),
+        html.alias("html"), F.when(card.isNotNull(), F.array(card)).alias("cards"))
+    bases = dict.fromkeys(payload.SEARCHES, "https://base.example")
+    return payload.read_searches(pages, as_of(), bases).withColumn(
+        "available_from", F.col("available_from").cast("string")).select(*SEARCH_COLUMNS)
+
+
 @query("size_from_payload", """SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN l_partkey % 4 = 0 THEN CAST(500 + l_partkey % 900 AS INTEGER) WHEN l_partkey % 4 = 1 THEN CAST(300 + l_suppkey AS INTEGER)
  WHEN l_partkey % 4 = 2 THEN 1234 END AS sqft FROM {lineitem}""")
 def size_from_payload(t: Tables):

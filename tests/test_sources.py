@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from adledger.catalog import load
 from adledger.schemas import PENDING, RECORD
-from adledger.sources import tables
+from adledger.sources import payload, tables
 from adledger.sources.state import Baselines, ConflictError, SearchResults, State
 from adledger.sources.tables import as_ads
 
@@ -165,3 +165,54 @@ def test_details_are_read_in_one_scan(spark, tmp_path):
     assert read._jdf.queryExecution().executedPlan().toString().count("FileScan") == 1
     [row] = read.collect()
     assert row.bathrooms == 2 and row.parts[0].startswith("Description: words") and row.text.startswith("2 bath")
+
+
+def search_pages(spark):
+    nested = ('<script id="__NEXT_DATA__">{"props":{"pageProps":{"searchResults":{"resultCount":"1,200","properties":[%s]}}}}</script>')
+    ad = ('{"displayAddress":"Mill Lane","propertyUrl":"/p/%d#/x","bedrooms":2,"price":{"amount":500,"frequency":"weekly"},'
+          '"customer":{"branchDisplayName":"Agent"}}')
+    redux = ('<script id="__NEXT_DATA__">{"props":{"initialReduxState":{"results":{"totalResults":"7","list":'
+             '[{"details-url":"/d/1","property-title":"Flat","address":"SW3","price":"£1,500 pcm","features":["lift"]}]}}}}</script>')
+    pipe = "£900 pcm | 2 beds | 1 bath | Mill Lane, SW3 | Listed today"
+    flagged = "£950 | per month | 2 Bed Flat, Mill Lane, SE1| Furnished | Available Now"
+    return spark.createDataFrame([
+        ("Rightmove", "a", nested % ",".join(ad % i for i in range(3)), None, "x"), ("Rightmove", "b", nested % "", [("h", pipe)], "x"),
+        ("Rightmove", "c", None, None, "x"), ("Zoopla", "d", redux, [("/z/1", pipe), ("", pipe), (None, pipe), ("/z/2", None)], "x"),
+        ("Zoopla", "e", None, None, "x"), ("Zoopla", "e", None, [], None), ("OnTheMarket", "f", redux, None, "x"), ("OnTheMarket", "f", redux, None, "x"),
+        ("OnTheMarket", "g", "<p>blocked</p>", None, "x"), ("OpenRent", "h", None, [("/o/1", flagged), None], "x"),
+        ("Other", "i", nested % (ad % 9), [("/i", pipe)], "x"), (None, "j", redux, None, "x")],
+        "source_name string, search_url string, html string, cards array<struct<href: string, txt: string>>, url string")
+
+
+def test_every_search_reader_in_one_scan(spark, as_of):
+    pages = search_pages(spark)
+    base = "https://b.example"
+    got = payload.read_searches(pages, as_of, dict.fromkeys(payload.SEARCHES, base))
+    assert got.columns == ["source_name", "search_url", "total", *payload.FACTS]
+    assert str(got._jdf.queryExecution().optimizedPlan()).count("Generate explode") == 1
+    rows = sorted(map(str, got.collect()))
+
+    def own(name, df):
+        df = df.withColumn("source_name", F.lit(name))
+        kinds = {f.name: f.dataType for f in got.schema}
+        return df.select(*[(F.col(n) if n in df.columns else F.lit(None)).cast(kinds[n]).alias(n) for n in got.columns]).collect()
+
+    keep = ("search_url",)
+    of = {n: pages.where(F.col("source_name") == n) for n in payload.SEARCHES}
+    cards = {n: df.select("search_url", F.inline("cards")) for n, df in of.items()}
+    want = (own("Rightmove", payload.payload_search_nested(of["Rightmove"], base=base, keep=keep))
+            + own("Zoopla", payload.card_search_pipe(cards["Zoopla"]))
+            + own("OnTheMarket", payload.payload_search_alt_path(of["OnTheMarket"], base=base, keep=keep))
+            + own("OpenRent", payload.card_search_flagged(cards["OpenRent"], as_of, base=base)))
+    assert rows == sorted(map(str, want)) and len(rows) == 3 + 1 + 1 + 2 + 2 + 1 + 1
+    by_url = {r.url: r for r in got.collect()}
+    assert by_url[base + "/p/0"].price_pcm == 2167 and by_url[base + "/p/0"].total == 1200
+    assert by_url["/z/1"].price_pcm == 900 and by_url[base + "/o/1"].furnished == "Furnished"
+    assert payload.read_searches(pages.limit(0), as_of).count() == 0
+
+
+def test_a_source_can_be_added_to_the_search_registry(spark, as_of):
+    pages = search_pages(spark)
+    more = payload.SEARCHES | {"Other": payload.Search(payload.pipe_card_facts)}
+    got = payload.read_searches(pages, as_of, searches=more).where("source_name = 'Other'").collect()
+    assert [(r.url, r.price_pcm, r.platform) for r in got] == [("/i", 900, "Other")]
