@@ -170,6 +170,22 @@ def write_state(t: Tables):
     return tracker_out(state.tracker())
 
 
+def _corrected(name: str, value: str) -> str:
+    return f"CASE WHEN url LIKE '%-1' THEN '{value}' ELSE {name} END AS {name}"
+
+
+@query("fold_verdicts", f"""SELECT url, {_corrected('verdict', 'unstated')}, {_corrected('scope', '')}, {_corrected('evidence', '')} FROM {{ad_verdicts}}""")
+def fold_verdicts(t: Tables):
+    """Two runs, the second with corrections of some verdicts; the store as it is then."""
+    t.stage("ads")
+    state = State(t.spark, work_dir(t.spark, "verdicts"))
+    corrections = t.ad_verdicts.where("url LIKE '%-1'").select(
+        "url", F.lit("unstated").alias("verdict"), F.lit("").alias("scope"), F.lit("").alias("evidence"))
+    for run_id, said in (("first", t.ad_verdicts), ("second", corrections)):
+        daily.commit(state, t.batch, said, t.ad_pages, CRIT, RUN_DATE, order(), run_id)
+    return state.verdicts().select("url", "verdict", "scope", "evidence")
+
+
 @query("scan_state", "SELECT url, status, CAST(found_on AS VARCHAR) AS found_on FROM {tracker}")
 def scan_state(t: Tables):
     state = State(t.spark, work_dir(t.spark, "state"))

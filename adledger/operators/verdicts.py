@@ -12,6 +12,7 @@ from adledger.functions.blanks import blank_text, flags_of, is_true
 from adledger.functions.terms import context_windows, term_scan
 from adledger.functions.text import fingerprint, norm_text, strip
 from adledger.operators.keyed import last_per_key
+from adledger.schemas import FLAT_VERDICT
 
 
 class UnjudgedError(RuntimeError):
@@ -182,6 +183,13 @@ def merge_verdicts(base: DataFrame, fresh: DataFrame, pages: DataFrame,
                         [*order, F.col("verdict"), F.col("scope"), F.col("evidence")])
 
 
+def fold_verdicts(store: DataFrame, fresh: DataFrame, pages: DataFrame) -> DataFrame:
+    """The store with fresh verdicts, one per URL, in place of older ones; blank URLs are left out."""
+    if "text_sha" not in fresh.columns:
+        fresh = fresh.withColumn("text_sha", F.lit(None).cast("string"))
+    return merge_verdicts(store, fresh, pages).select(*FLAT_VERDICT.names)
+
+
 def unjudged(review: DataFrame, verdicts: DataFrame) -> DataFrame:
     return review.where(strip(F.col("url")) != "").join(
         verdicts.select("url"), "url", "left_anti")

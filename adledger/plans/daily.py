@@ -60,7 +60,8 @@ def commit(state: State, batch: DataFrame, raw_verdicts: DataFrame, pages: DataF
            verdict_order: Sequence[Column] = ()) -> Upsert:
     """Gate, validate, merge and publish one run, over the buckets of the batch alone.
 
-    Of several verdicts for one URL the last by ``verdict_order`` counts, or by their ``seq``.
+    The verdicts are folded into the store with the fingerprint of their page, in the same
+    manifest, so a run is published with its verdicts or not at all. Of several verdicts for one URL the last by ``verdict_order`` counts, or by their ``seq``.
     """
     raw_verdicts = verdicts.last_verdicts(raw_verdicts, verdict_order)
     if review is not None:
@@ -69,7 +70,9 @@ def commit(state: State, batch: DataFrame, raw_verdicts: DataFrame, pages: DataF
     part = state.part(batch)
     out = upsert(as_ads(batch), state.tracker(part), state.pending(part), checked, pages, crit,
                  run_date, order, refresh)
-    state.write(out.tracker, out.pending, run_id, dt.datetime.combine(run_date, dt.time()), part)
+    judged = state.part(raw_verdicts, part)
+    store = verdicts.fold_verdicts(state.verdicts(judged), raw_verdicts, pages)
+    state.write(out.tracker, out.pending, run_id, dt.datetime.combine(run_date, dt.time()), part, (store, judged))
     return out
 
 
