@@ -101,3 +101,19 @@ def test_shortlist_cuts_only_the_last_tier(rows):
     assert kept == {f"High{i}" for i in range(5)} | {"Low0", "Low1"}
     more = {r.priority: r.more for r in cluster.more_than_shown(summary, 2).collect()}
     assert more == {"High": 0, "Low": 3}
+
+
+@pytest.mark.parametrize("fold", [0, 40, 10_000])
+def test_folded_in_turn_or_settled_in_rounds(rows, fold):
+    """Blocks under the bound, crowded blocks of few signatures, and crowded blocks of many give the same clusters."""
+    ads = random_ads(11, 400, streets=5)
+    df = cluster.cluster_ads(rows(RECORD, *ads), [F.col("url")], columns=["platform"], fold=fold)
+    assert df.columns == ["url", "platform", "ad_rank", "cluster_id"]
+    assert {r.url: r.cluster_id for r in df.collect()} == first_fit(sorted(ads, key=lambda a: a["url"]))
+
+
+def test_a_block_is_not_joined_with_itself(spark, rows, monkeypatch):
+    """A block under the bound costs one shuffle: no round, no join."""
+    monkeypatch.setattr(cluster, "_round", None)
+    df = cluster.cluster_ads(rows(RECORD, *random_ads(3, 200)), [F.col("url")])
+    assert "Join" not in df._jdf.queryExecution().optimizedPlan().toString()
