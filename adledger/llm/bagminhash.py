@@ -26,11 +26,11 @@ import hashlib
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from adledger.llm.common import arrow_map, slices, sieve_split, staged, without
-from adledger.llm.components import components
+from adledger.llm.components import components, merged
 
 WORDS = 5
 BANDS, ROWS = 25, 5
@@ -287,16 +287,20 @@ def near_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             break
         few = [F.min_by("rep", F.xxhash64("rep", F.lit(r * delegates + j))) for j in range(delegates)]
         chosen = apart.where("comp = main").groupBy("band").agg(F.array_distinct(F.array(*few)).alias("few"))
-        fresh = staged(minor.join(chosen, "band").select(F.col("rep").alias("x"), F.explode("few").alias("y"))
-                       .select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-                       .join(compared, ["a", "b"], "left_anti"), "pairs")
+        # a node shares many buckets with one component; it is compared with a few of it, not with a few for each bucket
+        fresh = staged(minor.join(chosen, "band").select(F.col("rep").alias("x"), "main", F.explode("few").alias("y"))
+                       .groupBy("x", "main", "y").agg(F.count("*").alias("shared"))
+                       .withColumns({"a": F.least("x", "y"), "b": F.greatest("x", "y")}).join(compared, ["a", "b"], "left_anti")
+                       .withColumn("k", F.row_number().over(Window.partitionBy("x", "main").orderBy(F.desc("shared"), F.xxhash64("y"), "y")))
+                       .where(F.col("k") <= delegates).select("a", "b").distinct(), "pairs")
         compared = compared.union(fresh)
-        links = links.union(staged(_verified(fresh, bag, threshold), "verified"))
-        comp = components(links)
+        found = staged(_verified(fresh, bag, threshold), "verified")
+        links = links.union(found)
+        comp = merged(comp, found)
     more = staged(_across(apart, reps.where("rep IS NOT NULL").select("rep", "bands", "sig"), bag, threshold), "verified")
     if not more.isEmpty():
         links = links.union(more)
-        comp = components(links)
+        comp = merged(comp, more)
 
     counts = (links.select("a").union(links.select("b")).groupBy("a").agg(F.count("*").alias("links"))
               .withColumnRenamed("a", "rep"))

@@ -28,3 +28,20 @@ def components(edges: DataFrame) -> DataFrame:
         if fresh.where("comp <> old").isEmpty():
             return labels
         labels = fresh.select("id", "comp")
+
+
+def merged(comp: DataFrame, edges: DataFrame) -> DataFrame:
+    """Components (id, comp) after further edges (a, b), which need not be of known nodes.
+
+    Only edges between different components count, and of several between two of them one,
+    so the rounds work on the components that grow together and not on all edges so far.
+    """
+    root = edges.select("a", "b")
+    for end in ("a", "b"):
+        known = comp.select(F.col("id").alias(end), F.col("comp").alias("root"))
+        root = root.join(known, end, "left").withColumn(end, F.coalesce("root", end)).drop("root")
+    across = root.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    tops = components(across)
+    moved = comp.join(tops.select(F.col("id").alias("comp"), F.col("comp").alias("top")), "comp", "left").select(
+        "id", F.coalesce("top", "comp").alias("comp"))
+    return staged(moved.unionByName(tops.join(comp.select("id"), "id", "left_anti")), "labels")

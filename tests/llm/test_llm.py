@@ -509,3 +509,15 @@ def test_pipeline(spark, docs, tmp_path):
     assert names == ["quality", "exact", "near", "secrets"]
     got = corpus_pipeline.run(spark, str(tmp_path))
     assert {r.doc_id for r in got.select("doc_id").collect()} == set(dict(pairs(kept)))
+
+
+def test_components_grow_by_further_edges(spark):
+    """As if all edges had been given at once, also for nodes that were in none before."""
+    from adledger.llm.components import components, merged
+
+    rnd = random.Random(5)
+    edges = [(rnd.randrange(60), 60 + rnd.randrange(60)) for _ in range(45)] + [(i, i + 1) for i in range(200, 230)]
+    rnd.shuffle(edges)
+    frame = lambda part: spark.createDataFrame(part, "a long, b long")
+    grown = merged(components(frame(edges[:30])), frame(edges[30:] + edges[:5]))
+    assert sorted(grown.collect()) == sorted(components(frame(edges)).collect())
