@@ -1,23 +1,25 @@
 """LM scoring by online logistic context mixing.
 
-A text is its tokens (words between ASCII white space, A-Z lower-cased, then one end). A
-token is its bytes and a terminator, each byte eight binary decisions. For every decision
-four predictors look up counts of zeros and ones under hashed contexts: the last byte, the
-last two, the last three, and the whole token so far (kept for tokens seen a few times).
+A text is its tokens (words between ASCII white space, A-Z lower-cased, then one end). It is
+coded as a run of bytes, each token followed by a terminator, and each byte as a few binary
+decisions, the steps to it in a prefix code of the bytes of training tokens. For every decision
+five predictors look up counts of zeros and ones under hashed contexts of what came before in
+the text, across tokens: the last byte, the last two, the last three, the token so far and the
+token so far after the previous token.
 Their stretched probabilities are combined with weights from a set that a gate chooses, by
-how often the longest contexts were seen; weights are learned online, by gradient steps over
-small batches. A last table, by decision and by mixed probability, adapts along with them
-and refines the result. Predictors exist for each of a few experts, the commonest languages of the
-training rows and the rest; a text's probability is the mixture of the experts, which is what
-weighting them by their success on each token so far comes to. Probabilities of all bits of a
-byte sum to one by construction, so the total is a code length.
+how often the two longest contexts were seen; weights are learned online along the texts, by
+gradient steps over small batches. A last table, by decision and by mixed probability, adapts
+along with them and refines the result. Probabilities of all bytes sum to one by construction,
+so the total is a code length, and it depends on the order of the words.
 
 What is gathered: one pass cuts texts into blocks and writes each block's distinct tokens
-with their counts, and each row as numbers into them. Counts by token are added up over the
-corpus, a hot token having one row per block; tables, weights and refinement are learned from all training tokens by their counts,
-a token's own occurrence taken out of the counts it is predicted from. Every distinct token
-is scored once, and blocks get back the values of their tokens. Tables have a fixed size,
+with their counts, and each row as numbers into them, in order. Counts by token are added up over
+the corpus, a hot token having one row per block. Tables, weights and refinement are learned from
+all training texts, a decision's own occurrence taken out of the counts it is predicted from.
+Blocks get their tokens back with the counts, spell their texts and score them byte by byte in
+bounded windows, which start with the last tokens of the window before. Tables have a fixed size,
 a parameter, so the model can be sent to every task; the vocabulary cannot and never is.
+Contexts that share a slot share its counts.
 
 Null and empty texts are one end. A null id is in the training part. Repeated rows are
 scored row by row and learned from as often as they occur. Without training rows counts are
@@ -26,8 +28,9 @@ empty, and the base of every text is 0.
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
@@ -43,9 +46,11 @@ from adledger.llm.common import arrow_map, slices, staged
 U = np.uint64
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 ORDERS = 3
-INPUTS = ORDERS + 1
-GATES = 32  # how often the whole token so far was seen (8 steps) by how often the last three bytes were (4)
+INPUTS = ORDERS + 2
+GATES = 32  # how often the token so far was seen (8 steps) by how often it was after the previous token (4)
 STEPS = 33
+DEPTH = 20  # steps to a byte at most
+WINDOW = 1 << 15  # bytes predicted at once
 BLOCK_BYTES = 24 << 20
 PART = 1 << 16
 
@@ -61,36 +66,110 @@ def tokens(text: str | None) -> list[bytes]:
 
 # ---- contexts ---------------------------------------------------------------------------
 
-def contexts(words: list[bytes]):
-    """Per byte (terminators too): its value, its token and the hashes of its four contexts."""
-    data = np.frombuffer(b" ".join(words) + b" ", np.uint8)
-    length = np.fromiter(map(len, words), np.int64, len(words)) + 1
-    start = np.repeat(np.cumsum(length) - length, length)
-    at = np.arange(len(data))
-    power, inverse = _powers(len(data) + 1)
-    sums = np.concatenate([np.zeros(1, U), np.cumsum((data.astype(U) + U(1)) * power[:len(data)])])
-    out, value = [], np.zeros(len(data), U)
+def spelled(words: list[bytes]) -> np.ndarray:
+    """The bytes of the words, each with its terminator."""
+    return np.frombuffer(b" ".join(words) + b" ", np.uint8) if words else np.zeros(0, np.uint8)
+
+
+def contexts(data: np.ndarray, begins: np.ndarray) -> np.ndarray:
+    """The hashes of the contexts of each byte, (INPUTS, bytes); ``begins`` are the places where texts start, the first is 0."""
+    n, at = len(data), np.arange(len(data))
+    ends = np.flatnonzero(data == 32)
+    starts = np.concatenate([np.zeros(1, np.int64), ends + 1])[:-1 if len(ends) and ends[-1] == n - 1 else None]
+    start = np.repeat(starts, np.diff(starts, append=n))
+    text = np.repeat(begins, np.diff(begins, append=n))
+    power, inverse = _powers(n + 1)
+    value = data.astype(U) + U(1)
+    sums = np.concatenate([np.zeros(1, U), np.cumsum(value * power[:n])])
+    out, last = np.empty((INPUTS, n), U), np.zeros(n, U)
     for order in range(1, ORDERS + 1):
-        known = at - order >= start
-        value = value << U(9) | np.where(known, data[np.maximum(at - order, 0)].astype(U) + U(1), U(0))
-        out.append(mix(value + U(order) * U(0x1234567890123)))
-    out.append(mix((sums[at] - sums[start]) * inverse[start] + (at - start).astype(U)))
-    return data, np.repeat(np.arange(len(words)), length), out
+        last = last << U(9)
+        last[order:] |= np.where(at[order:] - order >= text[order:], value[:-order], U(0))
+        out[order - 1] = mix(last + U(order) * U(0x1234567890123))
+    so_far = (sums[at] - sums[start]) * inverse[start] + (at - start).astype(U)
+    out[ORDERS] = mix(so_far)
+    # the hash of each whole token; a text's first has none before it
+    whole = (sums[np.append(starts[1:], n)] - sums[starts]) * inverse[starts] + U(1)
+    before = np.concatenate([np.zeros(1, U), mix(whole)[:-1]])
+    before[np.isin(starts, begins)] = 0
+    out[ORDERS + 1] = mix(so_far + np.repeat(before, np.diff(starts, append=n)) * U(0x9E3779B97F4A7C15) + U(7))
+    return out
+
+
+def windows(data: np.ndarray, begins: np.ndarray, most: int = WINDOW) -> Iterator[tuple[int, int, int, np.ndarray]]:
+    """(lead, lo, hi, begins) of pieces of the texts that are predicted at once, cut between tokens.
+
+    The lead from ``lead`` to ``lo``, two tokens, gives the contexts of what follows. ``begins`` counts from there.
+    """
+    starts = np.concatenate([np.zeros(1, np.int64), np.flatnonzero(data == 32) + 1])
+    first = 0
+    while starts[first] < len(data):
+        last = max(first + 1, int(np.searchsorted(starts, starts[first] + most, "right")) - 1)
+        lo, hi, lead = starts[first], starts[last], starts[max(first - 2, 0)]
+        inside = begins[np.searchsorted(begins, lead):np.searchsorted(begins, hi)] - lead
+        if not inside.size or inside[0]:
+            inside = np.append(0, inside)
+        yield int(lead), int(lo), int(hi), inside
+        first = last
+
+
+@dataclass
+class Code:
+    """A prefix code of the 256 bytes: the steps to each, and their number."""
+
+    length: np.ndarray  # uint8
+    steps: np.ndarray  # int32, the first step is the highest of DEPTH bits
+
+
+PLAIN = Code(np.full(256, 8, np.uint8), np.arange(256, dtype=np.int32) << (DEPTH - 8))
+
+
+def short_code(seen: np.ndarray) -> Code:
+    """Short codes for frequent bytes: fewer decisions a text. No byte is rarer than 1 in 5,000, which bounds the depth."""
+    weight = np.maximum(seen, max(seen.sum(), 1) / 5_000)
+    heap = [(w, i, (i,)) for i, w in enumerate(weight.tolist())]
+    heapq.heapify(heap)
+    length, steps = np.zeros(256, np.uint8), np.zeros(256, np.int64)
+    while len(heap) > 1:
+        zero, one = heapq.heappop(heap), heapq.heappop(heap)
+        for side, (_, _, members) in enumerate((zero, one)):
+            m = list(members)
+            steps[m] |= side << length[m].astype(np.int64)
+            length[m] += 1
+        heapq.heappush(heap, (zero[0] + one[0], min(zero[1], one[1]), zero[2] + one[2]))
+    assert length.max() <= DEPTH
+    return Code(length, (steps << (DEPTH - length.astype(np.int64))).astype(np.int32))
 
 
-def decisions(data: np.ndarray, hashes: list[np.ndarray], bits: int) -> Iterator[tuple[int, np.ndarray, list[np.ndarray]]]:
-    """For each of eight decisions: its number, the bits taken, the slot of each predictor.
+def decisions(data: np.ndarray, hashes: np.ndarray, bits: int, code: Code):
+    """The places of the bytes, longest codes first, then for each step: its number, the steps taken and the slots of each predictor.
 
-    The first half of the slots is for contexts of bytes, the second for whole tokens.
+    Steps come for the first places, as many as have so long a code. A quarter of the slots is for
+    contexts of bytes, a quarter for tokens, a half for tokens after another.
     """
-    half, mask = np.int64(1 << (bits - 1)), np.int64((1 << (bits - 1)) - 1)
-    low = [(h >> U(20)).astype(np.int64) for h in hashes]
-    value = data.astype(np.int64)
-    for i in range(8):
-        node = (1 << i | value >> (8 - i)) * np.int64(0x2545F491)
-        slots = [((x + node) ^ ((x + node) >> 17)) & mask for x in low]
-        slots[-1] += half
-        yield i, value >> (7 - i) & 1, slots
+    place = np.argsort(DEPTH - code.length[data], kind="stable")
+    steps = code.steps[data[place]].astype(np.int64)
+    long = np.cumsum(np.bincount(code.length[data], minlength=DEPTH + 1)[::-1])[::-1]  # with a length of d at least
+    hashes = hashes[:, place]
+    width = np.full((INPUTS, 1), bits - 2, U)
+    width[-1] = bits - 1
+    top = (np.int64(1) << width.astype(np.int64)) - 16
+    offset = np.zeros((INPUTS, 1), np.int64)
+    offset[-2:, 0] = 1 << (bits - 2), 1 << (bits - 1)
+
+    def each():
+        for d in range(DEPTH):
+            n = int(long[d + 1])
+            if not n:
+                return
+            if d % 4 == 0:  # the slots of four steps lie close together, between those of other contexts
+                walked = (steps[:n] >> (DEPTH - d)).astype(U) + (U(d) << U(32))
+                group = (((hashes[:, :n] + walked * U(0x2545F4914F6CDD1D)) * U(0xD6E8FEB86659FD93)) >> (U(64) - width)).astype(np.int64)
+                group = np.minimum(group, top) + offset
+            node = 1 << (d % 4) | (steps[:n] >> (DEPTH - d)) & ((1 << (d % 4)) - 1)
+            yield d, steps[:n] >> (DEPTH - 1 - d) & 1, group[:, :n] + node
+
+    return place, each()
 
 
 # ---- counts in a byte each ----------------------------------------------------------------
@@ -118,159 +197,167 @@ def _tables():
     return (stretch[0], np.concatenate(stretch[1:])), (seen[0], np.concatenate(seen[1:]))
 
 
+BIAS = np.float32(0.3)
 STRETCH, SEEN = _tables()  # [1] is asked at packed counts + 65536 * (bit to leave out)
 
 
 @dataclass
 class Mixer:
-    """Counts by expert and slot, the gated weights, and the refinement."""
+    """Counts by slot, the gated weights, the refinement and the code of bytes."""
 
     bits: int
-    counts: np.ndarray  # (2 ** bits, experts) of packed counts
-    weights: np.ndarray  # (GATES, INPUTS + 1)
-    refined: np.ndarray  # (8, STEPS) probabilities of a one
-
-    def inputs(self, expert: int, slots, taken=None):
-        """Predictions as (INPUTS + 1, n), and the gate of each; with `taken`, own occurrences left out."""
-        x = np.empty((INPUTS + 1, len(slots[0])), np.float32)
-        x[INPUTS] = 0.3
-        gate = None
+    counts: np.ndarray  # (2 ** bits) of packed counts
+    weights: np.ndarray  # (INPUTS + 1, GATES)
+    refined: np.ndarray  # (DEPTH, STEPS) probabilities of a one
+    code: Code = field(default_factory=lambda: PLAIN)
+
+    def inputs(self, slots: np.ndarray, taken: np.ndarray | None = None):
+        """Predictions as (INPUTS, n), and the gate of each; with `taken`, own occurrences left out."""
+        at = self.counts.take(slots).astype(np.intp)
         own = 0 if taken is None else 1
-        for k, slot in enumerate(slots):
-            at = self.counts[slot, expert]
-            if own:
-                at = at + (taken << 16)
-            x[k] = STRETCH[own][at]
-            if k == ORDERS - 1:
-                gate = np.minimum(SEEN[own][at], 3)
-            elif k == ORDERS:
-                gate = gate + 4 * SEEN[own][at]
-        return x, gate
+        if own:
+            at += taken << 16
+        gate = np.minimum(SEEN[own].take(at[ORDERS + 1]), 3) + 4 * SEEN[own].take(at[ORDERS])
+        return STRETCH[own].take(at), gate.astype(np.intp)
 
     def mixed(self, x: np.ndarray, gate: np.ndarray) -> np.ndarray:
-        total = np.zeros(x.shape[1], np.float32)
-        for k in range(INPUTS + 1):
-            total += x[k] * self.weights[:, k][gate]
-        return np.clip(total, -11, 11)
+        total = self.weights[INPUTS].take(gate) * BIAS
+        for k in range(INPUTS):
+            total += x[k] * self.weights[k].take(gate)
+        return np.minimum(np.maximum(total, np.float32(-11), out=total), np.float32(11), out=total)
 
-    def final(self, i: int, stretch: np.ndarray) -> np.ndarray:
+    def final(self, d: int, stretch: np.ndarray) -> np.ndarray:
         """The probability of a one after refinement."""
         where = (stretch + np.float32(12)) * np.float32((STEPS - 1) / 24)
-        lo = where.astype(np.int32)
-        part = where - lo
-        table = self.refined[i].astype(np.float32)
-        near = table[lo]
-        return np.float32(0.5) * (1 / (1 + np.exp(-stretch)) + near + (table[lo + 1] - near) * part)
+        lo = where.astype(np.intp)
+        where -= lo.astype(np.float32)
+        table = self.refined[d].astype(np.float32)
+        where *= np.diff(table, append=table[-1:]).take(lo)
+        where += table.take(lo)
+        where += 1 / (1 + np.exp(-stretch))
+        return where * np.float32(0.5)
 
     def log10(self, words: list[bytes]) -> np.ndarray:
-        """log10 of the probability of each token under each expert, (words, experts)."""
-        data, token, hashes = contexts(words)
-        experts = self.counts.shape[1]
-        total = np.zeros(len(data) * experts, np.float32)
-        for i, taken, slots in decisions(data, hashes, self.bits):
-            # all experts side by side: their counts of a slot lie together
-            at = [self.counts.take(slot, axis=0).ravel() for slot in slots]
-            gate = np.minimum(SEEN[0].take(at[ORDERS - 1]), 3) + 4 * SEEN[0].take(at[ORDERS])
-            z = self.weights[:, INPUTS].take(gate) * np.float32(0.3)
-            for k in range(INPUTS):
-                z += STRETCH[0].take(at[k]) * self.weights[:, k].take(gate)
-            p = self.final(i, np.clip(z, -11, 11))
-            total += np.log(np.abs(p - np.repeat((1 - taken).astype(np.float32), experts)))
-        total = total.reshape(-1, experts)
-        return np.stack([np.bincount(token, t, len(words)) for t in total.T], axis=1) / np.log(10)
-
-
-def fresh_mixer(bits: int, counts: np.ndarray) -> Mixer:
-    weights = np.full((GATES, INPUTS + 1), 0.3, np.float32)
-    weights[:, INPUTS] = 0
+        """log10 of the probability of each word, as a text without an end, (words, 1)."""
+        data = spelled(words)
+        lengths = np.fromiter(map(len, words), np.int64, len(words)) + 1
+        return self.texts(data, np.cumsum(lengths) - lengths)[:, None]
+
+    def texts(self, data: np.ndarray, begins: np.ndarray) -> np.ndarray:
+        """log10 of the probability of each of the texts that lie one after the other in data."""
+        total = np.zeros(len(begins))
+        for lead, lo, hi, inside in windows(data, begins):
+            part = data[lead:hi]
+            place, each = decisions(part[lo - lead:], contexts(part, inside)[:, lo - lead:], self.bits, self.code)
+            found, product = np.zeros(hi - lo, np.float32), np.ones(hi - lo, np.float32)
+            for d, taken, slots in each:
+                p = self.final(d, self.mixed(*self.inputs(slots)))
+                p -= (1 - taken).astype(np.float32)
+                product[:len(taken)] *= np.abs(p, out=p)
+                if d % 4 == 3:
+                    found += np.log(product)
+                    product[:] = 1
+            found += np.log(product)
+            owner = np.searchsorted(begins, np.arange(lo, hi), "right") - 1
+            total[owner[0]:owner[-1] + 1] += np.bincount(owner[place] - owner[0], found)
+        return total / np.log(10)
+
+
+def fresh_mixer(bits: int, counts: np.ndarray, code: Code = PLAIN) -> Mixer:
+    weights = np.full((INPUTS + 1, GATES), 0.3, np.float32)
+    weights[INPUTS] = 0
     edges = np.linspace(-12, 12, STEPS)
-    return Mixer(bits, counts, weights, np.tile(1 / (1 + np.exp(-edges)), (8, 1)))
+    return Mixer(bits, counts.reshape(-1), weights, np.tile(1 / (1 + np.exp(-edges)), (DEPTH, 1)), code)
 
 
-def add_counts(table: np.ndarray, words: list[bytes], n: np.ndarray, bits: int, often: int) -> None:
-    """Adds n occurrences of each word to an expert's counts, (2 ** bits, 2)."""
-    data, token, hashes = contexts(words)
-    weight = n[token].astype(np.float32)
+def add_texts(table: np.ndarray, data: np.ndarray, begins: np.ndarray, bits: int, code: Code = PLAIN, n: np.ndarray | None = None) -> None:
+    """Adds the decisions of texts to counts, (2 ** bits, 2); ``n``: how often each byte counts."""
     flat = table.reshape(-1)
-    known = n[token] >= often
-    for _, taken, slots in decisions(data, hashes, bits):
-        for slot in slots[:-1]:
-            np.add.at(flat, slot * 2 + taken, weight)
-        np.add.at(flat, (slots[-1] * 2 + taken)[known], weight[known])
-
-
-def learn(mixer: Mixer, words: list[bytes], n: np.ndarray, expert: int, rate: float = 0.5) -> None:
-    """Gradient steps on the weights over small batches of these words, n occurrences each."""
-    data, token, hashes = contexts(words)
-    weight = n[token].astype(np.float32)
-    for _, taken, slots in decisions(data, hashes, mixer.bits):
-        x, gate = mixer.inputs(expert, slots, taken)
-        z = mixer.mixed(x, gate)
-        error = (taken - 1 / (1 + np.exp(-z))).astype(np.float32) * weight
-        total = np.bincount(gate, weight, GATES)
-        scale = np.where(total > 0, rate / np.maximum(total, 1e-9), 0)
-        for k in range(INPUTS + 1):
-            mixer.weights[:, k] += scale * np.bincount(gate, error * x[k], GATES)
-
-
-def follow(mixer: Mixer, words: list[bytes], n: np.ndarray, expert: int, followed: np.ndarray) -> None:
-    """Adds to followed (2, 8, STEPS) how often each step of the mixed probability led to 0 and to 1."""
-    data, token, hashes = contexts(words)
-    weight = n[token].astype(np.float32)
-    for i, taken, slots in decisions(data, hashes, mixer.bits):
-        z = mixer.mixed(*mixer.inputs(expert, slots, taken))
-        where = np.rint((z + np.float32(12)) * np.float32((STEPS - 1) / 24)).astype(np.int64) + STEPS * taken
-        zeros, ones = np.bincount(where, weight, 2 * STEPS).reshape(2, STEPS)
-        followed[0, i] += zeros
-        followed[1, i] += ones
+    for lead, lo, hi, inside in windows(data, begins):
+        part = data[lead:hi]
+        place, each = decisions(part[lo - lead:], contexts(part, inside)[:, lo - lead:], bits, code)
+        for _, taken, slots in each:
+            weight = flat.dtype.type(1) if n is None else np.tile(n[lo:hi][place[:len(taken)]].astype(flat.dtype), INPUTS)
+            np.add.at(flat, (slots * 2 + taken).ravel(), weight)
+
+
+def add_counts(table: np.ndarray, words: list[bytes], n: np.ndarray, bits: int, often: int, code: Code = PLAIN) -> None:
+    """Adds n occurrences of each word, as a text of its own seen ``often`` times at least, to counts, (2 ** bits, 2)."""
+    lengths = np.fromiter(map(len, words), np.int64, len(words)) + 1
+    add_texts(table, spelled(words), np.cumsum(lengths) - lengths, bits, code, np.repeat(np.where(n >= often, n, 0), lengths))
+
+
+def learn(mixer: Mixer, data: np.ndarray, begins: np.ndarray, followed: np.ndarray, rate: float = 0.1) -> None:
+    """Gradient steps on the weights along these texts.
+
+    Adds to followed (2, DEPTH, STEPS) how often each step of the mixed probability led to 0 and to 1.
+    """
+    for lead, lo, hi, inside in windows(data, begins):
+        part = data[lead:hi]
+        _, each = decisions(part[lo - lead:], contexts(part, inside)[:, lo - lead:], mixer.bits, mixer.code)
+        for d, taken, slots in each:
+            x, gate = mixer.inputs(slots, taken)
+            z = mixer.mixed(x, gate)
+            where = np.rint((z + np.float32(12)) * np.float32((STEPS - 1) / 24)).astype(np.int64) + STEPS * taken
+            followed[:, d] += np.bincount(where, minlength=2 * STEPS).reshape(2, STEPS)
+            error = taken - 1 / (1 + np.exp(-z))
+            scale = rate / np.maximum(np.bincount(gate, minlength=GATES), 1)
+            for k in range(INPUTS):
+                mixer.weights[k] += scale * np.bincount(gate, error * x[k], GATES)
+            mixer.weights[INPUTS] += scale * BIAS * np.bincount(gate, error, GATES)
 
 
 # ---- the corpus ----------------------------------------------------------------------------
 
-def _blocks(df: DataFrame, experts: int) -> DataFrame:
-    """df: id, t, held, expert. Rows of kind 0 are a block's tokens, of kind 1 its documents."""
+def _run(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, list[int]]:
+    """Texts as they are coded, one after the other, with their ends; where each begins; their sizes in UTF-8."""
+    coded, sizes = [], []
+    for t in texts:
+        raw = (t or "").encode()
+        sizes.append(len(raw))
+        words = raw.translate(LOWER).split()
+        coded.append(b" ".join(words) + b"  " if words else b" ")
+    long = np.fromiter(map(len, coded), np.int64, len(coded))
+    return np.frombuffer(b"".join(coded), np.uint8), np.cumsum(long) - long, sizes
+
+
+def _blocks(df: DataFrame) -> DataFrame:
+    """df: id, t, held. Rows of kind 0 are a block's tokens with their terminators, of kind 1 its documents."""
     kind = df.schema["id"].dataType.simpleString()
-    counts = [f"n{g}" for g in range(experts)]
-    schema = pa.schema([("kind", pa.int32()), ("block", pa.int64()), ("at", pa.int32()), ("token", pa.binary()),
-                        *((c, pa.int64()) for c in counts), ("id", _arrow(kind)), ("held", pa.bool_()),
-                        ("n_bytes", pa.int64()), ("n_tokens", pa.int64()), ("ats", pa.binary())])
+    schema = pa.schema([("kind", pa.int32()), ("block", pa.int64()), ("at", pa.int32()), ("token", pa.binary()), ("n", pa.int64()),
+                        ("id", _arrow(kind)), ("held", pa.bool_()), ("n_bytes", pa.int64()), ("n_tokens", pa.int64()), ("ats", pa.binary())])
 
     def block(number, rows):
-        index: dict[bytes, int] = {b"": 0}
-        found, lengths, sizes = [], [], []
-        for text in rows["t"]:
-            words = tokens(text)
-            for w in words:
-                if w not in index:
-                    index[w] = len(index)
-            found.append(np.fromiter(map(index.__getitem__, words), np.int32, len(words)))
-            lengths.append(len(words) + 1)
-            sizes.append(len((text or "").encode()))
-        total = np.zeros((experts, len(index)), np.int64)
-        for got, held, g in zip(found, rows["held"], rows["expert"]):
-            if not held:
-                np.add.at(total[g], got, 1)
-                total[g][0] += 1
-        n = len(index)
+        data, begins, sizes = np.concatenate(rows["data"]), np.array(rows["begins"]), rows["size"]
+        rows["data"].clear()
+        stops = np.append(0, np.flatnonzero(data == 32) + 1).astype(np.int32)
+        found = pa.Array.from_buffers(pa.binary(), len(stops) - 1, [None, pa.py_buffer(stops), pa.py_buffer(data)]).dictionary_encode()
+        at = found.indices.to_numpy()
+        first = np.searchsorted(stops, np.append(begins, len(data)))  # each document's first token
+        learned = np.repeat(~np.array(rows["held"], bool), np.diff(first))
+        n = len(found.dictionary)
+        total = np.bincount(at[learned], minlength=n)
         nulls = lambda k, t: pa.nulls(k, t)
         yield pa.RecordBatch.from_arrays(
             [pa.array(np.zeros(n, np.int32)), pa.array(np.full(n, number)), pa.array(np.arange(n, dtype=np.int32)),
-             pa.array(list(index), pa.binary()), *(pa.array(t) for t in total),
+             found.dictionary, pa.array(total.astype(np.int64)),
              *(nulls(n, schema.field(c).type) for c in ("id", "held", "n_bytes", "n_tokens", "ats"))], schema=schema)
-        d = len(found)
-        packs = [pa.compress(np.diff(np.sort(f), prepend=0).astype(np.int32).tobytes(), "zstd", asbytes=True) for f in found]
+        d = len(sizes)
+        packs = [pa.compress(at[lo:hi].tobytes(), "zstd", asbytes=True) for lo, hi in zip(first, first[1:])]
         yield pa.RecordBatch.from_arrays(
-            [pa.array(np.ones(d, np.int32)), pa.array(np.full(d, number)), nulls(d, pa.int32()), nulls(d, pa.binary()),
-             *(nulls(d, pa.int64()) for _ in counts), pa.array(rows["id"], schema.field("id").type), pa.array(rows["held"]),
-             pa.array(sizes, pa.int64()), pa.array(lengths, pa.int64()), pa.array(packs, pa.binary())], schema=schema)
+            [pa.array(np.ones(d, np.int32)), pa.array(np.full(d, number)), nulls(d, pa.int32()), nulls(d, pa.binary()), nulls(d, pa.int64()),
+             pa.array(rows["id"], schema.field("id").type), pa.array(rows["held"]),
+             pa.array(sizes, pa.int64()), pa.array(np.diff(first), pa.int64()), pa.array(packs, pa.binary())], schema=schema)
 
     def run(batches):
         number = TaskContext.get().partitionId() << 32
-        rows, size = {"id": [], "t": [], "held": [], "expert": []}, 0
+        rows, size = {"id": [], "held": [], "data": [], "begins": [], "size": []}, 0
         for part in slices(batches, 1, 4 << 20):
-            for name, column in zip(rows, part.columns):
-                rows[name] += column.to_pylist()
-            size += part.column(1).nbytes
+            data, begins, sizes = _run(part.column(1).to_pylist())
+            for name, more in (("id", part.column(0).to_pylist()), ("held", part.column(2).to_pylist()), ("data", [data]),
+                               ("begins", (begins + size).tolist()), ("size", sizes)):
+                rows[name] += more
+            size += len(data)
             if size >= BLOCK_BYTES or len(rows["id"]) >= 100_000:
                 yield from block(number, rows)
                 number += 1
@@ -278,173 +365,134 @@ def _blocks(df: DataFrame, experts: int) -> DataFrame:
         if rows["id"]:
             yield from block(number, rows)
 
-    return arrow_map(df, run, f"kind int, block long, at int, token binary, {', '.join(c + ' long' for c in counts)}, "
-                              f"id {kind}, held boolean, n_bytes long, n_tokens long, ats binary")
+    return arrow_map(df, run, f"kind int, block long, at int, token binary, n long, id {kind}, held boolean, "
+                              "n_bytes long, n_tokens long, ats binary")
 
 
 def _arrow(kind: str) -> pa.DataType:
     return {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]
 
 
-def _lots(batches, experts: int, most: int = 6_000):
-    """(words, counts by expert) of the vocabulary in lots."""
-    for batch in batches:
-        for at in range(0, batch.num_rows, most):
-            part = batch.slice(at, most)
-            yield part.column(0).to_pylist(), np.stack([part.column(1 + g).to_numpy(zero_copy_only=False) for g in range(experts)])
+def _byte_code(vocabulary: DataFrame) -> Code:
+    """The code of bytes by how often training tokens hold them."""
+    def run(batches):
+        seen = np.zeros(256)
+        for batch in batches:
+            words = batch.column(0).to_pylist()
+            if words:
+                times = np.repeat(batch.column(1).to_numpy(), np.fromiter(map(len, words), np.int64, len(words)))
+                seen += np.bincount(np.frombuffer(b"".join(words), np.uint8), times, 256)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(256)), pa.array(seen)], ["byte", "seen"])
+
+    found = arrow_map(vocabulary, run, "byte long, seen double").groupBy("byte").agg(F.sum("seen").alias("seen")).collect()
+    seen = np.zeros(256)
+    for r in found:
+        seen[r.byte] = r.seen
+    return short_code(seen)
 
 
-def _counted(vocabulary: DataFrame, experts: int, bits: int, often: int, rows: int) -> np.ndarray:
-    """The packed counts of all experts, added up over tasks of about 2,000,000 tokens."""
+def _counted(texts: DataFrame, bits: int, code: Code) -> np.ndarray:
+    """The packed counts of the texts, added up over tasks."""
     def run(batches):
-        table = np.zeros((experts, 1 << bits, 2), np.float32)
-        for words, n in _lots(batches, experts):
-            for g in range(experts):
-                if (some := np.flatnonzero(n[g])).size:
-                    add_counts(table[g], [words[i] for i in some], n[g][some], bits, often)
+        table = np.zeros((1 << bits, 2), np.uint32)
+        for part in slices(batches, 0, 4 << 20):
+            data, begins, _ = _run(part.column(0).to_pylist())
+            add_texts(table, data, begins, bits, code)
         parts = table.reshape(-1, PART * 2)
         used = np.flatnonzero(parts.any(axis=1))
         for at in range(0, len(used), 16):
             some = used[at:at + 16]
-            yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array([parts[i].tobytes() for i in some], pa.binary())],
-                                             ["part", "counts"])
+            yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array(
+                [pa.compress(parts[i].tobytes(), "zstd", asbytes=True) for i in some], pa.binary())], ["part", "counts"])
 
     def add(part: pd.DataFrame) -> pd.DataFrame:
         total = np.zeros(PART * 2)
         for c in part["counts"]:
-            total += np.frombuffer(c, np.float32)
+            total += np.frombuffer(pa.decompress(c, PART * 8, "zstd", asbytes=True), np.uint32)
         total = total.reshape(-1, 2)
         return pd.DataFrame({"part": part["part"].iloc[:1], "counts": [packed(total[:, 0], total[:, 1]).tobytes()]})
 
-    tasks = max(1, -(-rows // 2_000_000))
-    summed = (arrow_map(vocabulary.coalesce(tasks), run, "part long, counts binary")
-              .groupBy("part").applyInPandas(add, "part long, counts binary"))
-    out = np.zeros(experts << bits, np.uint16)
+    summed = arrow_map(texts, run, "part long, counts binary").groupBy("part").applyInPandas(add, "part long, counts binary")
+    out = np.zeros(1 << bits, np.uint16)
     for row in summed.toLocalIterator():
         out[row.part * PART:(row.part + 1) * PART] = np.frombuffer(row.counts, np.uint16)
-    return np.ascontiguousarray(out.reshape(experts, 1 << bits).T)
+    return out
 
 
-def _trained(vocabulary: DataFrame, experts: int, bits: int, often: int, rows: int) -> Mixer:
+def _trained(texts: DataFrame, bits: int, code: Code) -> Mixer:
     """Counts, then weights and refinement; tasks learn them apart and are averaged by what they saw."""
-    sc = vocabulary.sparkSession.sparkContext
-    mixer = fresh_mixer(bits, _counted(vocabulary, experts, bits, often, rows))
-    sent = sc.broadcast(mixer.counts)
-    tasks = max(1, -(-rows // 250_000))
+    mixer = fresh_mixer(bits, _counted(texts, bits, code), code)
+    sent = texts.sparkSession.sparkContext.broadcast(mixer.counts)
     weights, refined = mixer.weights, mixer.refined
 
     def learned(batches):
-        own, seen, followed = Mixer(bits, sent.value, weights.copy(), refined), 0.0, np.zeros((2, 8, STEPS))
-        words, n = [], [np.zeros((experts, 0), np.int64)]
-        for more, counts in _lots(batches, experts):
-            words += more
-            n.append(counts)
-        n, lots = np.concatenate(n, axis=1), []
-        # tokens come sorted; gradient steps need them mixed
-        order = np.random.default_rng(0).permutation(len(words))
-        for at in range(0, len(order), 6_000):
-            for g in range(experts):
-                if (some := order[at:at + 6_000][n[g][order[at:at + 6_000]] > 0]).size:
-                    lots.append(([words[i] for i in some], n[g][some], g))
-        for words, n, g in lots:
-            learn(own, words, n, g)
-            seen += float(n.sum())
-        for words, n, g in lots:
-            follow(own, words, n, g, followed)
-        yield pa.RecordBatch.from_arrays([pa.array([seen]), pa.array([own.weights.astype(np.float64).ravel().tolist()]),
+        own, followed = Mixer(bits, sent.value, weights.copy(), refined, code), np.zeros((2, DEPTH, STEPS))
+        for part in slices(batches, 0, 4 << 20):
+            data, begins, _ = _run(part.column(0).to_pylist())
+            learn(own, data, begins, followed)
+        yield pa.RecordBatch.from_arrays([pa.array([followed.sum()]), pa.array([own.weights.astype(np.float64).ravel().tolist()]),
                                           pa.array([followed.ravel().tolist()])], ["seen", "w", "f"])
 
-    each = staged(arrow_map(vocabulary.coalesce(tasks), learned, "seen double, w array<double>, f array<double>")
-                  .where("seen > 0"), "weights")
+    each = staged(arrow_map(texts, learned, "seen double, w array<double>, f array<double>").where("seen > 0"), "weights")
     w = (each.select("seen", F.posexplode("w").alias("k", "x")).groupBy("k")
          .agg((F.sum(F.col("x") * F.col("seen")) / F.sum("seen")).alias("x")).orderBy("k").collect())
     f = each.select(F.posexplode("f").alias("k", "x")).groupBy("k").agg(F.sum("x").alias("x")).orderBy("k").collect()
     if w:
         weights = np.array([x.x for x in w], np.float32).reshape(weights.shape)
-        zeros, ones = np.array([x.x for x in f]).reshape(2, 8, STEPS)
+        zeros, ones = np.array([x.x for x in f]).reshape(2, DEPTH, STEPS)
         refined = (ones + 20 * refined) / (zeros + ones + 20)
-    return Mixer(bits, mixer.counts, weights, refined)
+    return Mixer(bits, mixer.counts, weights, refined, code)
 
 
-def _valued(owned: DataFrame, mixer: Mixer, experts: int) -> DataFrame:
-    """block, at, known (log10 of count + 1), lp0.. (log10 of probability under each expert) per row of owned.
-
-    Rows of a token lie together, so a batch scores each of its tokens once.
-    """
-    sent = owned.sparkSession.sparkContext.broadcast(mixer)
-
-    def run(batches):
-        own = sent.value
-        for batch in batches:
-            code = batch.column(0).dictionary_encode()
-            words, at = code.dictionary.to_pylist(), code.indices.to_numpy()
-            values = np.concatenate([own.log10(words[i:i + 6_000]) for i in range(0, len(words), 6_000)]).astype(np.float32)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(1), batch.column(2), pa.array(np.log10(batch.column(3).to_numpy() + 1)),
-                 *map(pa.array, values.T.copy()[:, at])], ["block", "at", "known", *(f"lp{g}" for g in range(experts))])
-
-    return arrow_map(owned, run, "block long, at int, known double, " + ", ".join(f"lp{g} float" for g in range(experts)))
-
-
-def score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", language_col: str | None = "lang",
-          experts: int = 4, bits: int = 21, often: int = 2, folds: int = 7, fold: int = 2) -> DataFrame:
-    """id, held_out, n_tokens, n_known, train_tokens, base_score, score, n_bytes, bits_per_byte per row.
-
-    language_col only sorts training rows into experts; scoring doesn't read it. None: by hash.
-    """
+def score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: int = 23, folds: int = 7, fold: int = 2) -> DataFrame:
+    """id, held_out, n_tokens, n_known, train_tokens, base_score, score, n_bytes, bits_per_byte per row."""
     held = held_out(F.col(id_col), folds, fold)
-    if language_col is None:
-        expert = F.pmod(F.xxhash64(id_col), F.lit(experts))
-    else:
-        common = [x[0] for x in df.where(F.col(language_col).isNotNull()).groupBy(language_col).count()
-                  .orderBy(F.desc("count"), language_col).limit(experts - 1).collect()]
-        expert = F.lit(experts - 1)
-        for g, name in enumerate(common):
-            expert = F.when(F.col(language_col) == name, F.lit(g)).otherwise(expert)
-    cut = staged(_blocks(df.select(F.col(id_col).alias("id"), F.col(text_col).alias("t"), held.alias("held"),
-                                   expert.cast("int").alias("expert")), experts), "blocks")
-    names = [f"n{g}" for g in range(experts)]
-    # one shuffle by token gives every block's rows the corpus counts, and leaves equal tokens together
+    cut = staged(_blocks(df.select(F.col(id_col).alias("id"), F.col(text_col).alias("t"), held.alias("held"))), "blocks")
+    # one shuffle by token gives every block's rows the corpus counts
     same = Window.partitionBy("token")
-    owned = (cut.where("kind = 0").withColumns({n: F.sum(n).over(same) for n in names})
+    owned = (cut.where("kind = 0").withColumn("n", F.sum("n").over(same))
              .withColumn("first", F.row_number().over(same.orderBy("block")) == 1))
-    owned = staged(owned.select("token", "block", "at", "first", *names), "owned")
-    every = sum((F.col(n) for n in names), F.lit(0))
-    vocabulary = owned.where("first").select("token", *names).where(every > 0)
-    size = vocabulary.agg(F.count("*"), F.sum(every), *map(F.sum, names)).first()
+    owned = staged(owned.select("token", "block", "at", "first", "n"), "owned")
+    vocabulary = owned.where("first AND n > 0").select("token", "n")
+    size = vocabulary.agg(F.count("*"), F.sum("n")).first()
     distinct, total = size[0] or 0, size[1] or 0
-    mixer = _trained(vocabulary, experts, bits, often, distinct)
-    prior = np.log10((np.array([x or 0 for x in size[2:]], float) + 1) / (total + experts))
     under = float(np.log10(total + distinct + 1)) if total else 0.0
+    mixer = _trained(df.where(~held).select(F.col(text_col).alias("t")), bits, _byte_code(vocabulary))
+    sent = df.sparkSession.sparkContext.broadcast(mixer)
 
-    lps = [f"lp{g}" for g in range(experts)]
-    values = _valued(owned.select("token", "block", "at", every.alias("n")), mixer, experts)
     docs = cut.where("kind = 1").select(F.col("block").alias("own"), "id", "held", "n_bytes", "n_tokens", "ats")
     kind = docs.schema["id"].dataType.simpleString()
 
-    def run(values: pd.DataFrame, docs: pd.DataFrame) -> pd.DataFrame:
-        n = int(values["at"].max()) + 1
-        table = np.zeros((n, 2 + experts))
-        at = values["at"].to_numpy()
-        table[at, 0] = values["known"]
-        table[at, 1] = values["known"] > 0
-        for g, c in enumerate(lps):
-            table[at, 2 + g] = values[c]
-        out = np.zeros((len(docs), 2 + experts))
-        for i, (pack, count) in enumerate(zip(docs["ats"], docs["n_tokens"])):
-            gaps = np.frombuffer(pa.decompress(pack, (count - 1) * 4, "zstd", asbytes=True), np.int32) if count > 1 else np.zeros(0, np.int32)
-            out[i] = table[np.cumsum(gaps)].sum(axis=0) + table[0]
-        mixture = out[:, 2:] + prior
-        top = mixture.max(axis=1)
-        model = top + np.log10((10 ** (mixture - top[:, None])).sum(axis=1))
+    def run(tokens: pd.DataFrame, docs: pd.DataFrame) -> pd.DataFrame:
+        own, at = sent.value, np.argsort(tokens["at"].to_numpy())
+        words = tokens["token"].to_numpy()[at]
+        known = np.log10(tokens["n"].to_numpy()[at] + 1.0)
+        spelt, size = np.frombuffer(b"".join(words), np.uint8), np.fromiter(map(len, words), np.int64, len(words))
+        offset = np.cumsum(size) - size
+        counts = docs["n_tokens"].to_numpy()
+        out = np.zeros((len(docs), 3))
+        some, held = [], 0
+        for i, (pack, count) in enumerate(zip(docs["ats"], counts)):
+            some.append(np.frombuffer(pa.decompress(pack, int(count) * 4, "zstd", asbytes=True), np.int32))
+            held += count
+            if held >= 500_000 or i + 1 == len(docs):
+                which, starts = np.concatenate(some), np.cumsum([0, *map(len, some)])[:-1]
+                long = size[which]
+                ends = np.cumsum(long)
+                data = spelt[np.arange(ends[-1]) + np.repeat(offset[which] - (ends - long), long)]
+                rows = slice(i + 1 - len(some), i + 1)
+                out[rows, 0] = np.add.reduceat(known[which], starts)
+                out[rows, 1] = np.add.reduceat(known[which] > 0, starts, dtype=np.int64)
+                out[rows, 2] = own.texts(data, (ends - long)[starts])
+                some, held = [], 0
         size = docs["n_bytes"].to_numpy()
         return pd.DataFrame({
-            "id": docs["id"], "held_out": docs["held"].astype(bool), "n_tokens": docs["n_tokens"],
-            "n_known": np.rint(out[:, 1]).astype(np.int64), "train_tokens": total,
-            "base_score": out[:, 0] - docs["n_tokens"].to_numpy() * under, "score": model, "n_bytes": size,
-            "bits_per_byte": -model * np.log2(10) / np.maximum(size, 1)})
+            "id": docs["id"], "held_out": docs["held"].astype(bool), "n_tokens": counts,
+            "n_known": out[:, 1].astype(np.int64), "train_tokens": total,
+            "base_score": out[:, 0] - counts * under, "score": out[:, 2], "n_bytes": size,
+            "bits_per_byte": -out[:, 2] * np.log2(10) / np.maximum(size, 1)})
 
-    return (values.groupBy("block").cogroup(docs.groupBy("own"))
+    return (owned.select("block", "at", "token", "n").groupBy("block").cogroup(docs.groupBy("own"))
             .applyInPandas(run, f"id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, "
                                 "base_score double, score double, n_bytes long, bits_per_byte double")
             .withColumnRenamed("id", id_col))

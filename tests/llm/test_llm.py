@@ -378,6 +378,60 @@ def test_bits_of_a_byte_sum_to_one():
     assert 0 < tail.sum() + stop <= 1
 
 
+def test_contexts_run_across_tokens(spark):
+    texts = ["the cat sat on the mat " * 8, "a dog ran", "", "x" * 300 + " y"]
+    data, begins, _ = context_mixing._run(texts)
+    got = context_mixing.contexts(data, begins)
+    seen = [{} for _ in got]
+    for b, e in zip(begins, [*begins[1:], len(data)]):
+        raw = bytes(data[b:e])
+        for i in range(len(raw)):
+            *before, so_far = raw[:i].split(b" ")
+            wants = [*((o, raw[max(0, i - o):i]) for o in (1, 2, 3)), (4, so_far), (5, so_far, *before[-1:])]
+            for k, want in enumerate(wants):  # equal contexts and no others share a hash
+                assert seen[k].setdefault(want, got[k][b + i]) == got[k][b + i]
+    assert all(len(set(s.values())) == len(s) for s in seen)
+    mixer = context_mixing.fresh_mixer(14, np.random.default_rng(0).integers(0, 9, 1 << 14).astype(np.uint16))
+    whole = mixer.texts(data, begins)
+    for most in (1, 7, 40):  # however the texts are cut into windows
+        cut = sorted((lo, hi) for _, lo, hi, _ in context_mixing.windows(data, begins, most))
+        assert [lo for lo, _ in cut] == [0, *(hi for _, hi in cut[:-1])] and cut[-1][1] == len(data)
+        for lead, lo, hi, inside in context_mixing.windows(data, begins, most):
+            assert (context_mixing.contexts(data[lead:hi], inside)[:, lo - lead:] == got[:, lo:hi]).all()
+    assert np.allclose(whole, [mixer.texts(*context_mixing._run([t])[:2])[0] for t in texts], rtol=1e-4)
+
+
+def test_order_of_words_counts(spark):
+    r = random.Random(5)
+    words = ["w%d" % i for i in range(40)]
+    rows = []
+    for i in range(300):  # each word has its successor; a shuffled copy has the same words
+        at = r.randrange(40)
+        text = [words[(at + j) % 40] for j in range(60)]
+        rows += [(2 * i, " ".join(text))]
+    shuffled = [(i + 1, " ".join(r.sample(t.split(), 60))) for i, t in rows if zlib.crc32(str(i + 1).encode()) % 7 == 2]
+    got = {x.doc_id: x for x in context_mixing.score(spark.createDataFrame(rows + shuffled, "doc_id long, text string"), bits=18).collect()}
+    assert len(shuffled) > 20 and all(got[i].held_out and got[i].score < 2 * got[i - 1].score for i, _ in shuffled)
+    assert all(abs(got[i].base_score - got[i - 1].base_score) < 1e-6 for i, _ in shuffled)
+
+
+def test_bytes_sum_to_one_under_a_short_code():
+    seen = np.zeros(256)
+    seen[97:123] = np.arange(1, 27) ** 4
+    code = context_mixing.short_code(seen)
+    assert sum(0.5 ** float(n) for n in code.length) == 1 and code.length[122] < 8 < code.length[97]
+    data, begins, _ = context_mixing._run(["zyx zyy", "zyx zya zy"] * 5)
+    table = np.zeros((1 << 16, 2), np.uint32)
+    context_mixing.add_texts(table, data, begins, 16, code)
+    m = context_mixing.fresh_mixer(16, context_mixing.packed(table[:, 0], table[:, 1]), code)
+    each = context_mixing.contexts(np.frombuffer(b"zyx zy ", np.uint8), np.array([0]))[:, -1:]
+    total = 0.0
+    for c in range(256):  # every byte after the same contexts
+        _, steps = context_mixing.decisions(np.array([c], np.uint8), each, 16, code)
+        total += np.prod([abs(m.final(d, m.mixed(*m.inputs(slots)))[0] - (1 - taken[0])) for d, taken, slots in steps])
+    assert abs(total - 1) < 1e-4
+
+
 def test_quality(docs, empty, spark):
     r = random.Random(3)
     rows, marks = [], []
