@@ -216,3 +216,18 @@ def test_a_source_can_be_added_to_the_search_registry(spark, as_of):
     more = payload.SEARCHES | {"Other": payload.Search(payload.pipe_card_facts)}
     got = payload.read_searches(pages, as_of, searches=more).where("source_name = 'Other'").collect()
     assert [(r.url, r.price_pcm, r.platform) for r in got] == [("/i", 900, "Other")]
+
+
+def test_ads_conditions_go_before_the_shuffle(spark, tmp_path):
+    from adledger.catalog.views import VIEWS, Tables
+    lines = spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet").limit(500)
+    odd = lines.limit(20).selectExpr(*[("CASE WHEN l_partkey % 2 = 0 THEN l_orderkey END AS l_orderkey" if c == "l_orderkey" else
+                                        "CASE WHEN l_partkey % 2 = 1 THEN l_linenumber END AS l_linenumber" if c == "l_linenumber" else c)
+                                       for c in lines.columns])
+    lines.unionByName(odd).unionByName(lines.limit(50)).write.parquet(str(tmp_path / "lineitem.parquet"))
+    t = Tables(spark, str(tmp_path))
+    want = t.sql(VIEWS["ads"])
+    assert t.ads.count() == want.count() and t.ads.select(*want.columns).exceptAll(want).isEmpty()
+    plan = t.ads.where("ok % 3 = 0")._jdf.queryExecution().optimizedPlan().toString()
+    window, condition = plan.index("Window "), plan.index("% 3")
+    assert window < condition  # the tree is printed from the top
