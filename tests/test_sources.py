@@ -232,13 +232,13 @@ def test_ads_conditions_go_before_the_shuffle(spark, tmp_path):
     assert "% 3) = 0" in plan.split("Window [", 1)[1]  # the tree is printed from the top
 
 
-def test_written_batches_are_compressed(spark, tmp_path, monkeypatch):
+def test_written_batches_and_decisions_are_compressed(spark, tmp_path, monkeypatch):
     import os
 
     from adledger.catalog import state_queries
     from adledger.catalog.views import Tables
     monkeypatch.setattr(state_queries, "work_dir", lambda _, name: str(tmp_path / name))
     t = Tables(spark, "/root/testdata/sf0.001")
-    assert state_queries.scan_batch(t).count() == t.ads.count()
+    assert state_queries.scan_batch(t).count() == state_queries.scan_decisions(t).count() == t.ads.count()
     parts = [n for _, _, names in os.walk(tmp_path) for n in names if n.startswith("part-")]
     assert parts and all(n.endswith(".gz") for n in parts)
