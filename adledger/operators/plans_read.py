@@ -32,9 +32,10 @@ def best_candidate(plan_texts: DataFrame) -> DataFrame:
     w = Window.partitionBy("url").orderBy(c("score").desc(), "pos")
     top = (plan_texts.where(c("pos") < fixed.PLAN_CANDIDATES)
            .withColumn("rn", F.row_number().over(w)).where(c("rn") <= fixed.PLAN_READS))
-    read = (top.withColumn("a", extract.parse_area(c("ocr_text")))
-            .withColumn("floors", extract.plan_floors(c("ocr_text")))
-            .withColumn("is_plan", extract.is_plan_text(c("ocr_text"))))
+    # behind a generator, so that the filter below reads what was parsed instead of parsing again
+    parsed = F.struct(extract.parse_area(c("ocr_text")).alias("a"), extract.plan_floors(c("ocr_text")).alias("floors"),
+                      extract.is_plan_text(c("ocr_text")).alias("is_plan"))
+    read = top.select("url", "image", "score", "rn", F.inline(F.array(parsed)))
     useful = read.where(c("a.sqft").isNotNull() | c("is_plan"))
     best = useful.groupBy("url").agg(F.min_by(
         F.struct("a.sqft", "a.basis", "a.evidence", "a.confident", "floors", "image",

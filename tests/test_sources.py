@@ -242,3 +242,12 @@ def test_written_batches_and_decisions_are_compressed(spark, tmp_path, monkeypat
     assert state_queries.scan_batch(t).count() == state_queries.scan_decisions(t).count() == t.ads.count()
     parts = [n for _, _, names in os.walk(tmp_path) for n in names if n.startswith("part-")]
     assert parts and all(n.endswith(".gz") for n in parts)
+
+
+def test_plan_texts_are_parsed_once(spark):
+    from adledger.operators.plans_read import best_candidate
+    texts = spark.createDataFrame([("u", 0, "i", 0.5, "Floor area 500 sqft")], "url string, pos int, image string, score double, ocr_text string")
+    best = best_candidate(texts)
+    assert [(r.url, r.sqft, r.image) for r in best.collect()] == [("u", 500, "i")]
+    plan = best._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    assert sum("regexp_" in line for line in plan) == 1
