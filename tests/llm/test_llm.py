@@ -415,6 +415,51 @@ def test_order_of_words_counts(spark):
     assert all(abs(got[i].base_score - got[i - 1].base_score) < 1e-6 for i, _ in shuffled)
 
 
+def test_equal_contexts_are_predicted_once(monkeypatch):
+    r = random.Random(8)
+    words = ["a", "b", "an", "\x01", "\u00e9t\u00e9", "x" * 70, "x" * 70 + "y", *("".join(r.choices("abc", k=r.randint(1, 6))) for _ in range(60))]
+    texts = ["", "a", "a b", "b a b", None, *(" ".join(r.choices(words, k=r.randint(1, 40))) for _ in range(60))]
+    data, begins, _ = context_mixing._run(texts)
+    before = np.append(np.uint8(0), data[:-1])
+    before[begins] = 0
+    code = context_mixing.codes_after(np.bincount(before.astype(int) << 8 | data, minlength=1 << 16).reshape(256, 256))
+    symbols, hashes = code.symbols(before, data), context_mixing.contexts(data, begins)
+    predicted, plain = [], context_mixing.decisions
+
+    def counted(some, *rest):
+        predicted.append(len(some))
+        return plain(some, *rest)
+
+    monkeypatch.setattr(context_mixing, "decisions", counted)
+    for most, part in ((1, 1), (50, 1 << 20), (1 << 20, 300), (1 << 20, 1 << 20)):  # bytes of a piece and of a part of its pairs
+        monkeypatch.setattr(context_mixing, "SHARED", most)
+        monkeypatch.setattr(context_mixing, "PART_BYTES", part)
+        # byte by byte
+        wanted, got = np.zeros((1 << 16, 2), np.uint32), np.zeros((1 << 16, 2), np.uint32)
+        place, each = plain(symbols, hashes, 16, code)
+        for _, taken, slots in each:
+            np.add.at(wanted.reshape(-1), (slots * 2 + taken).ravel(), 1)
+        context_mixing.add_texts(got, data, begins, 16, code)
+        assert (got == wanted).all()
+        m = context_mixing.fresh_mixer(16, context_mixing.packed(got[:, 0], got[:, 1]), code)
+        m.weights += np.random.default_rng(1).random(m.weights.shape, np.float32) / 4
+        logs, followed = np.zeros(len(data)), np.zeros((2, context_mixing.DEPTH, context_mixing.STEPS))
+        place, each = plain(symbols, hashes, 16, code)
+        for d, taken, slots in each:
+            x, gate = m.inputs(slots, taken)
+            where = context_mixing.step_of(m.mixed(x, gate), context_mixing.STEPS)
+            np.add.at(followed[:, d], (taken, where), 1)
+            logs[place[:len(taken)]] += np.log10(np.abs(m.final(d, m.mixed(*m.inputs(slots))) - (1 - taken)))
+        assert np.allclose(m.texts(data, begins), np.add.reduceat(logs, begins), rtol=1e-4)
+        learned = np.zeros_like(followed)
+        context_mixing.learn(m, data, begins, learned, rate=0)
+        assert learned.sum() == followed.sum() and np.abs(learned - followed).sum() < 1e-3 * followed.sum()
+    predicted.clear()
+    repeated, starts, _ = context_mixing._run(texts * 20)
+    m.texts(repeated, starts)
+    assert sum(predicted) < len(repeated) / 10
+
+
 def test_bytes_sum_to_one_under_a_short_code():
     seen = np.zeros(256)
     seen[97:123] = np.arange(1, 27) ** 4
