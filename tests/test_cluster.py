@@ -93,6 +93,18 @@ def test_facts_and_sections(rows):
     assert cluster.flats_and_ads(summary).first() == (2, 3)
 
 
+def test_facts_hold_all_links_the_best_first(rows):
+    base = dict(price_pcm=2000, bedrooms=2, bathrooms=1, area="Mill Lane")
+    df = cluster.cluster_ads(rows(RECORD, {**base, "url": "a", "priority": "Low", "platform": "Beta", "furnished": "Furnished"},
+                                  {**base, "url": "b", "priority": "High", "platform": " "},
+                                  {**base, "url": "c", "priority": "Medium", "platform": "Alpha", "furnished": "Furnished"},
+                                  {**base, "url": "d", "priority": "Low", "price_pcm": 2100, "platform": "Beta"}))
+    facts = {r.cluster_id: (r.n_ads, r.links, r.furnishing) for r in cluster.cluster_facts(df).collect()}
+    assert facts == {"b": (3, "[link](b), [Alpha](c), [Beta](a)", "furnished"), "d": (1, "[Beta](d)", "?")}
+    unlinked = cluster.cluster_facts(df).drop("links")._jdf.queryExecution().optimizedPlan().toString()
+    assert "[link](" not in unlinked and "](" not in unlinked
+
+
 def test_shortlist_cuts_only_the_last_tier(rows):
     ads = [dict(url=f"{p}{i}", price_pcm=1000 + i, bedrooms=1, bathrooms=1, area=f"{p} {i} Mill Lane", priority=p)
            for p in ("High", "Low") for i in range(5)]
