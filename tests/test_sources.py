@@ -232,6 +232,48 @@ def test_ads_conditions_go_before_the_shuffle(spark, tmp_path):
     assert "% 3) = 0" in plan.split("Window [", 1)[1]  # the tree is printed from the top
 
 
+LINE = ("l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_extendedprice double, l_discount double, "
+        "l_tax double, l_returnflag string, l_linestatus string, l_shipdate timestamp")
+
+
+def test_orders_meet_line_items_before_ads_are_spelled_out(spark, tmp_path):
+    from adledger.catalog.views import VIEWS, Tables
+
+    day = dt.datetime(1998, 1, 1)
+    lines = [(k, 10 * (k or 0) + (n or 0), (k or 0) % 5, n, 3.0, 90000.0 + (k or 0), 0.05, 0.07, "R", "O", day) for k in (*range(12), None) for n in (1, 2, 2, None)]
+    spark.createDataFrame(lines, LINE).write.parquet(str(tmp_path / "lineitem.parquet"))
+    orders = [(k, s, day) for k in (*range(10), 3, None) for s in ("F", "O")]  # keys may repeat
+    spark.createDataFrame(orders, "o_orderkey long, o_orderstatus string, o_orderdate timestamp").write.parquet(str(tmp_path / "orders.parquet"))
+    plain = Tables(spark, str(tmp_path))
+    want = plain.sql(VIEWS["tracker"])
+    for t in (Tables(spark, str(tmp_path)), Tables(spark, str(tmp_path)).stage("ads")):
+        assert t.tracker.schema == want.schema and want.count() > 0
+        assert t.tracker.exceptAll(want).isEmpty() and want.exceptAll(t.tracker).isEmpty()
+        below = t.tracker._jdf.queryExecution().optimizedPlan().toString().split("Join Inner", 1)[1]
+        assert "https://" not in below
+
+
+def test_shuffle_files_go_with_their_execution(spark, tmp_path):
+    import time
+
+    from adledger.catalog.views import Tables
+
+    Tables(spark, str(tmp_path))
+    disk = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def shuffled():
+        return {f for f in disk.getAllFiles().mkString("\n").splitlines() if "/shuffle_" in f}
+
+    before = shuffled()
+    kept = spark.range(1000).repartition(4, "id")  # a plan that the driver still knows
+    kept.write.parquet(str(tmp_path / "out"))
+    until = time.time() + 20
+    while shuffled() - before and time.time() < until:
+        time.sleep(0.2)
+    assert not shuffled() - before
+    assert kept.count() == 1000 and len(kept.collect()) == len(kept.collect()) == 1000
+
+
 def test_written_batches_and_decisions_are_compressed(spark, tmp_path, monkeypatch):
     import os
 
